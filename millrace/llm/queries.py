@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, quality, warc
+from . import langid, licenses, minhash, packing, pieces, quality, tokenfile, warc
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_language_id": langid.op4_language_id,
+    "op5_packing": packing.op5_packing,
+    "op6_token_ids": tokenfile.op6_token_ids,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op10_warc": warc.op10_warc,
 }
 
@@ -15,6 +19,7 @@ QUERIES = {
 _BASE32 = " || ".join(f"lpad(to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32), 4, '0')" for i in range(8))
 
 ORACLES = {
+    "op1_near_duplicates": minhash.ORACLE,
     "op3_license_scan": licenses.oracle(),
     "op10_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
