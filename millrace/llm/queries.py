@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, minhash, packing, pieces, quality, tokenfile, warc
+from . import langid, licenses, minhash, mixing, packing, pieces, quality, tokenfile, vectors, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_token_ids": tokenfile.op6_token_ids,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_embedding_near_dups": vectors.op8_embedding_near_dups,
+    "op9_lm_scores": mixing.op9_lm_scores,
     "op10_warc": warc.op10_warc,
 }
 
@@ -19,6 +21,7 @@ QUERIES = {
 _BASE32 = " || ".join(f"lpad(to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32), 4, '0')" for i in range(8))
 
 ORACLES = {
+    "op8_embedding_near_dups": vectors.ORACLE,
     "op1_near_duplicates": minhash.ORACLE,
     "op3_license_scan": licenses.oracle(),
     "op10_warc": f"""
