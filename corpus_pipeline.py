@@ -14,16 +14,21 @@ from millrace.llm.common import materialize
 from millrace.llm.tokens import vocabulary
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The whole row beside its text, so that no column of it can clash with what an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those without a letter, or whose two best languages compress alike."""
     dictionaries = langid.fit(docs.where(langid.fold() != 2).select("doc_id", "text", "lang"))
-    return langid.identify(docs, dictionaries).where("not rejected").select(*docs.columns)
+    return langid.identify(wrapped(docs), dictionaries).where("not rejected").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail the base rules or the learned decision list."""
     rules = quality.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality.judge(wrapped(docs), rules).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
