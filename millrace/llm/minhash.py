@@ -4,9 +4,11 @@
    signature of the low `BITS` bits of each minimum, packed into longs.
 2. Texts with equal sets are one node (of the smallest id), so groups of copies cost one row from here on.
 3. Nodes that share a band key are candidates. First each node meets one pivot per bucket (two rounds, other pivots in the second); then, in
-   buckets that still hold several components, every pair of nodes of different components is compared by signature, in blocks of
-   bounded size. Pairs whose similarity, estimated from equal signature parts and corrected for chance collisions, could reach the threshold are
-   confirmed on full sets. No pair within a component needs a test, as only components are asked for, and none between two is left out.
+   buckets that still hold several components, pairs of nodes of different components are sought exactly: nodes that share a rare shingle (one of at most
+   `RARE` of these nodes) meet through it; any other two share no rare shingle, so their common part is at most what each has of frequent ones, and only
+   nodes for which that can suffice meet, by signature, in blocks of bounded size. Pairs whose similarity, estimated from equal signature parts and
+   corrected for chance collisions, could reach the threshold are confirmed on full sets. No pair within a component needs a test, as only
+   components are asked for, and none between two is left out.
 4. Components come from rewiring stars; rows get the component of their node.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one shingle, the whole
@@ -33,6 +35,8 @@ BANDS = N_HASHES // ROWS
 SLACK = 0.2
 #: Nodes of a bucket that meet in one comparison of signatures, at about.
 BLOCK = 256
+#: A shingle is rare in at most so many of the nodes in question.
+RARE = 64
 _rng = np.random.default_rng(20_240_601)
 MULTIPLY = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
@@ -112,14 +116,18 @@ def estimated(x: Column, y: Column) -> Column:
     return (equal_parts(x, y) / N_HASHES - chance) / (1 - chance)
 
 
-def pairs_in(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of signatures whose estimate is at least `least`."""
-    d = (left[:, None, :] ^ right[None, :, :]).view(np.uint64)
+def pairs_in(x: tuple, y: tuple, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of nodes (signatures, frequent shingles, all shingles) whose frequent parts can suffice and whose estimate is at least `least`."""
+    (s, f, n), (t, g, m) = x, y
+    common = np.minimum(f[:, None], g[None, :])
+    i, j = np.nonzero(100 * common >= percent * (n[:, None] + m[None, :] - common))
+    d = (s[i] ^ t[j]).view(np.uint64)
     d |= d >> np.uint64(1)
     d |= d >> np.uint64(2)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2)
+    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
     chance = 2.0**-BITS
-    return np.nonzero((1 - differ / N_HASHES - chance) / (1 - chance) >= least)
+    near = (1 - differ / N_HASHES - chance) / (1 - chance) >= least
+    return i[near], j[near]
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -168,45 +176,76 @@ def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> Da
     return m.join(pivots, "bucket").where("c <> pc").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
 
-def block_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, least: float) -> DataFrame:
-    """In buckets of several components: all pairs of nodes of different components whose signatures agree enough.
+def shingle_rows(who: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(h, node, c, n, a): each shingle of the nodes in `who`, with the size and a hash of its set."""
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    schema = pa.schema([(x, pa.int64()) for x in ("h", "node", "c", "n", "a")])
 
-    A bucket's nodes are dealt into blocks by a hash, those of its largest component apart; blocks of that one don't meet each other. Only
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
+                found = shingles(t, words)
+                n = len(found)
+                if n:
+                    one = np.ones(n, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one * node), pa.array(one * c), pa.array(one * n), pa.array(one * found.sum(dtype=np.uint64).view(np.int64))], schema=schema)
+
+    return who.join(text, "node").select("node", "c", "text").mapInArrow(run, "h long, node long, c long, n long, a long")
+
+
+def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that share a bucket of several, or a rare shingle, and may reach the threshold.
+
+    In a bucket, nodes are dealt into blocks by a hash, those of its largest component apart; blocks of that one don't meet each other. Only
     pairs that pass come out.
     """
     m = labelled(members, labels)
-    by = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    size = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.c").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_rest"))
-    m = m.join(size, "bucket").withColumn("side", F.when(F.col("c") == F.col("main"), 0).otherwise(1))
+    by = materialize(m.groupBy("bucket", "c").agg(F.count("*").alias("n")), "buckets")
+    mixed = by.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    m = materialize(m.join(mixed, "bucket"), "mixed")
+    rows = materialize(shingle_rows(m.select("node", "c").distinct(), docs, words), "shingles")
+    rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    marked = materialize(rows.join(rare, "h", "left"), "marked")
+    held = marked.where("df > 1").groupBy("h").agg(F.collect_list(F.struct("node", "c")).alias("l"))  # at most RARE nodes
+    x = held.select(F.explode("l").alias("x"), "l").where(F.exists("l", lambda y: y["c"] != F.col("x.c")))
+    x = x.select("x.node", F.explode(F.filter("l", lambda y: (y["c"] != F.col("x.c")) & (y["node"] > F.col("x.node")))).alias("y"))
+    through_rare = x.select(F.col("node").alias("u"), F.col("y.node").alias("v")).distinct()
+    # an id with several texts keeps all its shingles in the bound
+    size = marked.groupBy("node").agg(F.max("n").alias("n"), F.count("df").alias("r"), (F.min("a") != F.max("a")).alias("several"))
+    size = size.select("node", "n", F.when(F.col("several"), F.col("n")).otherwise(F.col("n") - F.col("r")).alias("f")).where(F.col("f") * 100 >= F.col("n") * percent)
+    core = materialize(m.join(size, "node"), "core")
+    held = core.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    top = held.groupBy("bucket").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.c").alias("main"), F.col("top.k").alias("n_main"), (F.col("k") - F.col("top.k")).alias("n_rest"))
+    core = core.join(top, "bucket").withColumn("side", F.when(F.col("c") == F.col("main"), 0).otherwise(1))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
-    m = m.join(nodes.select("node", "signature"), "node")
-    held = m.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature")).alias("rows"))
-    meet = size.select("bucket", blocks("n_main").alias("a"), blocks("n_rest").alias("b"))
+    core = core.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
+    core = core.join(nodes.select("node", "signature"), "node")
+    held = core.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature", "f", "n")).alias("rows"))
+    meet = top.select("bucket", blocks("n_main").alias("a"), blocks("n_rest").alias("b"))
     rest = F.sequence(F.lit(0), F.col("b") - 1)
     with_main = meet.select("bucket", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "b").select("bucket", F.lit(0).alias("si"), "i", F.explode(rest).alias("j"))
     among = meet.select("bucket", "b", F.explode(rest).alias("i")).select("bucket", F.lit(1).alias("si"), "i", F.explode(F.sequence(F.col("i"), F.col("b") - 1)).alias("j"))
-    meet = with_main.union(among)
-    x = held.select("bucket", F.col("side").alias("si"), F.col("block").alias("i"), F.col("rows").alias("x"))
-    y = held.where("side = 1").select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
-    both = meet.join(x, ["bucket", "si", "i"]).join(y, ["bucket", "j"]).select("x", "y")
+    left = held.select("bucket", F.col("side").alias("si"), F.col("block").alias("i"), F.col("rows").alias("x"))
+    right = held.where("side = 1").select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
+    both = with_main.union(among).join(left, ["bucket", "si", "i"]).join(right, ["bucket", "j"]).select("x", "y")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, tuple]:
         s = rows.values
-        return s.field("node").to_numpy(), s.field("c").to_numpy(), s.field("signature").flatten().to_numpy().reshape(len(s), -1)
+        signatures = s.field("signature").flatten().to_numpy().reshape(len(s), -1)
+        return s.field("node").to_numpy(), s.field("c").to_numpy(), (signatures, s.field("f").to_numpy(), s.field("n").to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (n1, c1, s1), (n2, c2, s2) = arrays(batch.column(0)[k]), arrays(batch.column(1)[k])
-                i, j = pairs_in(s1, s2, least)
+                (n1, c1, x), (n2, c2, y) = arrays(batch.column(0)[k]), arrays(batch.column(1)[k])
+                i, j = pairs_in(x, y, least, percent)
                 far = c1[i] != c2[j]
                 u, v = np.minimum(n1[i[far]], n2[j[far]]), np.maximum(n1[i[far]], n2[j[far]])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(run, "u long, v long").union(through_rare).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -219,21 +258,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = keys.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(keys.join(crowded, "bucket").distinct(), "members")
+    sig = nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
     least, tested, links, labels = percent / 100 - SLACK, None, None, None
     for step in range(3):
         if step < 2:
             pairs = pivot_pairs(members, labels, step)
-            sig = nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
-            pairs = pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v")
-            pairs = pairs.where(estimated(F.col("su"), F.col("sv")) >= least).select("u", "v").distinct()
         else:
-            pairs = block_pairs(members, labels, nodes, least)
+            pairs = far_pairs(members, labels, nodes, docs, words, percent, least)
+        pairs = pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v")
+        pairs = pairs.where(estimated(F.col("su"), F.col("sv")) >= least).select("u", "v").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = materialize(confirmed(pairs, docs, words, percent), "confirmed")
-        if found.isEmpty() and step:
+        if step and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
         labels = materialize(components(links), "labels")
