@@ -95,14 +95,13 @@ def finished(rows: list[tuple], length: int) -> list[tuple]:
     return [(*r[:7], size, r[8]) if r[5] == last else r for r in rows]
 
 
-def balances(dealt: DataFrame, targets: dict[str, float] | None) -> DataFrame:
-    """(bundle, source, share, balance): what the bundles before owe a source, in bytes of text. One row per bundle and source."""
+def balances(dealt: DataFrame, targets: dict[str, float] | None, total: int) -> DataFrame:
+    """(bundle, source, share, balance): what the bundles before owe a source, in bytes of text (`total` in all). One row per bundle and source."""
     held = dealt.groupBy("bundle", "source").agg(F.sum("bytes").alias("bytes"))
     by_source, by_bundle = held.groupBy("source").agg(F.sum("bytes").alias("of_source")), held.groupBy("bundle").agg(F.sum("bytes").alias("of_bundle"))
-    total = by_source.agg(F.sum("of_source").alias("total"))
     before = Window.orderBy("bundle").rowsBetween(Window.unboundedPreceding, -1)
     by_bundle = by_bundle.select("bundle", F.coalesce(F.sum("of_bundle").over(before), F.lit(0)).alias("all_before"))
-    shares = by_source.join(F.broadcast(total)).select("source", (F.col("of_source") / F.col("total")).alias("share"))
+    shares = by_source.select("source", (F.col("of_source") / F.lit(max(1, total))).alias("share"))
     if targets:
         known = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
         shares = shares.select("source", F.coalesce(F.element_at(known, F.col("source")).cast("double"), F.lit(0.0)).alias("share"))
@@ -122,7 +121,7 @@ def pack(docs: DataFrame, path: str, end_id: int, targets: dict[str, float] | No
     h: Column = F.xxhash64("doc_id", F.octet_length("text"), "source")
     d = d.withColumn("h", h).withColumn("bundle", F.pmod("h", F.lit(n)).cast("int"))
     # the accounts travel in the same exchange, as rows that come first in their bundle
-    accounts = balances(d.select("bundle", "source", "bytes"), targets).select("bundle", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "source", "share", "balance")
+    accounts = balances(d.select("bundle", "source", "bytes"), targets, total).select("bundle", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "source", "share", "balance")
     rows = d.select("bundle", F.lit(1).alias("kind"), "h", "doc_id", "text", "source", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("balance"))
     both = rows.unionByName(accounts).repartition(min(n, 100_000), "bundle").sortWithinPartitions("bundle", "kind", "h", "doc_id")
     kinds = {"long": pa.int64(), "string": pa.string()}
