@@ -5,7 +5,7 @@
 2. Texts with equal sets are one node (of the smallest id), so groups of copies cost one row from here on.
 3. Nodes that share a band key are candidates. First each node meets one pivot per bucket (two rounds, other pivots in the second); then, in
    buckets that still hold several components, pairs of nodes of different components are sought exactly: nodes that share a rare shingle (one of at most
-   `RARE` of these nodes) meet through it; any other two share no rare shingle, so their common part is at most what each has of frequent ones, and only
+   `RARE` of these nodes, and among the node's rarest) meet through it; any other two share no rare shingle, so their common part is at most what each has of frequent ones, and only
    nodes for which that can suffice meet, by signature, in blocks of bounded size. Pairs whose similarity, estimated from equal signature parts and
    corrected for chance collisions, could reach the threshold are confirmed on full sets. No pair within a component needs a test, as only
    components are asked for, and none between two is left out.
@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import binary, drop, materialize, mix64, small_batches
 from .components import components
@@ -36,7 +37,7 @@ SLACK = 0.2
 #: Nodes of a bucket that meet in one comparison of signatures, at about.
 BLOCK = 256
 #: A shingle is rare in at most so many of the nodes in question.
-RARE = 64
+RARE = 128
 _rng = np.random.default_rng(20_240_601)
 MULTIPLY = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
@@ -165,13 +166,17 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """members with the component that each node has so far."""
     if labels is None:
         return members.withColumn("c", F.col("node"))
-    return members.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("c"))
+    return members.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").select("bucket", "node", "pop", F.coalesce("component_id", "node").alias("c"))
 
 
 def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """In buckets of several components: each node with the bucket's pivot, if that is of another component."""
+    """In buckets of several components: each node with the bucket's pivot, if that is of another component.
+
+    The pivot is the node whose buckets are fullest (`pop`), as a text near the middle of its group shares most bands; the second round looks at a random third only.
+    """
     m = labelled(members, labels)
-    first = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("p"), F.col("c").alias("pc")))
+    h = F.xxhash64("node", F.lit(round_))
+    first = F.max(F.struct((F.lit(round_ == 0) | (F.pmod(h, F.lit(3)) == 0)).alias("in"), F.col("pop"), h.alias("h"), F.col("node").alias("p"), F.col("c").alias("pc")))
     pivots = m.groupBy("bucket").agg(first.alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", "f.p", "f.pc")
     return m.join(pivots, "bucket").where("c <> pc").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
@@ -202,11 +207,15 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, do
     m = labelled(members, labels)
     by = materialize(m.groupBy("bucket", "c").agg(F.count("*").alias("n")), "buckets")
     mixed = by.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    m = materialize(m.join(mixed, "bucket"), "mixed")
+    m = materialize(m.join(mixed, "bucket").select("bucket", "node", "c"), "mixed")
     rows = materialize(shingle_rows(m.select("node", "c").distinct(), docs, words), "shingles")
     rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     marked = materialize(rows.join(rare, "h", "left"), "marked")
-    held = marked.where("df > 1").groupBy("h").agg(F.collect_list(F.struct("node", "c")).alias("l"))  # at most RARE nodes
+    # Sets that reach the threshold share one of their rarest n - ceil(t n) + 1 shingles (in one common order); an id with several texts keeps all
+    own = Window.partitionBy("node")
+    first = marked.where("df is not null").withColumn("k", F.row_number().over(own.orderBy("df", "h"))).withColumn("several", F.min("a").over(own) != F.max("a").over(own))
+    first = first.where(F.col("several") | (F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    held = first.where("df > 1").groupBy("h").agg(F.collect_list(F.struct("node", "c")).alias("l"))  # at most RARE nodes
     x = held.select(F.explode("l").alias("x"), "l").where(F.exists("l", lambda y: y["c"] != F.col("x.c")))
     x = x.select("x.node", F.explode(F.filter("l", lambda y: (y["c"] != F.col("x.c")) & (y["node"] > F.col("x.node")))).alias("y"))
     through_rare = x.select(F.col("node").alias("u"), F.col("y.node").alias("v")).distinct()
@@ -219,29 +228,34 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, do
     core = core.join(top, "bucket").withColumn("side", F.when(F.col("c") == F.col("main"), 0).otherwise(1))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     core = core.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
-    core = core.join(nodes.select("node", "signature"), "node")
-    held = core.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature", "f", "n")).alias("rows"))
+    core = core.join(nodes.select("node", "signature", "bands"), "node")
+    held = core.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature", "f", "n", "bands")).alias("rows"))
     meet = top.select("bucket", blocks("n_main").alias("a"), blocks("n_rest").alias("b"))
     rest = F.sequence(F.lit(0), F.col("b") - 1)
     with_main = meet.select("bucket", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "b").select("bucket", F.lit(0).alias("si"), "i", F.explode(rest).alias("j"))
     among = meet.select("bucket", "b", F.explode(rest).alias("i")).select("bucket", F.lit(1).alias("si"), "i", F.explode(F.sequence(F.col("i"), F.col("b") - 1)).alias("j"))
     left = held.select("bucket", F.col("side").alias("si"), F.col("block").alias("i"), F.col("rows").alias("x"))
     right = held.where("side = 1").select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
-    both = with_main.union(among).join(left, ["bucket", "si", "i"]).join(right, ["bucket", "j"]).select("x", "y")
+    both = with_main.union(among).join(left, ["bucket", "si", "i"]).join(right, ["bucket", "j"]).select("bucket", "x", "y")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, tuple]:
         s = rows.values
         signatures = s.field("signature").flatten().to_numpy().reshape(len(s), -1)
-        return s.field("node").to_numpy(), s.field("c").to_numpy(), (signatures, s.field("f").to_numpy(), s.field("n").to_numpy())
+        bands = s.field("bands").flatten().to_numpy().reshape(len(s), -1)
+        return s.field("node").to_numpy(), s.field("c").to_numpy(), bands, (signatures, s.field("f").to_numpy(), s.field("n").to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (n1, c1, x), (n2, c2, y) = arrays(batch.column(0)[k]), arrays(batch.column(1)[k])
+                bucket = batch.column(0)[k].as_py()
+                (n1, c1, b1, x), (n2, c2, b2, y) = arrays(batch.column(1)[k]), arrays(batch.column(2)[k])
                 i, j = pairs_in(x, y, least, percent)
                 far = c1[i] != c2[j]
-                u, v = np.minimum(n1[i[far]], n2[j[far]]), np.maximum(n1[i[far]], n2[j[far]])
+                i, j = i[far], j[far]
+                first = (b1[i] == b2[j]).argmax(axis=1)  # a pair counts in the first band that it shares only
+                here = b1[i, first] == bucket
+                u, v = np.minimum(n1[i[here]], n2[j[here]]), np.maximum(n1[i[here]], n2[j[here]])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
@@ -256,8 +270,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # nodes: one for each different set; an id with several texts is one node under several fingerprints
     nodes = materialize(sets.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.min("doc_id").alias("id")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = keys.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    crowded = keys.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
     members = materialize(keys.join(crowded, "bucket").distinct(), "members")
+    members = materialize(members.join(members.groupBy("node").agg(F.sum("size").alias("pop")), "node").select("bucket", "node", "pop"), "members")
     sig = nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
     least, tested, links, labels = percent / 100 - SLACK, None, None, None
     for step in range(3):
