@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import binary, materialize, mix64, partitions_for, small_batches
 
-ORDERS, OWN_ORDERS, SLOTS = (0, 1, 2, 3, 4, 6), (1, 2, 3), 1 << 18
+ORDERS, OWN_ORDERS, SLOT_BITS = (0, 1, 2, 3, 4, 6), (1, 2, 3), 18
+SLOTS = 1 << SLOT_BITS
 ALL = len(ORDERS) + len(OWN_ORDERS)
 GROUPS, SAMPLE = 8, 30_000
 #: A chunk ends after so many tokens or different words.
@@ -130,11 +131,16 @@ def nodes_bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield k, (1 << k) | (data >> (8 - k) if k else np.zeros(len(data), np.uint8)).astype(np.int64), (data >> (7 - k)) & 1
 
 
-def slots(contexts: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (mix64(contexts + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of spread contexts with the bits so far (as multiples of an odd number)."""
+    return (((context ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
-def in_parts(words: list[bytes], most: int = 400_000) -> Iterator[list[bytes]]:
+def spread(node: np.ndarray) -> np.ndarray:
+    return node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def in_parts(words: list[bytes], most: int = 1 << 16) -> Iterator[list[bytes]]:
     part, size = [], 0
     for w in words:
         part.append(w)
@@ -147,25 +153,27 @@ def in_parts(words: list[bytes], most: int = 400_000) -> Iterator[list[bytes]]:
 
 
 def own_context(context: np.ndarray, group: np.ndarray | int) -> np.ndarray:
-    return mix64(context + (np.asarray(group).astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
+    return mix64(context + np.atleast_1d(group).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x3C79AC492BA7B653))
 
 
 def counted(words: list[bytes], groups: np.ndarray, table: np.ndarray) -> None:
     """Adds the bits of words to table[order, slot, bit]; groups [word, group] tells where a word occurs."""
-    at = 0
+    at, flat = 0, table.reshape(ALL, 2 * SLOTS)
     for part in in_parts(words):
         data, owner, contexts = steps(part)
         there = groups[at : at + len(part)]
         at += len(part)
-        own = [(g, np.flatnonzero(there[owner, g])) for g in np.flatnonzero(there.any(axis=0))]
+        own = []
+        for g in np.flatnonzero(there.any(axis=0)):
+            x = np.flatnonzero(there[owner, g])
+            own.append((x, [own_context(contexts[ORDERS.index(o)][x], g) for o in OWN_ORDERS]))
         for _, node, bit in nodes_bits(data):
+            n, b = spread(node), bit.astype(np.int64)
             for o in range(len(ORDERS)):
-                s = slots(contexts[o], node) * 2 + bit
-                table[o] += np.bincount(s, minlength=2 * SLOTS).reshape(SLOTS, 2)
-            for i, o in enumerate(OWN_ORDERS):
-                for g, x in own:
-                    s = slots(own_context(contexts[ORDERS.index(o)][x], g), node[x]) * 2 + bit[x]
-                    table[len(ORDERS) + i] += np.bincount(s, minlength=2 * SLOTS).reshape(SLOTS, 2)
+                np.add.at(flat[o], slots(contexts[o], n) * 2 + b, 1)
+            for x, found in own:
+                for i, c in enumerate(found):
+                    np.add.at(flat[len(ORDERS) + i], slots(c, n[x]) * 2 + b[x], 1)
 
 
 def count_tables(words: DataFrame) -> np.ndarray:
@@ -199,84 +207,85 @@ def count_tables(words: DataFrame) -> np.ndarray:
     return table.reshape(ALL, SLOTS, 2)
 
 
-def counts_of(table: np.ndarray, o: int, context: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-    n = table[o][slots(context, node)]
-    if bit is not None:  # the word's own count is taken out
-        i = np.arange(len(node))
-        n[i, bit] = np.maximum(n[i, bit] - 1, 0)
-    return n
-
-
-def logits(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logit of counts, and whether there are any."""
-    return np.log((n[:, 1] + 0.2) / (n[:, 0] + 0.2)), (n.sum(axis=1) > 0)
+def logit_of(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Logit of counts; 0 where there are none."""
+    return np.log((one + 0.2) / (zero + 0.2)).astype(np.float32)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -15, 15)))
+    return 1 / (1 + np.exp(-np.clip(x, np.float32(-15), np.float32(15))))
 
 
 class Speller:
-    """Weights by gate, and corrections by (bits so far, bucket of the logit)."""
+    """Logits of all slots, weights by gate, and corrections by (bits so far, bucket of the logit)."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, fix: np.ndarray | None = None):
-        self.table = table.astype(np.float32)
+    def __init__(self, logits: np.ndarray, weights: np.ndarray | None = None, fix: np.ndarray | None = None):
+        self.logits = logits
         self.weights = np.full((GATES, ALL), 0.2, np.float32) if weights is None else weights
         self.fix = np.zeros((256, BUCKETS, 2)) if fix is None else fix
 
-    def shared(self, contexts: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors that know no group, and how many know the context."""
-        got = [logits(counts_of(self.table, o, contexts[o], node, bit)) for o in range(len(ORDERS))]
-        return np.stack([x for x, _ in got]), np.sum([k for _, k in got], axis=0)
-
-    def mixed(self, shared: tuple, contexts: np.ndarray, group: np.ndarray | int, k: int, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, known = shared
-        own = [logits(counts_of(self.table, len(ORDERS) + i, own_context(contexts[ORDERS.index(o)], group), node, bit)) for i, o in enumerate(OWN_ORDERS)]
-        x = np.concatenate([x, np.stack([y for y, _ in own])])
-        gate = (known + np.sum([k_ for _, k_ in own], axis=0)) * 8 + k
-        return x, gate, np.einsum("gn,ng->n", x, self.weights[gate])
+    def mixed(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The gate (how many predictors know the context, which bit) and the mixed logit."""
+        known = (x[0] != 0).view(np.int8)
+        for row in x[1:]:
+            known = known + (row != 0)
+        by = np.ascontiguousarray(self.weights[k::8].T)
+        logit = x[0] * by[0][known]
+        for row, w in zip(x[1:], by[1:], strict=True):
+            logit += row * w[known]
+        return known.astype(np.int64) * 8 + k, logit
 
     def bucket(self, logit: np.ndarray) -> np.ndarray:
-        return np.clip((logit + 8) * (BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
+        return np.clip((logit + 8) * np.float32(BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
 
-    def learn(self, words: list[bytes], groups: list[int], rate: float = 0.02, passes: int = 3) -> None:
-        """Online: each small batch is predicted with the weights so far, then they move along its errors."""
+    def learn(self, words: list[bytes], groups: list[int], table: np.ndarray, rate: float = 0.02, passes: int = 3) -> None:
+        """Online: each small batch is predicted with the weights so far, then they move along its errors. A word's own counts are taken out of the table."""
         order = np.random.default_rng(7).permutation(len(words))
         for turn in range(passes):
             for i in range(0, len(order), 256):
                 data, owner, contexts = steps([words[j] for j in order[i : i + 256]])
                 group = np.array([groups[j] for j in order[i : i + 256]])[owner]
+                all_ = [*contexts, *(own_context(contexts[ORDERS.index(o)], group) for o in OWN_ORDERS)]
                 for k, node, bit in nodes_bits(data):
-                    x, gate, logit = self.mixed(self.shared(contexts, node, bit), contexts, group, k, node, bit)
+                    n, x = spread(node), np.empty((ALL, len(data)), np.float32)
+                    for o, c in enumerate(all_):
+                        seen = table[o][slots(c, n)].astype(np.float64)
+                        x[o] = logit_of(np.maximum(seen[:, 0] - (1 - bit), 0), np.maximum(seen[:, 1] - bit, 0))
+                    gate, logit = self.mixed(x, k)
                     error = bit - squash(logit)
-                    total, n = np.zeros_like(self.weights), np.bincount(gate, minlength=GATES)
+                    total, many = np.zeros_like(self.weights), np.bincount(gate, minlength=GATES)
                     np.add.at(total, gate, (x * error).T)
-                    self.weights += np.float32(rate / (1 + turn)) * total / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32)
+                    self.weights += np.float32(rate / (1 + turn)) * total / np.sqrt(np.maximum(many, 1))[:, None].astype(np.float32)
                     if turn == passes - 1:
                         np.add.at(self.fix, (node, self.bucket(logit), bit.astype(np.int64)), 1)
 
     def log10(self, words: list[bytes], groups: list[int]) -> np.ndarray:
         """log10 probability of the spelling of each word in each of the groups: [word, group]."""
         centre = squash((np.arange(BUCKETS) + 0.5) * (16 / BUCKETS) - 8)
-        seen = self.fix.sum(axis=2)
-        fixed = (self.fix[:, :, 1] + 20 * centre) / (seen + 20)
-        out = []
+        fixed = ((self.fix[:, :, 1] + 20 * centre) / (self.fix.sum(axis=2) + 20)).astype(np.float32)
+        fixed = np.stack([1 - fixed, fixed]).reshape(-1)
+        out, m = [], len(ORDERS)
         for part in in_parts(words):
             data, owner, contexts = steps(part)
-            total = np.zeros((len(groups), len(data)))
+            own = [[own_context(contexts[ORDERS.index(o)], g) for o in OWN_ORDERS] for g in groups]
+            total, x = np.ones((len(groups), len(data))), np.empty((ALL, len(data)), np.float32)
             for k, node, bit in nodes_bits(data):
-                shared = self.shared(contexts, node, None)
-                for i, g in enumerate(groups):
-                    _, _, logit = self.mixed(shared, contexts, g, k, node, None)
-                    p = 0.5 * squash(logit) + 0.5 * fixed[node, self.bucket(logit)]
-                    total[i] += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1))
-            out.append(np.stack([np.bincount(owner, t, minlength=len(part)) for t in total], axis=1))
+                n, sign, row = spread(node), bit * np.float32(2) - np.float32(1), (bit * np.int64(256) + node) * BUCKETS
+                for o in range(m):
+                    x[o] = self.logits[o][slots(contexts[o], n)]
+                for i, found in enumerate(own):
+                    for o, c in enumerate(found):
+                        x[m + o] = self.logits[m + o][slots(c, n)]
+                    _, logit = self.mixed(x, k)
+                    p = squash(logit * sign) + fixed[row + self.bucket(logit)]
+                    total[i] *= np.maximum(p * np.float32(0.5), np.float32(1e-6))
+            out.append(np.stack([np.bincount(owner, t, minlength=len(part)) for t in np.log10(total)], axis=1))
         return np.concatenate(out) if out else np.empty((0, len(groups)))
 
 
 def spelled(words: DataFrame, speller: Speller, groups: list[int], totals: np.ndarray, once: np.ndarray, only: np.ndarray) -> DataFrame:
     """Of each word (w): its training count and its log10 probability in each of the groups, as half-precision numbers."""
-    shared = words.sparkSession.sparkContext.broadcast((speller.table, speller.weights, speller.fix))  # 4 x ALL x 2 x SLOTS bytes and a little
+    shared = words.sparkSession.sparkContext.broadcast((speller.logits, speller.weights, speller.fix))  # 4 x ALL x SLOTS bytes and a little
     schema = pa.schema([("w", pa.binary()), ("c", pa.int64()), ("logs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +338,10 @@ def score(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     once, only = (np.array([got[x + c] for c in COUNTS], float) for x in "oa")
     ends = words.where(F.col("data") == F.lit(END)).select(*COUNTS).first()
     documents = np.array([ends[c] for c in COUNTS] if ends else [0] * GROUPS, float)
-    speller = Speller(count_tables(seen))
+    table = count_tables(seen)
+    speller = Speller(logit_of(table[:, :, 0], table[:, :, 1]))
     some = seen.select("data", *COUNTS).orderBy(F.xxhash64("data")).limit(SAMPLE).collect()
-    speller.learn([bytes(r["data"]) for r in some], [max(range(GROUPS), key=lambda g: r[1 + g]) for r in some])
+    speller.learn([bytes(r["data"]) for r in some], [max(range(GROUPS), key=lambda g: r[1 + g]) for r in some], table)
     groups = [g for g in range(GROUPS) if totals[g]] or [0]
     known = spelled(words, speller, groups, totals, once, only)
     back = vocabulary.select("chunk", "j", "data").join(known, F.col("data") == F.col("w")).select(F.lit(True).alias("word_row"), "chunk", "j", "c", F.col("logs").alias("data"))
