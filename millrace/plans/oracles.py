@@ -127,6 +127,7 @@ ORACLES = {
     "scan_project_drop": f"WITH {CV} SELECT age, {', '.join(CATEGORICAL)}, click FROM cv",
     "csv_roundtrip": f"WITH {CV} SELECT count(*) AS n_rows, count(age) AS n_age, sum(age) AS sum_age, count(gender) AS n_gender, count(time_of_day) AS n_time, sum(click)::BIGINT AS n_click FROM cv",
     "raw_text_records": "SELECT row_number() OVER (ORDER BY event_id) - 23 AS i, event_id, user_id, event_type FROM events WHERE event_id < 500 QUALIFY i >= 0",
+    "raw_text_records_all": "SELECT row_number() OVER (ORDER BY event_id) - 23 AS i, event_id, user_id, event_type FROM events QUALIFY i >= 0",
     "feature_label_split": f"WITH {CV} SELECT age, {', '.join(CATEGORICAL)}, click AS label FROM cv",
     "equality_filter": f"WITH {CV} SELECT id, age, gender FROM cv WHERE gender = 'Male'",
     "label_recode": f"WITH {CV} SELECT id, CASE WHEN click = 0 THEN -1 ELSE 1 END AS recoded, CASE WHEN click = 0 THEN 0 ELSE 1 END AS back FROM cv",

@@ -74,14 +74,19 @@ def csv_roundtrip(spark, sf):
     return tables.load("csv", spark, path).agg(F.count("*").alias("n_rows"), F.count("age").alias("n_age"), F.sum("age").alias("sum_age"), F.count("gender").alias("n_gender"), F.count("time_of_day").alias("n_time"), F.sum("click").alias("n_click"))
 
 
-def raw_text_records(spark, sf):
+def raw_text_records_all(spark, sf):
     path = tables.scratch_path(spark, "records")
-    e = table(spark, sf, "events").where("event_id < 500").orderBy("event_id").select(F.concat_ws("  ", F.lit(" "), F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")))
-    e.coalesce(1).write.text(path)
+    e = table(spark, sf, "events").orderBy("event_id").select(F.concat_ws("  ", F.lit(" "), F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")))
+    e.write.text(path)
     rec = tables.read_records(spark, path, skip=22)
     return rec.select("i", F.get("fields", F.lit(0)).cast("long").alias("event_id"), F.get("fields", F.lit(1)).cast("long").alias("user_id"), F.get("fields", F.lit(2)).alias("event_type"))
 
 
+def raw_text_records(spark, sf):
+    """The rows that the query's SQL names, out of the whole table's records."""
+    return raw_text_records_all(spark, sf).where("event_id < 500")
+
+
 def row_pair_stitch(spark, sf):
     e = table(spark, sf, "events")
     return tables.stitch_pairs(e, "event_id", {"first_value": "value", "first_user": "user_id"}, {"second_user": "user_id", "target": "value"})
@@ -270,6 +275,7 @@ QUERIES = {
     "scan_project_drop": lambda s, d: prep.drop_columns(click_view(s, d), views.IDS),
     "csv_roundtrip": csv_roundtrip,
     "raw_text_records": raw_text_records,
+    "raw_text_records_all": raw_text_records_all,
     "feature_label_split": lambda s, d: views.features_and_label(prep.drop_columns(click_view(s, d), views.IDS)),
     "equality_filter": lambda s, d: click_view(s, d).where(F.col("gender") == "Male").select("id", "age", "gender"),
     "label_recode": lambda s, d: click_view(s, d).select("id", prep.recode_labels("click").alias("recoded")).withColumn("back", prep.recode_back("recoded")),

@@ -71,11 +71,19 @@ def load(source: str, spark: SparkSession, data: str | DataFrame, schema: str =
 
 
 def read_records(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """White-space separated text lines without their first `skip`: (i, fields). One file in line order; `i` comes from the file position."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    """White-space separated text lines without their first `skip`: (i, fields). Files follow each other by path, as one sequence of lines.
+
+    Lines are numbered within their split, and splits by the counts of those before: only counts meet in one task.
+    """
     from pyspark.sql.window import Window
 
-    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f").orderBy("at")) - 1 - skip)
+    split = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("at"))
+    counts = spark.read.text(path).groupBy(*split).agg(F.count("*").alias("n"))
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("k", F.row_number().over(Window.partitionBy("f", "b").orderBy("at")) - 1).join(counts, ["f", "b"])
+    numbered = numbered.withColumn("i", F.col("before") + F.col("k") - skip)
     return numbered.where("i >= 0").select(F.col("i").cast("long"), F.split(F.trim("value"), r"\s+").alias("fields"))
 
 

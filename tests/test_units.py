@@ -202,6 +202,13 @@ def test_sources(spark, tmp_path):
     assert json.loads(tables.report(f).first()[0]) == {"x": 1}
 
 
+def test_records_of_several_files_are_one_sequence(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f" {10 * k + j}  x\n" for j in range(10)))
+    rec = tables.read_records(spark, str(tmp_path), 4).select("i", F.get("fields", F.lit(0)).cast("long"))
+    assert rows(rec, "i") == [(i, i + 4) for i in range(26)]
+
+
 def test_probability_rules(spark):
     d = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "a boolean, b boolean")
     a, b = F.col("a"), F.col("b")
