@@ -48,28 +48,37 @@ def relative_strength(df: DataFrame, value: str, keys: list[str], order: list[st
     return d.withColumn("rsi", F.when(F.col("nr") > n, rsi)).drop("d", "nr", "gain", "loss")
 
 
-def nearest(rows: DataFrame, queries: dict[int, list[float]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, neighbor_id, distance, rank): exact k nearest of a stated, bounded set of queries, the query itself left out.
+def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_block: int = 1024, row_block: int = 8192) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank): exact k nearest rows of every query, rows with the query's own id left out.
 
-    Each partition keeps the k best of each query, so only k rows per query and partition are shuffled.
+    Queries and rows are dealt into blocks; each block of queries meets each block of rows in one group, which keeps the k best of a query.
     """
-    ids, q = list(queries), np.array(list(queries.values()), float)
-
-    def best(batches):
+    r = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where("id is not null and x is not null")
+    q = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where("id is not null and x is not null").distinct()
+    n_q, n_r = max(1, -(-q.count() // query_block)), max(1, -(-r.count() // row_block))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", dealt(n_q)).withColumn("rb", all_of(n_r)).groupBy("qb", "rb")
+    right = r.withColumn("rb", dealt(n_r)).withColumn("qb", all_of(n_q)).groupBy("qb", "rb")
+
+    def best(a, b):
         import pyarrow as pa
 
-        kept: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for b in batches:
-            node, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float)
-            if not len(node):
-                continue
-            for i, qi in enumerate(ids):
-                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                own = sorted((float(a), int(c)) for a, c in zip(d, node, strict=True) if c != qi)[:k] if len(d) <= 4 * k else [(float(d[j]), int(node[j])) for j in np.lexsort((node, d))[: k + 1] if node[j] != qi]
-                kept[i] = sorted(kept[i] + own)[:k]
-        rows_ = [(qi, c, a) for qi, own in zip(ids, kept, strict=True) for a, c in own]
-        yield pa.RecordBatch.from_pylist([{"query_id": x, "neighbor_id": y, "distance": z} for x, y, z in rows_], schema=pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())]))
-
-    found = rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(best, "query_id long, neighbor_id long, distance double")
+        schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        matrix = lambda t: np.stack(t.column("x").combine_chunks().to_numpy(zero_copy_only=False))
+        ids, node, x = a.column("id").to_numpy(), b.column("id").to_numpy(), matrix(b)
+        out = []
+        for qi, v in zip(ids, matrix(a), strict=True):
+            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            own = np.flatnonzero(node != qi)
+            if len(own) > k:  # all that tie with the k-th stay for the order by id
+                own = own[d[own] <= np.partition(d[own], k - 1)[k - 1]]
+            own = own[np.lexsort((node[own], d[own]))[:k]]
+            out.append((np.full(len(own), qi), node[own], d[own]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    found = left.cogroup(right).applyInArrow(best, "query_id long, neighbor_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -188,4 +188,5 @@ ORACLES = {
     "sma_window": f"SELECT event_id, CASE WHEN row_number() OVER ({WIN}) >= 20 THEN {rnd(f'avg(value) OVER ({WIN} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS sma FROM events",
     "rsi_window": f"WITH c AS (SELECT *, value - lag(value) OVER ({WIN}) AS d, row_number() OVER ({WIN}) AS nr FROM events), s AS (SELECT event_id, nr, sum(greatest(d, 0.0)) OVER ({WIN} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS g, sum(greatest(-d, 0.0)) OVER ({WIN} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS l FROM c) SELECT event_id, CASE WHEN nr > 14 THEN {rnd('CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END')} END AS rsi FROM s",
     "knn_topk": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) SELECT query_id, neighbor_id, rank, {rnd('dist')} AS distance FROM k WHERE rank <= 5",
+    "knn_topk_all": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) SELECT query_id, neighbor_id, rank, {rnd('dist')} AS distance FROM k WHERE rank <= 5",
 }

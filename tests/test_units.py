@@ -209,6 +209,17 @@ def test_records_of_several_files_are_one_sequence(spark, tmp_path):
     assert rows(rec, "i") == [(i, i + 4) for i in range(26)]
 
 
+def test_nearest_takes_all_queries_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(-3, 4, (300, 4)).astype(float)  # many ties
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = extras.nearest(e, e.where("vec_id % 20 = 0"), 5, query_block=4, row_block=40)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    true = [(q, n, k + 1) for q in range(0, 300, 20) for k, n in enumerate(sorted((n for n in range(300) if n != q), key=lambda n: (d[q, n], n))[:5])]
+    assert sorted((r["query_id"], r["neighbor_id"], r["rank"]) for r in got.collect()) == sorted(true)
+
+
 def test_probability_rules(spark):
     d = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "a boolean, b boolean")
     a, b = F.col("a"), F.col("b")
