@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 
-# Normalised sentences of license texts and notices, with their identifiers.
+# Normalised sentences of license texts and notices as cut() leaves them ('software: you' and 'v. 2.0' end a sentence), with their identifiers.
 SENTENCES = {
     "licensed under cc by nc 4 0": "CcByNc4",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CcByNc4",
@@ -25,6 +25,11 @@ SENTENCES = {
     "gnu general public license version 3 29 june 2007": "Gpl3Title",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
+    "either version 3 of the license or at your option any later version": "Gpl3Either",
+    "either version 2 of the license or at your option any later version": "Gpl2Either",
     "you should have received a copy of the gnu general public license along with this program": "GplCopy",
     "licensed under the apache license version 2 0": "Apache2Short",
     "licensed under the apache license version 2 0 the license": "Apache2Notice",
@@ -33,13 +38,17 @@ SENTENCES = {
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheNoWarranty",
     "released under the mit license": "MitNotice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "MitGrant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNoticeKept",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdNoEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2Notice",
+    "this source code form is subject to the terms of the mozilla public license v": "Mpl2Notice",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "IscGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "this is free and unencumbered software released into the public domain": "Unlicense",
 }
 # Ordered rules, a license and the identifiers that must follow each other; more special ones come first.
@@ -49,7 +58,9 @@ RULES = [
     ("MIT", ["MitGrant", "MitNoticeKept"]),
     ("Apache-2.0", ["Apache2Notice", "ApacheUse"]),
     ("GPL-3.0-or-later", ["Gpl3Plus"]),
+    ("GPL-3.0-or-later", ["GplTerms", "Gpl3Either"]),
     ("GPL-2.0-or-later", ["Gpl2Plus"]),
+    ("GPL-2.0-or-later", ["GplTerms", "Gpl2Either"]),
     ("GPL-3.0", ["Gpl3Notice"]),
     ("GPL-3.0", ["Gpl3Title"]),
     ("Apache-2.0", ["Apache2Short"]),

@@ -79,6 +79,37 @@ def test_license_rules(spark, edge):
     assert licenses.scan(d.limit(0)).count() == 0
 
 
+def test_each_license_rule_fires_on_its_real_notice(spark):
+    gpl = "This program is free software{a} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{b} either version {v} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n'
+    kept = "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    cases = [
+        ("BSD-3-Clause", bsd + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"),
+        ("BSD-2-Clause", bsd),
+        ("MIT", mit + kept),
+        ("MIT", mit),
+        ("MIT", "Released under the MIT License."),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n'),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+        ("GPL-3.0-or-later", gpl.format(a=":", b=",", v=3)),
+        ("GPL-3.0-or-later", gpl.format(a=";", b=";", v=3)),
+        ("GPL-2.0-or-later", gpl.format(a=";", b=";", v=2)),
+        ("GPL-2.0-or-later", gpl.format(a=":", b=",", v=2)),
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+        ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+        ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+    ]
+    d = spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(d).collect()} == {i: x for i, (x, _) in enumerate(cases)}
+    assert {x for x, _ in cases} == {x for x, _ in licenses.RULES}
+
+
 def test_language_identification(spark, edge):
     rng = random.Random(2)
     syllables = {"xx": ["tha", "ing", "ou", "er", "the"], "yy": ["sch", "ung", "ei", "ach", "der"]}
