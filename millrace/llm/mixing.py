@@ -1,16 +1,16 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 Words are spelled in bytes, each byte in eight binary steps. Predictors look up counts of zeros and ones under a hash of the bytes before (within the
-word; `ORDERS`, and for `OWN_ORDERS` also the group of documents) and of the bits so far. Their logits are combined by weights that a gate selects (how many predictors know the context, which bit), learned online on
-a bounded sample of words, each predicted with its own counts taken out; a table of corrections refines the result.
+word; `ORDERS`, and for `OWN_ORDERS` also the group of documents) and of the bits so far. Their logits are combined by weights that a gate selects (how many predictors know the context, which bit), learned online in
+each partition from all its training words in their frequencies, each predicted with its own counts taken out, and averaged; a table of corrections refines the result.
 
 This gives any word a probability and serves as the base of the word counts: a word's probability in a group of documents backs off from the
 group's counts to the corpus' counts to the spelling. A document's groups are gated as it goes: after each token the weight of each group is
 its share of the probability so far, which over a whole document equals log(sum over groups of prior x product).
 
 Counts cover all training tokens; a token's count comes from an exchange: input is read in chunks, a chunk sends each of its different words once, with counts, and
-gets corpus counts and spelling probability back. So a word, however common, is one row per chunk. Bounds: chunk size, `SLOTS` per predictor, `SAMPLE` words
-for the weights, `GROUPS` groups; nothing else is sent to all.
+gets corpus counts and spelling probability back. So a word, however common, is one row per chunk. Bounds: chunk size, `SLOTS` per predictor,
+`GROUPS` groups; nothing else is sent to all.
 
 Defined cases: a null text is empty and has its end token alone; a null doc_id is learned from and not held out; rows that repeat are learned and scored as often as they
 come; words may be of any length; without training text counts are zero and the model falls back to the spelling with even odds; an empty table gives an empty
@@ -34,7 +34,7 @@ from .common import binary, materialize, mix64, partitions_for, small_batches
 ORDERS, OWN_ORDERS, SLOT_BITS = (0, 1, 2, 3, 4, 6), (1, 2, 3), 18
 SLOTS = 1 << SLOT_BITS
 ALL = len(ORDERS) + len(OWN_ORDERS)
-GROUPS, SAMPLE = 8, 30_000
+GROUPS = 8
 #: A chunk ends after so many tokens or different words.
 CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 600_000
 END, STOP = b"\n", b" "
@@ -157,23 +157,28 @@ def own_context(context: np.ndarray, group: np.ndarray | int) -> np.ndarray:
 
 
 def counted(words: list[bytes], groups: np.ndarray, table: np.ndarray) -> None:
-    """Adds the bits of words to table[order, slot, bit]; groups [word, group] tells where a word occurs."""
+    """Adds the bits of words to table[order, slot, bit], as often as they occur; groups [word, group] has the occurrences."""
     at, flat = 0, table.reshape(ALL, 2 * SLOTS)
     for part in in_parts(words):
         data, owner, contexts = steps(part)
         there = groups[at : at + len(part)]
         at += len(part)
-        own = []
+        own, many = [], there.sum(axis=1)[owner]
         for g in np.flatnonzero(there.any(axis=0)):
             x = np.flatnonzero(there[owner, g])
-            own.append((x, [own_context(contexts[ORDERS.index(o)][x], g) for o in OWN_ORDERS]))
+            own.append((x, there[owner[x], g], [own_context(contexts[ORDERS.index(o)][x], g) for o in OWN_ORDERS]))
         for _, node, bit in nodes_bits(data):
             n, b = spread(node), bit.astype(np.int64)
             for o in range(len(ORDERS)):
-                np.add.at(flat[o], slots(contexts[o], n) * 2 + b, 1)
-            for x, found in own:
+                np.add.at(flat[o], slots(contexts[o], n) * 2 + b, many)
+            for x, times, found in own:
                 for i, c in enumerate(found):
-                    np.add.at(flat[len(ORDERS) + i], slots(c, n[x]) * 2 + b[x], 1)
+                    np.add.at(flat[len(ORDERS) + i], slots(c, n[x]) * 2 + b[x], times)
+
+
+def counts_of(b: pa.RecordBatch) -> np.ndarray:
+    """Occurrences [word, group] of a batch of (data, *COUNTS)."""
+    return np.stack([b.column(1 + g).to_numpy() for g in range(GROUPS)], axis=1).astype(np.int64)
 
 
 def count_tables(words: DataFrame) -> np.ndarray:
@@ -184,7 +189,7 @@ def count_tables(words: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((ALL, SLOTS, 2), np.int64)
         for b in batches:
-            counted(b.column(0).to_pylist(), np.stack([b.column(1 + g).to_numpy() > 0 for g in range(GROUPS)], axis=1), table)
+            counted(b.column(0).to_pylist(), counts_of(b), table)
         z, flat = zstandard.ZstdCompressor(level=1), table.reshape(per, SLICE)
         some = [i for i in range(per) if flat[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([z.compress(flat[i].tobytes()) for i in some], pa.binary())], schema=schema)
@@ -238,26 +243,50 @@ class Speller:
     def bucket(self, logit: np.ndarray) -> np.ndarray:
         return np.clip((logit + 8) * np.float32(BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
 
-    def learn(self, words: list[bytes], groups: list[int], table: np.ndarray, rate: float = 0.02, passes: int = 3) -> None:
-        """Online: each small batch is predicted with the weights so far, then they move along its errors. A word's own counts are taken out of the table."""
-        order = np.random.default_rng(7).permutation(len(words))
+    def learn(self, words: list[bytes], counts: np.ndarray | list[int], table: np.ndarray, rate: float = 0.02, passes: int = 3) -> np.ndarray:
+        """Online, from all words in their frequencies [word, group]: each small batch is predicted with the weights so far, then they move along its errors.
+
+        The occurrences of a word in a group are spread over the batches; its own counts are taken out of the table. A list gives
+        each word's group, for one occurrence each. Returns the occurrences of bits by gate.
+        """
+        counts = np.asarray(counts)
+        if counts.ndim == 1:
+            counts = np.eye(GROUPS, dtype=np.int64)[counts]
+        rng, mass = np.random.default_rng(7), np.zeros(GATES)
+        item, of = np.nonzero(counts)
+        times, all_times = counts[item, of], counts.sum(axis=1)[item]
+        batches = max(1, -(-len(item) // 256))
         for turn in range(passes):
-            for i in range(0, len(order), 256):
-                data, owner, contexts = steps([words[j] for j in order[i : i + 256]])
-                group = np.array([groups[j] for j in order[i : i + 256]])[owner]
-                all_ = [*contexts, *(own_context(contexts[ORDERS.index(o)], group) for o in OWN_ORDERS)]
-                for k, node, bit in nodes_bits(data):
-                    n, x = spread(node), np.empty((ALL, len(data)), np.float32)
-                    for o, c in enumerate(all_):
-                        seen = table[o][slots(c, n)].astype(np.float64)
-                        x[o] = logit_of(np.maximum(seen[:, 0] - (1 - bit), 0), np.maximum(seen[:, 1] - bit, 0))
-                    gate, logit = self.mixed(x, k)
-                    error = bit - squash(logit)
-                    total, many = np.zeros_like(self.weights), np.bincount(gate, minlength=GATES)
-                    np.add.at(total, gate, (x * error).T)
-                    self.weights += np.float32(rate / (1 + turn)) * total / np.sqrt(np.maximum(many, 1))[:, None].astype(np.float32)
-                    if turn == passes - 1:
-                        np.add.at(self.fix, (node, self.bucket(logit), bit.astype(np.int64)), 1)
+            shares = np.minimum(times, batches)  # in so many batches
+            who = np.repeat(np.arange(len(item)), shares)
+            nth = np.arange(len(who)) - np.repeat(np.cumsum(shares) - shares, shares)
+            where = (rng.integers(0, batches, len(item))[who] + nth * batches // shares[who]) % batches
+            who = who[np.argsort(where, kind="stable")]
+            ends = np.cumsum(np.bincount(where, minlength=batches))
+            for start, end in zip(ends - np.bincount(where, minlength=batches), ends, strict=True):
+                for i in range(start, end, 4096):
+                    few = who[i : min(end, i + 4096)]
+                    data, owner, contexts = steps([words[j] for j in item[few]])
+                    group, weight = of[few][owner], (times[few] / shares[few])[owner]
+                    every, here = all_times[few][owner], times[few][owner]
+                    all_ = [*contexts, *(own_context(contexts[ORDERS.index(o)], group) for o in OWN_ORDERS)]
+                    for k, node, bit in nodes_bits(data):
+                        n, x = spread(node), np.empty((ALL, len(data)), np.float32)
+                        for o, c in enumerate(all_):
+                            seen = table[o][slots(c, n)].astype(np.float64)
+                            out = every if o < len(ORDERS) else here
+                            x[o] = logit_of(np.maximum(seen[:, 0] - (1 - bit) * out, 0), np.maximum(seen[:, 1] - bit * out, 0))
+                        gate, logit = self.mixed(x, k)
+                        error = (bit - squash(logit)) * weight
+                        total, many = np.zeros((GATES, ALL)), np.bincount(gate, minlength=GATES)
+                        weighed = np.bincount(gate, weight, minlength=GATES)
+                        np.add.at(total, gate, (x * error).T)
+                        mean = total / np.maximum(weighed, 1e-9)[:, None]
+                        self.weights += (rate / (1 + turn) * mean * np.sqrt(many)[:, None]).astype(np.float32)
+                        if turn == passes - 1:
+                            mass += weighed
+                            np.add.at(self.fix, (node, self.bucket(logit), bit.astype(np.int64)), weight)
+        return mass
 
     def log10(self, words: list[bytes], groups: list[int]) -> np.ndarray:
         """log10 probability of the spelling of each word in each of the groups: [word, group]."""
@@ -283,8 +312,36 @@ class Speller:
         return np.concatenate(out) if out else np.empty((0, len(groups)))
 
 
+def learned(words: DataFrame, table: np.ndarray) -> Speller:
+    """A speller from all words (data, counts) of training text: partitions learn by themselves, weights are averaged by what their gates have seen, corrections add up."""
+    logits = logit_of(table[:, :, 0], table[:, :, 1])
+    shared = words.sparkSession.sparkContext.broadcast(table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table)
+    schema = pa.schema([("weights", pa.binary()), ("mass", pa.binary()), ("fix", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, counts = [], []
+        for b in batches:
+            data += b.column(0).to_pylist()
+            counts.append(counts_of(b))
+        if data:
+            own = Speller(np.empty(0))
+            mass = own.learn(data, np.concatenate(counts), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.weights, mass, own.fix)], schema=schema)
+
+    parts = words.select("data", *COUNTS).mapInArrow(run, "weights binary, mass binary, fix binary").collect()  # some 100 KB a partition
+    whole = Speller(logits)
+    if parts:
+        mass = np.stack([np.frombuffer(r["mass"]) for r in parts])
+        weights = np.stack([np.frombuffer(r["weights"], np.float32).reshape(GATES, ALL) for r in parts])
+        seen = mass.sum(axis=0)
+        mean = (weights * mass[:, :, None]).sum(axis=0) / np.maximum(seen, 1e-9)[:, None]
+        whole.weights = np.where(seen[:, None] > 0, mean, whole.weights).astype(np.float32)
+        whole.fix = sum(np.frombuffer(r["fix"]).reshape(256, BUCKETS, 2) for r in parts)
+    return whole
+
+
 def spelled(words: DataFrame, speller: Speller, groups: list[int], totals: np.ndarray, once: np.ndarray, only: np.ndarray) -> DataFrame:
-    """Of each word (w): its training count and its log10 probability in each of the groups, as half-precision numbers."""
+    """Of each word (w): its training count and its log10 probability in each of the groups, as 32-bit numbers."""
     shared = words.sparkSession.sparkContext.broadcast((speller.logits, speller.weights, speller.fix))  # 4 x ALL x SLOTS bytes and a little
     schema = pa.schema([("w", pa.binary()), ("c", pa.int64()), ("logs", pa.binary())])
 
@@ -292,8 +349,8 @@ def spelled(words: DataFrame, speller: Speller, groups: list[int], totals: np.nd
         own = Speller(*shared.value)
         for b in batches:
             w = b.column(0).to_pylist()
-            counts = np.stack([b.column(1 + g).to_numpy() for g in range(GROUPS)], axis=1)
-            found = logs(counts, own.log10(w, groups), totals, once, only, groups).astype("<f2")
+            counts = counts_of(b)
+            found = logs(counts, own.log10(w, groups), totals, once, only, groups).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.sum(axis=1)), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
 
     return words.select("data", *COUNTS).mapInArrow(run, "w binary, c long, logs binary")
@@ -339,9 +396,7 @@ def score(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     ends = words.where(F.col("data") == F.lit(END)).select(*COUNTS).first()
     documents = np.array([ends[c] for c in COUNTS] if ends else [0] * GROUPS, float)
     table = count_tables(seen)
-    speller = Speller(logit_of(table[:, :, 0], table[:, :, 1]))
-    some = seen.select("data", *COUNTS).orderBy(F.xxhash64("data")).limit(SAMPLE).collect()
-    speller.learn([bytes(r["data"]) for r in some], [max(range(GROUPS), key=lambda g: r[1 + g]) for r in some], table)
+    speller = learned(seen, table)
     groups = [g for g in range(GROUPS) if totals[g]] or [0]
     known = spelled(words, speller, groups, totals, once, only)
     back = vocabulary.select("chunk", "j", "data").join(known, F.col("data") == F.col("w")).select(F.lit(True).alias("word_row"), "chunk", "j", "c", F.col("logs").alias("data"))
@@ -364,7 +419,7 @@ def score(docs: DataFrame, group: str | None = "lang") -> DataFrame:
                 k = int(kind.sum())
                 if k:
                     w = piece.slice(0, k)
-                    found = np.frombuffer(b"".join(w.column(4).to_pylist()), "<f2").reshape(k, len(groups)).astype(np.float32)
+                    found = np.frombuffer(b"".join(w.column(4).to_pylist()), "<f4").reshape(k, len(groups))
                     parts.append((w.column(2).to_numpy(), w.column(3).to_numpy(), found))
                 if k == len(kind):
                     continue

@@ -176,6 +176,20 @@ def test_spelling_is_a_distribution():
     assert s.log10([b"ther"], [0])[0, 0] > s.log10([b"zqxw"], [0])[0, 0]
 
 
+def test_spelling_learns_from_all_occurrences(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(1, 7))).encode() for _ in range(700)})
+    rows = [(w, *[(i * 7 + g) % 5 * (g < 2) for g in range(mixing.GROUPS)]) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "data binary, " + ", ".join(f"{c} long" for c in mixing.COUNTS)).repartition(3)
+    counts = np.array([r[1:] for r in rows])
+    table = mixing.count_tables(df)
+    want = 8 * sum((len(w) + 1) * int(c) for w, c in zip(words, counts.sum(axis=1)))
+    assert table[0].sum() == want and table[: len(mixing.ORDERS)].sum() == want * len(mixing.ORDERS)
+    s = mixing.learned(df, table)
+    assert abs(s.fix.sum() - want) < 1e-6 * want
+    assert np.isfinite(s.weights).all()
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same"), (2, "http://b/ c\r\nX: y", "same"), (3, None, None), (4, "", ""), (5, "http://é/", "é\r\n\r\nWARC/1.1\r\n" * 3000), (None, "http://n/", "same"), (6, "u", "own"), (6, "u", "own")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).withColumn("keeper", F.lit(0))
