@@ -8,7 +8,9 @@
 4. From the clusters' medoids a greedy beam search runs for each node at home; once it meets the range it expands through all neighbours within a little more than the
    range. What it finds is verified by cosine in double precision.
 5. Recall is audited in each shard on some queries against brute force; below `MIN_RECALL` the shard is built and searched again with larger lists.
-6. A node counts the vectors it is linked to; a shard sends one edge per node to its local component's least node, and stars join these.
+   Labels that were dealt are audited again as a whole, on nodes with known links and others against all nodes of the label; below `MIN_RECALL` the label is
+   dealt again with twice the overlap, at last compared by brute force in blocks.
+6. A node counts the vectors it is linked to, whichever end has found the link; a shard sends one edge per node to its local component's least node, and stars join these.
 
 Defined cases: a null label, or a vector that is null, empty, zero or holds a null or non-finite component, links with nothing; vectors of different length
 never link; each row is a vector of its own even if its vec_id repeats (ids that repeat are one vertex of components); a null vec_id has a null component, counts in no
@@ -19,11 +21,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, partitions_for, small_batches
 from .components import components
@@ -33,6 +37,8 @@ SHARD, OVERLAP, LEVELS = 600, 3, 4
 CENTROIDS, SAMPLED = 4096, 24
 CLUSTER, DEGREE, BEAM, ALPHA = 256, 16, 24, 1.2
 SLACK, MIN_RECALL, AUDITED = 0.01, 0.95, 16
+#: The audit over a label: nodes with known links, and as many of any kind, against all nodes of the label in blocks. Rounds, each with twice the overlap.
+LABEL_AUDITED, BLOCK, ROUNDS = 64, 4096, 3
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -155,8 +161,8 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
 
 
-def dealt(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, grp, embedding) as rows (shard, node, n, home, embedding); shards of about SHARD nodes at home."""
+def dealt(nodes: DataFrame, most: int) -> DataFrame:
+    """Each node in the shards of its `most` nearest centroids: nodes (node, n, grp, embedding) as rows (shard, node, n, home, embedding); shards of about SHARD nodes at home."""
     spark = nodes.sparkSession
     held = nodes.select(F.col("grp").alias("shard"), "node", "n", F.lit(True).alias("home"), "embedding")
     for level in range(LEVELS):
@@ -176,7 +182,7 @@ def dealt(nodes: DataFrame) -> DataFrame:
             found.setdefault(r["shard"], []).append(r["embedding"])
         centres = {s: fitted(unit(np.array(v, np.float64)), wanted[s][0]) for s, v in found.items() if len(v) > 1}
         shared = spark.sparkContext.broadcast(centres)  # at most CENTROIDS vectors
-        overlap = OVERLAP if level == 0 else 2
+        overlap = most if level == 0 else max(2, 2 * most // 3)
         schema = pa.schema([("shard", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("home", pa.bool_()), ("embedding", pa.list_(pa.float64()))])
 
         def place(batches: Iterator[pa.RecordBatch], shared=shared, overlap=overlap) -> Iterator[pa.RecordBatch]:
@@ -205,8 +211,8 @@ def dealt(nodes: DataFrame) -> DataFrame:
 
 
 def shard_links(held: DataFrame, threshold: float) -> DataFrame:
-    """(node, n_links, root, recall) for each node at home, and roots for the others that are linked in a shard."""
-    schema = pa.schema([("node", pa.int64()), ("home", pa.bool_()), ("n_links", pa.int64()), ("root", pa.int64()), ("recall", pa.float64())])
+    """(node, n_links, root, recall) for each node at home, roots for the others that are linked in a shard, and links (node, other) with their sizes to nodes of another home."""
+    schema = pa.schema([("node", pa.int64()), ("home", pa.bool_()), ("n_links", pa.int64()), ("root", pa.int64()), ("recall", pa.float64()), ("other", pa.int64()), ("n_node", pa.int64()), ("n_other", pa.int64())])
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
@@ -235,8 +241,18 @@ def shard_links(held: DataFrame, threshold: float) -> DataFrame:
                         parent[b] = a
                     else:
                         parent[a] = b
-        at = dict(zip(home.tolist(), found, strict=True))
-        rows = [(int(node[i]), i in at, int(n[at[i]].sum()) if i in at else 0, int(node[root(i)]), recall) for i in range(len(node)) if i in at or root(i) != i]
+        # a link counts at both ends, whichever has found it; those to nodes of another home meet afterwards
+        at: dict[int, set[int]] = {i: set() for i in home.tolist()}
+        cross = []
+        for i, f in zip(home.tolist(), found, strict=True):
+            for j in f.tolist():
+                if j in at:
+                    at[i].add(j)
+                    at[j].add(i)
+                else:
+                    cross.append((int(node[i]), False, 0, int(node[i]), recall, int(node[j]), int(n[i]), int(n[j])))
+        rows = [(int(node[i]), i in at, int(sum(n[j] for j in at[i])) if i in at else 0, int(node[root(i)]), recall, None, None, None) for i in range(len(node)) if i in at or root(i) != i]
+        rows += cross
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +274,101 @@ def shard_links(held: DataFrame, threshold: float) -> DataFrame:
             yield from solve(parts)
 
     d = held.repartition(4 * partitions_for(held), "shard").sortWithinPartitions("shard", "node")
-    return d.mapInArrow(run, "node long, home boolean, n_links long, root long, recall double")
+    return d.mapInArrow(run, "node long, home boolean, n_links long, root long, recall double, other long, n_node long, n_other long")
+
+
+def all_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links) of nodes in `some` by brute force against all nodes of their group, blocks against blocks; a row for each block that has links."""
+    number = lambda d, name: d.join(d.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)), "grp")
+    a, b = number(some.select("grp", "node", "embedding"), "na"), number(nodes.select("grp", "node", "n", "embedding"), "nb")
+    other = lambda d, name: d.select("grp", name).distinct()
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    block = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    left = a.join(other(b, "nb"), "grp").select("grp", block("na").alias("i"), each("nb").alias("j"), "node", "embedding")
+    right = b.join(other(a, "na"), "grp").select("grp", each("na").alias("i"), block("nb").alias("j"), "node", "n", "embedding")
+    schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
+
+    def solve(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        vectors = lambda t: unit(t.column("embedding").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
+        u, v, n, p, q = x.column("node").to_numpy(), y.column("node").to_numpy(), y.column("n").to_numpy(), vectors(x), vectors(y)
+        rows = []
+        for i in range(0, len(u), 256):
+            near = (p[i : i + 256] @ q.T >= threshold) & (u[i : i + 256, None] != v[None, :])
+            for k in np.flatnonzero(near.any(axis=1)):
+                found = np.flatnonzero(near[k])
+                rows.append((int(u[i + k]), int(n[found].sum())))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(solve, "node long, n_links long")
+
+
+def all_edges(nodes: DataFrame, same: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): what ties the linked among nodes together, by brute force in blocks; `same` has the same rows."""
+    number = lambda d: d.join(d.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "grp")
+    own, each = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = number(nodes.select("grp", "node", "embedding")).select("grp", own.alias("i"), each.alias("j"), "node", "embedding")
+    right = number(same.select("grp", "node", "embedding")).select("grp", each.alias("i"), own.alias("j"), "node", "embedding")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def solve(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        vectors = lambda t: unit(t.column("embedding").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
+        u, v, p, q = x.column("node").to_numpy(), y.column("node").to_numpy(), vectors(x), vectors(y)
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in range(0, len(u), 256):
+            for k, j in zip(*np.nonzero((p[i : i + 256] @ q.T >= threshold) & (u[i : i + 256, None] > v[None, :])), strict=True):
+                a, b = root(int(u[i + k])), root(int(v[j]))
+                parent[max(a, b)] = min(a, b)
+        pairs = [(i, root(i)) for i in list(parent) if root(i) != i]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], schema=schema) if pairs else schema.empty_table()
+
+    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(solve, "u long, v long")
+
+
+def audited(own: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(grp, label_recall) of groups large enough to be dealt, from nodes with known links and others against all nodes of their group."""
+    dealt_out = nodes.groupBy("grp").count().where(F.col("count") > 2 * SHARD).select("grp")
+    known = own.join(nodes.select("node", "grp", "embedding"), "node").join(dealt_out, "grp").withColumn("linked", F.col("found") > 0)
+    w = Window.partitionBy("grp", "linked").orderBy(F.xxhash64("node", F.lit(11)))
+    some = materialize(known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= LABEL_AUDITED), "audited")
+    true = all_links(some, nodes, threshold).groupBy("node").agg(F.sum("n_links").alias("true"))
+    both = some.join(true, "node", "left").groupBy("grp").agg(F.sum("found").alias("found"), F.sum(F.coalesce("true", F.lit(0))).alias("true"))
+    return both.select("grp", F.when(F.col("true") > 0, F.col("found") / F.col("true")).otherwise(1.0).alias("label_recall"))
+
+
+def graph_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, found, recall) for every node, and edges (u, v). Groups whose audit fails are dealt again with more overlap, at last compared by brute force."""
+    left, owns, edges = nodes, [], []
+    for turn in range(ROUNDS):
+        got = materialize(shard_links(dealt(left, OVERLAP << turn), threshold), "found")
+        cross = got.where("other is not null")
+        cross = cross.select("node", "other", F.col("n_other").alias("k")).union(cross.select("other", "node", "n_node")).distinct().groupBy("node").agg(F.sum("k").alias("more"))
+        own = got.where("home").groupBy("node").agg(F.max("n_links").alias("found"), F.min("recall").alias("recall")).join(cross, "node", "left")
+        own = materialize(own.select("node", (F.col("found") + F.coalesce("more", F.lit(0))).alias("found"), "recall"), "links")
+        audit = materialize(audited(own, left, threshold), "audit")
+        own = own.join(left.select("node", "grp"), "node").join(audit, "grp", "left")
+        bad = audit.where(F.col("label_recall") < MIN_RECALL).select("grp")
+        owns.append(own.join(bad, "grp", "left_anti").select("node", "found", F.least("recall", "label_recall").alias("recall")))
+        edges.append(got.where("other is null and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))  # true links in any case
+        if bad.isEmpty():
+            break
+        left = materialize(left.join(bad, "grp", "left_semi"), "again")
+    else:
+        same = materialize(left, "same")  # read anew, as a plan can't meet itself
+        exact = all_links(left, same, threshold).groupBy("node").agg(F.sum("n_links").alias("found"))
+        owns.append(left.select("node").join(exact, "node", "left").select("node", F.coalesce("found", F.lit(0)).alias("found"), F.lit(1.0).alias("recall")))
+        edges.append(all_edges(left, same, threshold))
+    return reduce(DataFrame.union, owns), reduce(DataFrame.union, edges)
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -268,10 +378,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     key = ["label", "h1", "h2"]
     nodes = rows.where("ok").groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     nodes = materialize(nodes.withColumn("grp", F.concat_ws(":", F.size("embedding"), "label")), "vectors")
-    found = materialize(shard_links(dealt(nodes), threshold), "found")
-    edges = found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    own, edges = graph_links(nodes, threshold)
     labels = components(edges)
-    own = found.where("home").groupBy("node").agg(F.max("n_links").alias("found"), F.min("recall").alias("recall"))
     per = nodes.select(*key, "node", "n").join(own, "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
     per = per.select(*key, (F.col("found") + F.col("n") - 1).alias("found"), F.coalesce("component_id", "node").alias("c"), "recall")
     out = rows.withColumn("label", F.when(F.col("ok"), F.col("label"))).select("vec_id", *key).join(per, key, "left")

@@ -130,6 +130,22 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_lost_by_dealing_are_found(spark, monkeypatch):
+    """Pairs just within the threshold among vectors without clusters, a label dealt to single shards."""
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "OVERLAP", 1)
+    rng = np.random.default_rng(6)
+    base = vectors.unit(rng.normal(size=(300, 64)))
+    side = rng.normal(size=base.shape)
+    side = vectors.unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([base, 0.81 * base + math.sqrt(1 - 0.81**2) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, 0.8).collect()}
+    assert len(got) == 600 and all(got[i]["n_links"] == got[300 + i]["n_links"] for i in range(300))
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * 600
+    assert sum(got[i]["component_id"] == got[300 + i]["component_id"] for i in range(300)) >= 0.9 * 300
+
+
 def test_graph_recall_on_a_large_shard():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(500, 32))
