@@ -182,20 +182,27 @@ def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> Da
 
 
 def shingle_rows(who: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(h, node, c, n, a): each shingle of the nodes in `who`, with the size and a hash of its set."""
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    """(h, node, c, n, a): each shingle of the nodes in `who`, with the size and a hash of its set; a set of a node comes once, however often its rows repeat."""
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
     schema = pa.schema([(x, pa.int64()) for x in ("h", "node", "c", "n", "a")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
-                found = shingles(t, words)
-                n = len(found)
-                if n:
-                    one = np.ones(n, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one * node), pa.array(one * c), pa.array(one * n), pa.array(one * found.sum(dtype=np.uint64).view(np.int64))], schema=schema)
-
-    return who.join(text, "node").select("node", "c", "text").mapInArrow(run, "h long, node long, c long, n long, a long")
+            lists = batch.column(2)
+            texts, many = binary(lists.flatten()), lists.value_lengths().to_pylist()
+            at = 0
+            for node, c, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), many, strict=True):
+                # rows of an id with the same set count once
+                sets = {int(x.sum(dtype=np.uint64)): x for x in (shingles(t, words) for t in texts[at : at + k])}
+                at += k
+                for found in sets.values():
+                    n = len(found)
+                    if n:
+                        one = np.ones(n, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one * node), pa.array(one * c), pa.array(one * n), pa.array(one * found.sum(dtype=np.uint64).view(np.int64))], schema=schema)
+
+    each = who.join(text, "node").groupBy("node", "c").agg(F.collect_set("text").alias("texts"))
+    return each.select("node", "c", "texts").mapInArrow(run, "h long, node long, c long, n long, a long")
 
 
 def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, words: int, percent: int, least: float) -> DataFrame:

@@ -94,6 +94,18 @@ def test_rare_shingles_find_all_far_pairs(spark):
     assert got == {i: 0 if i < 90 else 90 for i in range(96)}
 
 
+def test_repeated_rows_add_no_shingles(spark):
+    rng = random.Random(2)
+    base = ["".join(rng.choices("klmnopqrst", k=5)) for _ in range(60)]
+    text, other = " ".join(base), " ".join(base[:-3] + ["x", "y", "z"])
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text.upper()), (2, other), (2, other), (3, text), (3, other)], "doc_id long, text string")
+    who = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node long, c long")
+    got = Counter((r["node"], r["h"], r["a"]) for r in minhash.shingle_rows(who, docs, 3).collect())
+    assert set(got.values()) == {1}
+    assert Counter(k[0] for k in got) == {1: 58, 2: 58, 3: 116}
+    assert {r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id < 3"), 3, 85).collect()} == {1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), (11, 9), (1, 5), (None, 3)], "u long, v long")
     assert {r["id"]: r["component_id"] for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 11: 8}
