@@ -133,8 +133,8 @@ def pack(docs: DataFrame, path: str, end_id: int, targets: dict[str, float] | No
 
         def packed() -> Iterator[pa.RecordBatch]:
             rate = tokens / max(1, size)
-            for q in queues.values():  # bytes to ids, at most a window
-                q.account = max(-1.0, min(1.0, q.account * rate / (window_sequences * length))) * window_sequences * length
+            for q in queues.values():  # bytes to ids; the windows pay it off, however many that takes
+                q.account *= rate
             out = finished(list(pieces(windows(queues, window_sequences * length), bundle << 32, length)), length)
             for i in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 20_000], strict=True), schema, strict=True)], schema=schema)

@@ -207,6 +207,20 @@ def test_packing_keeps_every_id_once(spark, edge, bpe):
     assert packing.pack(edge.limit(0), tokens.vocabulary("byte_bpe_50k.json"), 1).count() == 0
 
 
+def test_balance_beyond_a_window_is_carried(spark):
+    """After a very long document of one source, the next bundles give the other source all it has first."""
+    rows = [(1003, "some words " * 3000, "a")] + [(i, f"a few more words {i}", "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), 1, {"a": 0.5, "b": 0.5}, length=16, window_sequences=1, bundle_bytes=3000).collect()
+    long = min(r["sequence_id"] >> 32 for r in got if r["doc_id"] == 1003)
+    later = defaultdict(lambda: defaultdict(list))
+    for r in got:
+        if r["sequence_id"] >> 32 > long:
+            later[r["sequence_id"] >> 32][r["source"]].append((r["sequence_id"], r["offset"]))
+    both = [x for x in later.values() if len(x) == 2]
+    assert both and all(max(x["b"]) < min(x["a"]) for x in both)
+
+
 def test_windows_hold_target_shares():
     queues = {s: packing.Queue(share, 0.0) for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2))}
     for s, n in (("a", 5000), ("b", 3000), ("c", 2000)):
