@@ -1,444 +1,683 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Words are spelled in bytes, each byte in eight binary steps. Predictors look up counts of zeros and ones under a hash of the bytes before (within the
-word; `ORDERS`, and for `OWN_ORDERS` also the group of documents) and of the bits so far. Their logits are combined by weights that a gate selects (how many predictors know the context, which bit), learned online in
-each partition from all its training words in their frequencies, each predicted with its own counts taken out, and averaged; a table of corrections refines the result.
+A text is spelled as its tokens: each word in UTF-8 with a space after it, and a line end at last. Bytes are spelled in bits along a Huffman code of the training text (all
+256 bytes have a code). `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the word before and this word so
+far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep the bit lies), and
+the result is refined by adaptive tables of (node, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
+with its own occurrence taken out of the counts; tasks learn by themselves, their weights are averaged by what their gates have seen and their tables add up.
 
-This gives any word a probability and serves as the base of the word counts: a word's probability in a group of documents backs off from the
-group's counts to the corpus' counts to the spelling. A document's groups are gated as it goes: after each token the weight of each group is
-its share of the probability so far, which over a whole document equals log(sum over groups of prior x product).
+The bits of a token give its probability from the bytes. A memory of all pairs of words that follow each other in training text predicts it too: with the share of
+the word before that this word follows. A gate (how often the word before was seen) weighs the two, learned with the rest. So a text that occurs again is told from one that
+doesn't, whatever the size of the corpus. A training document is scored without its own occurrences, a held-out one has none.
 
-Counts cover all training tokens; a token's count comes from an exchange: input is read in chunks, a chunk sends each of its different words once, with counts, and
-gets corpus counts and spelling probability back. So a word, however common, is one row per chunk. Bounds: chunk size, `SLOTS` per predictor,
-`GROUPS` groups; nothing else is sent to all.
+Data flow: documents are read once and written as chunks (files of words, token numbers and documents in the shared folder). A chunk sends each of its different words and
+pairs once, with counts, to the owner of the hash slice, and gets the totals back; a word, however common, is one entry per chunk. Number of slices, bits of
+pair keys, size of tables grow with the corpus (tables up to `MAX_SLOT_BITS`). Sent to all: tables (18 bytes x ALL x slots at most 20 bits), weights.
 
 Defined cases: a null text is empty and has its end token alone; a null doc_id is learned from and not held out; rows that repeat are learned and scored as often as they
-come; words may be of any length; without training text counts are zero and the model falls back to the spelling with even odds; an empty table gives an empty
-result; further columns of the input are ignored.
+come; words may be of any length, a document is held as a whole; ties don't arise; without training text counts are zero and all bits are even odds; an empty table gives
+an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, materialize, mix64, partitions_for, small_batches
+from .common import binary, materialize, mix64, new_path, small_batches
 
-ORDERS, OWN_ORDERS, SLOT_BITS = (0, 1, 2, 3, 4, 6), (1, 2, 3), 18
-SLOTS = 1 << SLOT_BITS
-ALL = len(ORDERS) + len(OWN_ORDERS)
-GROUPS = 8
-#: A chunk ends after so many tokens or different words.
-CHUNK_TOKENS, CHUNK_WORDS = 3_000_000, 600_000
+ORDERS = (1, 2, 3, 4, 6)
+ALL = len(ORDERS) + 1
+MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 20
+#: A chunk ends after so many tokens or bytes, at the end of a document.
+CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
+#: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
+SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 14, 1 << 19
 END, STOP = b"\n", b" "
-GATES = (ALL + 1) * 8
-BUCKETS = 24
-#: Counts sent to the table's owners, entries to a row.
-SLICE = 4096
+DEPTHS, BUCKETS, SEEN = 8, 25, 40
+GATES = (ALL + 1) * DEPTHS
+RATE = 0.05
+#: Logits are kept in eighths in one byte; entries of a slice of the tables.
+SCALE, TABLE_SLICE = 8, 4096
+_rng = np.random.default_rng(20_240_607)
+BYTE_HASH = _rng.integers(0, 1 << 32, (max(ORDERS) + 1, 256), dtype=np.uint32)
+PREFIX_HASH = _rng.integers(0, 1 << 32, (16, 256), dtype=np.uint32)
+NODE_HASH = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
+ORDER_HASH = _rng.integers(0, 1 << 32, ALL, dtype=np.uint32)
+SPREAD = np.uint32(0x9E3779B1)
+NO_WORD = np.uint64(0x8C6F_3A11_59D2_E07B)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+# Chunks
+
+
 class Index(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-COUNTS = [f"c{g}" for g in range(GROUPS)]
+@dataclass
+class Chunk:
+    """Documents with their lengths in tokens, token numbers one after the other, and the words that they number."""
+
+    doc_ids: pa.Array
+    held: np.ndarray
+    n_bytes: np.ndarray
+    n_tokens: np.ndarray
+    tokens: np.ndarray
+    words: list[bytes]
+
+    def tables(self) -> list[pa.Table]:
+        docs = pa.table({"doc_id": self.doc_ids, "held": self.held, "n_bytes": self.n_bytes, "n_tokens": self.n_tokens})
+        return [docs, pa.table({"token": self.tokens}), pa.table({"word": pa.array(self.words, pa.binary())})]
+
+    def write(self, path: str) -> None:
+        at, inner = fs.FileSystem.from_uri(path)
+        at.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with at.open_output_stream(inner) as sink:
+            for t in self.tables():
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(t)
+
+    @staticmethod
+    def read(path: str) -> Chunk:
+        at, inner = fs.FileSystem.from_uri(path)
+        with at.open_input_stream(inner) as source:
+            docs, tokens, words = (pa.ipc.open_stream(source).read_all() for _ in range(3))
+        column = lambda t, name: t.column(name).combine_chunks()
+        return Chunk(column(docs, "doc_id"), column(docs, "held").to_numpy(zero_copy_only=False), column(docs, "n_bytes").to_numpy(), column(docs, "n_tokens").to_numpy(), column(tokens, "token").to_numpy(), column(words, "word").to_pylist())
+
+    def starts(self) -> np.ndarray:
+        """The first token of each document, and the end of the last."""
+        return np.append(0, np.cumsum(self.n_tokens))
+
+    def training(self) -> np.ndarray:
+        """For each token, whether it is of training text."""
+        return np.repeat(~self.held, self.n_tokens)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """For each token the number of the word before, -1 at the start of a document."""
+        out = np.empty(len(self.tokens), np.int64)
+        out[1:] = self.tokens[:-1]
+        out[self.starts()[:-1]] = -1
+        return out
+
+    def pair_keys(self, bits: int) -> np.ndarray:
+        """For each token a key of `bits` bits of it and the word before."""
+        h = np.append(self.hashes, NO_WORD)  # the last entry is that of -1
+        return mix64(h[self.before] * np.uint64(0x9E3779B97F4A7C15) + h[self.tokens]) >> np.uint64(64 - bits)
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a chunk as one run of bytes, each with its end, and where each starts."""
+    parts = [w if w == END else w + STOP for w in words]
+    return np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, held_out, grp) as rows of documents (tokens as numbers of the chunk's words) and of a chunk's words with their training counts by group."""
+    """Writes docs (doc_id, text, held_out) as chunks; returns (chunk, path, train_tokens, train_docs, bytes, histogram), one row per chunk.
+
+    Attempts write under names of their own, and only names in a finished task's report count.
+    """
     small_batches(docs.sparkSession)
-    names = [("word_row", pa.bool_()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("j", pa.int32())] + [(c, pa.int64()) for c in COUNTS]
-    schema = pa.schema(names)
-    shown = "word_row boolean, chunk long, doc_id long, held_out boolean, n_bytes long, data binary, j int, " + ", ".join(f"{c} long" for c in COUNTS)
+    folder = new_path(docs.sparkSession, "chunks")
+    schema = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("train_tokens", pa.int64()), ("train_docs", pa.int64()), ("histogram", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        chunk, index, size = TaskContext.get().partitionId() << 24, Index(), 0
-        seen: list[list[np.ndarray]] = [[] for _ in range(GROUPS)]
-
-        def words() -> Iterator[pa.RecordBatch]:
-            n = len(index)
-            counts = [np.bincount(np.concatenate(s), minlength=n) if s else np.zeros(n, np.int64) for s in seen]
-            data = pa.array(list(index), pa.binary())
-            for i in range(0, n, 50_000):
-                k = min(50_000, n - i)
-                none = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, bool)), pa.array(np.full(k, chunk)), *none, data.slice(i, k), pa.array(np.arange(i, i + k, dtype=np.int32)), *[pa.array(c[i : i + k].astype(np.int64)) for c in counts]], schema=schema)
-
+        number = TaskContext.get().partitionId() << 24
+
+        def written(number: int, rows: list[tuple], ids: list[np.ndarray], index: Index) -> pa.RecordBatch:
+            doc_ids, held, sizes = zip(*rows, strict=True)
+            c = Chunk(pa.array(doc_ids, pa.int64()), np.array(held, bool), np.array(sizes, np.int64), np.array([len(x) for x in ids], np.int64), np.concatenate(ids), list(index))
+            path = f"{folder}/{number:010x}-{uuid.uuid4().hex[:8]}.chunk"
+            c.write(path)
+            own = c.tokens[c.training()]
+            data, starts = spelled(c.words)
+            times = np.repeat(np.bincount(own, minlength=len(c.words)), np.diff(starts))
+            histogram = np.bincount(data, times, 256).astype(np.int64)
+            return pa.RecordBatch.from_pylist([{"chunk": number, "path": path, "tokens": len(c.tokens), "train_tokens": len(own), "train_docs": int((~c.held).sum()), "histogram": histogram.tolist()}], schema=schema)
+
+        rows, ids, index, size, n = [], [], Index(), 0, 0
         for b in batches:
-            rows = []
-            for doc_id, text, out, group in zip(b.column(0).to_pylist(), binary(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for doc_id, text, out in zip(b.column(0).to_pylist(), binary(b.column(1)), b.column(2).to_pylist(), strict=True):
                 tokens = text.lower().split()
                 tokens.append(END)
-                ids = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-                if not out:
-                    seen[group].append(ids)
-                size += len(ids)
-                rows.append((doc_id, out, len(text), z.compress(ids.tobytes())))
-            k = len(rows)
-            if k:
-                d = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, bool)), pa.array(np.full(k, chunk)), *[pa.array(c, t) for c, t in zip(d, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.int64()) for _ in COUNTS]], schema=schema)
-            if size >= CHUNK_TOKENS or len(index) >= CHUNK_WORDS:
-                yield from words()
-                chunk, index, size, seen = chunk + 1, Index(), 0, [[] for _ in range(GROUPS)]
-        if index:
-            yield from words()
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "held_out", "grp").mapInArrow(run, shown)
-
-
-# Spelling
-
-
-def steps(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of words, each with its end (STOP; END is its own), for each byte the number of its word, and a context hash per order."""
-    spelled = [w if w == END else w + STOP for w in words]
-    data = np.frombuffer(b"".join(spelled), np.uint8)
-    lengths = np.array([len(w) for w in spelled], np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    contexts = np.zeros((len(ORDERS), len(data)), np.uint64)
-    for k, order in enumerate(ORDERS):
-        h = np.full(len(data), order + 1, np.uint64)
-        if order == 0:
-            h += np.minimum(place, 7).astype(np.uint64) * np.uint64(31)
-        for back in range(1, order + 1):
-            before = np.zeros(len(data), np.uint64)
-            before[back:] = data[:-back] if back else data
-            before = np.where(place >= back, before + np.uint64(1), np.uint64(0))
-            h = h * np.uint64(0x9E3779B97F4A7C15) + before
-        contexts[k] = mix64(h)
-    return data, owner, contexts
-
-
-def nodes_bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each of the eight steps: its number, the bits so far with a leading one, the bit."""
-    for k in range(8):
-        yield k, (1 << k) | (data >> (8 - k) if k else np.zeros(len(data), np.uint8)).astype(np.int64), (data >> (7 - k)) & 1
-
-
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots of spread contexts with the bits so far (as multiples of an odd number)."""
-    return (((context ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-
-
-def spread(node: np.ndarray) -> np.ndarray:
-    return node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def in_parts(words: list[bytes], most: int = 1 << 16) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for w in words:
-        part.append(w)
-        size += len(w)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def own_context(context: np.ndarray, group: np.ndarray | int) -> np.ndarray:
-    return mix64(context + np.atleast_1d(group).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x3C79AC492BA7B653))
-
-
-def counted(words: list[bytes], groups: np.ndarray, table: np.ndarray) -> None:
-    """Adds the bits of words to table[order, slot, bit], as often as they occur; groups [word, group] has the occurrences."""
-    at, flat = 0, table.reshape(ALL, 2 * SLOTS)
-    for part in in_parts(words):
-        data, owner, contexts = steps(part)
-        there = groups[at : at + len(part)]
-        at += len(part)
-        own, many = [], there.sum(axis=1)[owner]
-        for g in np.flatnonzero(there.any(axis=0)):
-            x = np.flatnonzero(there[owner, g])
-            own.append((x, there[owner[x], g], [own_context(contexts[ORDERS.index(o)][x], g) for o in OWN_ORDERS]))
-        for _, node, bit in nodes_bits(data):
-            n, b = spread(node), bit.astype(np.int64)
-            for o in range(len(ORDERS)):
-                np.add.at(flat[o], slots(contexts[o], n) * 2 + b, many)
-            for x, times, found in own:
-                for i, c in enumerate(found):
-                    np.add.at(flat[len(ORDERS) + i], slots(c, n[x]) * 2 + b[x], times)
-
-
-def counts_of(b: pa.RecordBatch) -> np.ndarray:
-    """Occurrences [word, group] of a batch of (data, *COUNTS)."""
-    return np.stack([b.column(1 + g).to_numpy() for g in range(GROUPS)], axis=1).astype(np.int64)
-
-
-def count_tables(words: DataFrame) -> np.ndarray:
-    """Counts of every predictor over all words (data) of training text; partial tables are summed where their slices are owned."""
-    per = 2 * SLOTS * ALL // SLICE
+                ids.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
+                rows.append((doc_id, out, len(text)))
+                size, n = size + len(text), n + len(tokens)
+                if n >= CHUNK_TOKENS or size >= CHUNK_BYTES:
+                    yield written(number, rows, ids, index)
+                    rows, ids, index, size, n, number = [], [], Index(), 0, 0, number + 1
+        if rows:
+            yield written(number, rows, ids, index)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "chunk long, path string, tokens long, train_tokens long, train_docs long, histogram array<long>")
+    return materialize(rows, "chunks")
+
+
+# Totals of words and pairs
+
+
+def packed(x: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
+    """Whole numbers by planes of bytes, compressed."""
+    return z.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(z.decompress(data), np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+
+def totals(chunks: DataFrame, slices: int, bits: int) -> DataFrame:
+    """(chunk, slice, words, pairs, distinct): for the words and pairs of a chunk whose hash lies in the slice, in their order there, counts over all training text.
+
+    `distinct` has the words with a count, in one row of each slice. A chunk's pairs come in order of their keys, its words in order of their hashes.
+    """
+    width = slices.bit_length() - 1
+    schema = pa.schema([("slice", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
+    out = pa.schema([("chunk", pa.int64()), ("slice", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("distinct", pa.int64())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for number, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = Chunk.read(path)
+                training = c.training()
+                h = c.hashes
+                order = np.argsort(h, kind="stable")
+                counts = np.bincount(c.tokens[training], minlength=len(h))[order]
+                keys, at = np.unique(c.pair_keys(bits), return_inverse=True)
+                times = np.bincount(at[training], minlength=len(keys))
+                del at
+                edges = np.arange(slices + 1, dtype=object)
+                of_word = np.searchsorted(h[order] >> np.uint64(64 - width) if width else np.zeros(len(h), np.uint64), edges.astype(np.uint64))
+                of_key = np.searchsorted(keys >> np.uint64(bits - width) if width else np.zeros(len(keys), np.uint64), edges.astype(np.uint64))
+                rows = []
+                for s in range(slices):
+                    w, k = slice(of_word[s], of_word[s + 1]), slice(of_key[s], of_key[s + 1])
+                    if w.stop > w.start or k.stop > k.start:
+                        own = b" ".join([c.words[i] for i in order[w]])
+                        rows.append((s, number, z.compress(own), packed(counts[w], z), packed(np.diff(keys[k], prepend=np.uint64(0)), z), packed(times[k], z)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, u, now, held = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), None, []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            found, known = {}, {}
+            words = [u.decompress(r[2]).split(b" ") if len(unpacked(r[3], u)) else [] for r in held]
+            for w, r in zip(words, held, strict=True):
+                for x, n in zip(w, unpacked(r[3], u).tolist(), strict=True):
+                    found[x] = found.get(x, 0) + n
+            keys = [np.cumsum(unpacked(r[4], u), dtype=np.uint64) for r in held]
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([unpacked(r[5], u) for r in held]), len(known))
+            ends = np.cumsum([len(k) for k in keys])
+            distinct = sum(n > 0 for n in found.values())
+            for i, (r, w) in enumerate(zip(held, words, strict=True)):
+                mine = np.fromiter(map(found.__getitem__, w), np.int64, len(w))
+                pairs = sums[at[ends[i] - len(keys[i]) : ends[i]]].astype(np.int64)
+                yield pa.RecordBatch.from_pylist([{"chunk": r[1], "slice": r[0], "words": packed(mine, z), "pairs": packed(pairs, z), "distinct": 0 if i else distinct}], schema=out)
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[0] != now:
+                    if held:
+                        yield from summed()
+                    now, held = r[0], []
+                held.append(r)
+        if held:
+            yield from summed()
+
+    sent = chunks.select("chunk", "path").repartition(partitions_of(chunks)).mapInArrow(send, "slice long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    d = sent.repartition(max(1, slices // 4), "slice").sortWithinPartitions("slice", "chunk")
+    return materialize(d.mapInArrow(own, "chunk long, slice long, words binary, pairs binary, distinct long"), "totals")
+
+
+def partitions_of(chunks: DataFrame) -> int:
+    """A task per chunk."""
+    return max(1, chunks.count())
+
+
+# Spelling in bits
+
+
+def huffman(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a code of all bytes: where the path of each byte starts (with the end of the last), the nodes of the paths, the bits taken there."""
+    heap = [(int(n) + 1, b, b) for b, n in enumerate(histogram)]  # weight, tie, tree
+    heapq.heapify(heap)
+    node, paths = 0, [[] for _ in range(256)]
+    while len(heap) > 1:
+        (n, _, x), (m, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, tree in ((0, x), (1, y)):
+            todo = [tree]
+            while todo:
+                t = todo.pop()
+                if isinstance(t, tuple):
+                    todo += t
+                else:
+                    paths[t].append((node, bit))
+        heapq.heappush(heap, (n + m, 256 + node, (x, y)))
+        node += 1
+    flat = [step for p in paths for step in reversed(p)]
+    starts = np.append(0, np.cumsum([len(p) for p in paths]))
+    return starts, np.array([n for n, _ in flat], np.uint8), np.array([b for _, b in flat], np.uint8)
+
+
+@dataclass
+class Code:
+    """The Huffman code and the size of the predictors' tables."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    slot_bits: int
+
+
+def mixed32(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
+
+
+def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """A hash per predictor and byte. Bytes before a document count as line ends; before: a hash of the word before each token."""
+    n = len(data)
+    h, out, doc_ends = np.zeros(n, np.uint32), [], np.append(doc_starts[1:], n)
+    for back in range(1, max(ORDERS) + 1):
+        prev = np.full(n, END[0], np.uint8)
+        prev[back:] = data[:-back]
+        first = doc_starts[:, None] + np.arange(back)
+        prev[first[first < doc_ends[:, None]]] = END[0]
+        h = h + BYTE_HASH[back][prev]
+        if back in ORDERS:
+            out.append(mixed32(h + ORDER_HASH[len(out)]))
+    lengths = np.diff(np.append(token_starts, n))
+    place = np.arange(n) - np.repeat(token_starts, lengths)
+    own = PREFIX_HASH[np.minimum(place, 15), data]
+    so_far = np.cumsum(own, dtype=np.uint32) - own
+    so_far -= np.repeat(so_far[token_starts], lengths)
+    out.append(mixed32(so_far + np.repeat(before, lengths) + place.astype(np.uint32) * SPREAD))
+    return out
+
+
+def bits_of(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the bits of bytes: how many each byte has, the depth of each bit, its node, its value."""
+    lengths = np.diff(code.starts)[data]
+    ends = np.cumsum(lengths)
+    depth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    at = np.repeat(code.starts[:-1][data], lengths) + depth
+    return lengths, depth, code.nodes[at], code.bits[at]
+
+
+def slots(context: np.ndarray, lengths: np.ndarray, node_hash: np.ndarray, bits: int) -> np.ndarray:
+    return (((np.repeat(context, lengths) ^ node_hash) * SPREAD) >> np.uint32(32 - bits)).astype(np.int64)
+
+
+@dataclass
+class Block:
+    """Whole documents of a kind (training or held out): their bytes, tokens and places in the chunk."""
+
+    docs: np.ndarray
+    tokens: np.ndarray
+    data: np.ndarray
+    token_starts: np.ndarray
+    doc_starts: np.ndarray
+    first_tokens: np.ndarray
+    word_before: np.ndarray
+
+
+def blocks(c: Chunk, size: int, held: bool | None) -> Iterator[Block]:
+    """The chunk's documents of a kind (None: both), in blocks of at least `size` bytes (the last may have fewer)."""
+    data, starts = spelled(c.words)
+    widths = np.diff(starts)
+    hashes = np.append((c.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(NO_WORD >> np.uint64(32)))
+    before, doc_token = c.before, c.starts()
+    lengths = np.add.reduceat(widths[c.tokens], doc_token[:-1]) if len(c.tokens) else np.empty(0, np.int64)
+    wanted = np.arange(len(c.n_tokens)) if held is None else np.flatnonzero(c.held == held)
+    cut = np.cumsum(lengths[wanted])
+    start = 0
+    while start < len(wanted):
+        base = cut[start - 1] if start else 0
+        end = min(len(wanted), int(np.searchsorted(cut, base + size)) + 1)
+        docs = wanted[start:end]
+        start = end
+        many = c.n_tokens[docs]
+        first = np.cumsum(many) - many
+        at = np.repeat(doc_token[docs] - first, many) + np.arange(many.sum())
+        tokens = c.tokens[at]
+        w = widths[tokens]
+        token_starts = np.cumsum(w) - w
+        spell = np.repeat(starts[tokens] - token_starts, w) + np.arange(w.sum())
+        yield Block(docs, at, data[spell], token_starts, token_starts[first], first, hashes[before[at]])
+
+
+# Predictors
+
+
+def count_block(b: Block, code: Code, table: np.ndarray) -> None:
+    """Adds the bits of a block to table[predictor, slot x 2 + bit]."""
+    found = contexts(b.data, b.token_starts, b.doc_starts, b.word_before)
+    lengths, _, node, bit = bits_of(b.data, code)
+    node_hash = NODE_HASH[node]
+    for o, h in enumerate(found):
+        table[o] += np.bincount(slots(h, lengths, node_hash, code.slot_bits) * 2 + bit, minlength=table.shape[1]).astype(table.dtype)
+
+
+def count_tables(chunks: DataFrame, code: Code) -> np.ndarray:
+    """Counts of every predictor over all training text; partial tables are summed where their slices are owned."""
+    size = 2 << code.slot_bits
+    per = max(1, size * ALL // TABLE_SLICE)
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ALL, SLOTS, 2), np.int64)
+        table = np.zeros((ALL, size), np.int64)
         for b in batches:
-            counted(b.column(0).to_pylist(), counts_of(b), table)
-        z, flat = zstandard.ZstdCompressor(level=1), table.reshape(per, SLICE)
+            for path in b.column(0).to_pylist():
+                for block in blocks(Chunk.read(path), COUNT_BLOCK, False):
+                    count_block(block, code, table)
+        z, flat = zstandard.ZstdCompressor(level=1), table.reshape(per, -1)
         some = [i for i in range(per) if flat[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([z.compress(flat[i].tobytes()) for i in some], pa.binary())], schema=schema)
+        for i in range(0, len(some), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 256], pa.int32()), pa.array([packed(flat[j], z) for j in some[i : i + 256]], pa.binary())], schema=schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, found = zstandard.ZstdDecompressor(), {}
+        u, z, found = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(z.decompress(x), np.int64)
+                part = unpacked(x, u)
                 found[i] = found[i] + part if i in found else part
-        c = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([c.compress(x.tobytes()) for x in found.values()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([packed(x, z) for x in found.values()], pa.binary())], schema=schema)
+
+    # a task counts several chunks, as each sends whole tables
+    n = max(1, min(partitions_of(chunks), max(2 * chunks.sparkSession.sparkContext.defaultParallelism, partitions_of(chunks) // 8)))
+    parts = chunks.select("path").repartition(n).mapInArrow(count, "slice int, counts binary")
+    summed = parts.repartition(min(per, 64), "slice").mapInArrow(add, "slice int, counts binary")
+    table, u = np.zeros((per, size * ALL // per), np.int64), zstandard.ZstdDecompressor()
+    for r in summed.toLocalIterator():  # the size of the tables is bounded by MAX_SLOT_BITS
+        table[r["slice"]] = unpacked(r["counts"], u)
+    return table.reshape(ALL, size)
+
 
-    n = partitions_for(words)
-    parts = words.select("data", *COUNTS).coalesce(max(6, n // 8)).mapInArrow(count, "slice int, counts binary")
-    summed = parts.repartition(n, "slice").mapInArrow(add, "slice int, counts binary")
-    table, z = np.zeros((per, SLICE), np.int64), zstandard.ZstdDecompressor()
-    for r in summed.toLocalIterator():  # the size of the tables is fixed by SLOTS
-        table[r["slice"]] = np.frombuffer(z.decompress(r["counts"]), np.int64)
-    return table.reshape(ALL, SLOTS, 2)
+def eighths(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Logits of counts in eighths, in a byte; 0 where there are none."""
+    x = np.log((one.astype(np.float32) + np.float32(0.3)) / (zero.astype(np.float32) + np.float32(0.3)))
+    return np.clip(np.rint(x * SCALE), -127, 127).astype(np.int8)
 
 
-def logit_of(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Logit of counts; 0 where there are none."""
-    return np.log((one + 0.2) / (zero + 0.2)).astype(np.float32)
+def logits(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits by slot, and by slot x 2 + bit with one occurrence of that bit taken out."""
+    zero, one = table[:, 0::2], table[:, 1::2]
+    without = np.empty(table.shape, np.int8)
+    plain = np.empty(zero.shape, np.int8)
+    for o in range(len(table)):
+        plain[o] = eighths(zero[o], one[o])
+        without[o, 0::2] = eighths(np.maximum(zero[o] - 1, 0), one[o])
+        without[o, 1::2] = eighths(zero[o], np.maximum(one[o] - 1, 0))
+    return plain, without
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, np.float32(-15), np.float32(15))))
 
 
-class Speller:
-    """Logits of all slots, weights by gate, and corrections by (bits so far, bucket of the logit)."""
+@dataclass
+class Mixer:
+    """Weights by gate, refinements by (node, bucket of the logit, bit), and the memory's weight by how often the word before was seen."""
 
-    def __init__(self, logits: np.ndarray, weights: np.ndarray | None = None, fix: np.ndarray | None = None):
-        self.logits = logits
-        self.weights = np.full((GATES, ALL), 0.2, np.float32) if weights is None else weights
-        self.fix = np.zeros((256, BUCKETS, 2)) if fix is None else fix
+    weights: np.ndarray = field(default_factory=lambda: np.full((ALL, GATES), 0.3, np.float32))
+    fix: np.ndarray = field(default_factory=lambda: np.zeros((256, BUCKETS, 2)))
+    trust: np.ndarray = field(default_factory=lambda: np.zeros((SEEN, 2)))  # responsibilities and tokens
 
-    def mixed(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The gate (how many predictors know the context, which bit) and the mixed logit."""
+    def mixed(self, x: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gate and the mixed logit of bits, from the predictors' logits in eighths."""
         known = (x[0] != 0).view(np.int8)
         for row in x[1:]:
             known = known + (row != 0)
-        by = np.ascontiguousarray(self.weights[k::8].T)
-        logit = x[0] * by[0][known]
-        for row, w in zip(x[1:], by[1:], strict=True):
-            logit += row * w[known]
-        return known.astype(np.int64) * 8 + k, logit
-
-    def bucket(self, logit: np.ndarray) -> np.ndarray:
+        gate = known.astype(np.int64) * DEPTHS + np.minimum(depth, DEPTHS - 1)
+        logit = np.zeros(len(gate), np.float32)
+        for o, row in enumerate(x):
+            logit += row * self.weights[o][gate]
+        return gate, logit * np.float32(1 / SCALE)
+
+    @staticmethod
+    def bucket(logit: np.ndarray) -> np.ndarray:
         return np.clip((logit + 8) * np.float32(BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
 
-    def learn(self, words: list[bytes], counts: np.ndarray | list[int], table: np.ndarray, rate: float = 0.02, passes: int = 3) -> np.ndarray:
-        """Online, from all words in their frequencies [word, group]: each small batch is predicted with the weights so far, then they move along its errors.
-
-        The occurrences of a word in a group are spread over the batches; its own counts are taken out of the table. A list gives
-        each word's group, for one occurrence each. Returns the occurrences of bits by gate.
-        """
-        counts = np.asarray(counts)
-        if counts.ndim == 1:
-            counts = np.eye(GROUPS, dtype=np.int64)[counts]
-        rng, mass = np.random.default_rng(7), np.zeros(GATES)
-        item, of = np.nonzero(counts)
-        times, all_times = counts[item, of], counts.sum(axis=1)[item]
-        batches = max(1, -(-len(item) // 256))
-        for turn in range(passes):
-            shares = np.minimum(times, batches)  # in so many batches
-            who = np.repeat(np.arange(len(item)), shares)
-            nth = np.arange(len(who)) - np.repeat(np.cumsum(shares) - shares, shares)
-            where = (rng.integers(0, batches, len(item))[who] + nth * batches // shares[who]) % batches
-            who = who[np.argsort(where, kind="stable")]
-            ends = np.cumsum(np.bincount(where, minlength=batches))
-            for start, end in zip(ends - np.bincount(where, minlength=batches), ends, strict=True):
-                for i in range(start, end, 4096):
-                    few = who[i : min(end, i + 4096)]
-                    data, owner, contexts = steps([words[j] for j in item[few]])
-                    group, weight = of[few][owner], (times[few] / shares[few])[owner]
-                    every, here = all_times[few][owner], times[few][owner]
-                    all_ = [*contexts, *(own_context(contexts[ORDERS.index(o)], group) for o in OWN_ORDERS)]
-                    for k, node, bit in nodes_bits(data):
-                        n, x = spread(node), np.empty((ALL, len(data)), np.float32)
-                        for o, c in enumerate(all_):
-                            seen = table[o][slots(c, n)].astype(np.float64)
-                            out = every if o < len(ORDERS) else here
-                            x[o] = logit_of(np.maximum(seen[:, 0] - (1 - bit) * out, 0), np.maximum(seen[:, 1] - bit * out, 0))
-                        gate, logit = self.mixed(x, k)
-                        error = (bit - squash(logit)) * weight
-                        total, many = np.zeros((GATES, ALL)), np.bincount(gate, minlength=GATES)
-                        weighed = np.bincount(gate, weight, minlength=GATES)
-                        np.add.at(total, gate, (x * error).T)
-                        mean = total / np.maximum(weighed, 1e-9)[:, None]
-                        self.weights += (rate / (1 + turn) * mean * np.sqrt(many)[:, None]).astype(np.float32)
-                        if turn == passes - 1:
-                            mass += weighed
-                            np.add.at(self.fix, (node, self.bucket(logit), bit.astype(np.int64)), weight)
-        return mass
-
-    def log10(self, words: list[bytes], groups: list[int]) -> np.ndarray:
-        """log10 probability of the spelling of each word in each of the groups: [word, group]."""
+    def refined(self) -> np.ndarray:
+        """The probability of a one by (node, bucket), flat."""
         centre = squash((np.arange(BUCKETS) + 0.5) * (16 / BUCKETS) - 8)
-        fixed = ((self.fix[:, :, 1] + 20 * centre) / (self.fix.sum(axis=2) + 20)).astype(np.float32)
-        fixed = np.stack([1 - fixed, fixed]).reshape(-1)
-        out, m = [], len(ORDERS)
-        for part in in_parts(words):
-            data, owner, contexts = steps(part)
-            own = [[own_context(contexts[ORDERS.index(o)], g) for o in OWN_ORDERS] for g in groups]
-            total, x = np.ones((len(groups), len(data))), np.empty((ALL, len(data)), np.float32)
-            for k, node, bit in nodes_bits(data):
-                n, sign, row = spread(node), bit * np.float32(2) - np.float32(1), (bit * np.int64(256) + node) * BUCKETS
-                for o in range(m):
-                    x[o] = self.logits[o][slots(contexts[o], n)]
-                for i, found in enumerate(own):
-                    for o, c in enumerate(found):
-                        x[m + o] = self.logits[m + o][slots(c, n)]
-                    _, logit = self.mixed(x, k)
-                    p = squash(logit * sign) + fixed[row + self.bucket(logit)]
-                    total[i] *= np.maximum(p * np.float32(0.5), np.float32(1e-6))
-            out.append(np.stack([np.bincount(owner, t, minlength=len(part)) for t in np.log10(total)], axis=1))
-        return np.concatenate(out) if out else np.empty((0, len(groups)))
-
-
-def learned(words: DataFrame, table: np.ndarray) -> Speller:
-    """A speller from all words (data, counts) of training text: partitions learn by themselves, weights are averaged by what their gates have seen, corrections add up."""
-    logits = logit_of(table[:, :, 0], table[:, :, 1])
-    shared = words.sparkSession.sparkContext.broadcast(table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table)
-    schema = pa.schema([("weights", pa.binary()), ("mass", pa.binary()), ("fix", pa.binary())])
+        return ((self.fix[:, :, 1] + 20 * centre) / (self.fix.sum(axis=2) + 20)).astype(np.float32).reshape(-1)
+
+    def memory(self) -> np.ndarray:
+        """Weight of the memory by bucket of the word before; none where it was never seen."""
+        out = (self.trust[:, 0] + 3) / (self.trust[:, 1] + 10)
+        out[0] = 0
+        return np.clip(out, 0, 0.999)
+
+
+@dataclass
+class Predictors:
+    code: Code
+    plain: np.ndarray
+    without: np.ndarray
+
+    @staticmethod
+    def of(parts: tuple) -> Predictors:
+        *code, plain, without = parts
+        return Predictors(Code(*code), plain, without)
+
+    def parts(self) -> tuple:
+        """Plain values, as broadcasts carry no classes."""
+        return self.code.starts, self.code.nodes, self.code.bits, self.code.slot_bits, self.plain, self.without
+
+    def rows(self, b: Block, own_out: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of each predictor for each bit (own_out: without the bit's own occurrence); bits per byte, depth, node, bit."""
+        lengths, depth, node, bit = bits_of(b.data, self.code)
+        node_hash, x = NODE_HASH[node], []
+        for o, h in enumerate(contexts(b.data, b.token_starts, b.doc_starts, b.word_before)):
+            s = slots(h, lengths, node_hash, self.code.slot_bits)
+            x.append(self.without[o][s * 2 + bit] if own_out else self.plain[o][s])
+        return x, lengths, depth, node, bit
+
+    def token_bits(self, b: Block, mixer: Mixer, own_out: bool, fixed: np.ndarray, learn: Adagrad | None = None) -> np.ndarray:
+        """The bits that each token of a block costs by its bytes; with `learn`, the mixer learns from the block afterwards."""
+        x, lengths, depth, node, bit = self.rows(b, own_out)
+        gate, logit = mixer.mixed(x, depth)
+        sign = bit * np.float32(2) - np.float32(1)
+        p = squash(logit * sign)
+        row = node.astype(np.int64) * BUCKETS + mixer.bucket(logit)
+        better = fixed[row]
+        better = np.where(bit == 1, better, 1 - better)
+        cost = -np.log2(np.maximum((p + better) * np.float32(0.5), np.float32(1e-6)))
+        if learn is not None:
+            learn.step(mixer, x, gate, sign * (1 - p))
+            mixer.fix += np.bincount(row * 2 + bit, minlength=256 * BUCKETS * 2).reshape(mixer.fix.shape)
+        ends = np.cumsum(lengths)
+        return np.add.reduceat(cost.astype(np.float64), (ends - lengths)[b.token_starts])
+
+
+class Adagrad:
+    """Steps of the weights along the errors, smaller where much has been learned."""
+
+    def __init__(self) -> None:
+        self.squares, self.mass = np.full((ALL, GATES), 1e-6), np.zeros(GATES)
+
+    def step(self, mixer: Mixer, x: list[np.ndarray], gate: np.ndarray, error: np.ndarray) -> None:
+        seen = np.bincount(gate, minlength=GATES)
+        self.mass += seen
+        for o, row in enumerate(x):
+            mean = np.bincount(gate, row * error, GATES) / np.maximum(seen, 1)
+            self.squares[o] += mean * mean
+            mixer.weights[o] += (RATE * mean / np.sqrt(self.squares[o])).astype(np.float32)
+
+
+# Whole tokens
+
+
+def known_counts(c: Chunk, rows: list[tuple], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of each word of the chunk, and of the pair at each token, from rows (words, pairs) in slice order."""
+    u = zstandard.ZstdDecompressor()
+    words = np.empty(len(c.words), np.int64)
+    words[np.argsort(c.hashes, kind="stable")] = np.concatenate([unpacked(w, u) for w, _ in rows])
+    _, at = np.unique(c.pair_keys(bits), return_inverse=True)
+    return words, np.concatenate([unpacked(p, u) for _, p in rows]).astype(np.int64)[at]
+
+
+def memory_share(c: Chunk, words: np.ndarray, pairs: np.ndarray, b: Block, train_docs: int, own_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a block: the bucket of the word before, and the share of that word's occurrences that this one follows."""
+    before = c.before[b.tokens]
+    seen = np.where(before < 0, train_docs, words[before]) - own_out
+    share = np.minimum((pairs[b.tokens] - own_out) / np.maximum(seen, 1), 1.0)
+    return np.minimum(np.frexp(np.maximum(seen, 0).astype(float))[1], SEEN - 1), np.where(seen > 0, share, 0.0)
+
+
+def joined_bits(bits: np.ndarray, share: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """The cost of tokens when the memory (share) is weighed against the bytes (bits)."""
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp2(np.log2(trust) + np.log2(share), np.log2(1 - trust) - bits)
+
+
+def fed(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each chunk's file and the totals of its words and pairs, in order, in one partition."""
+    both = files.select("chunk", F.lit(-1).cast("long").alias("slice"), "path", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("pairs"))
+    both = both.unionByName(counts.select("chunk", "slice", F.lit(None).cast("string").alias("path"), "words", "pairs"))
+    return both.repartition(partitions_of(files), "chunk").sortWithinPartitions("chunk", "slice")
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
+    """Chunks with their counts from rows of `fed`."""
+    path, rows = None, []
+    for b in batches:
+        for at, words, pairs in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            if at is None:
+                rows.append((words, pairs))
+                continue
+            if path:
+                c = Chunk.read(path)
+                yield c, *known_counts(c, rows, bits)
+            path, rows = at, []
+    if path:
+        c = Chunk.read(path)
+        yield c, *known_counts(c, rows, bits)
+
+
+def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_docs: int) -> Mixer:
+    """A mixer from all training text: tasks learn by themselves; weights are averaged by what their gates have seen, the rest adds up."""
+    schema = pa.schema([("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, counts = [], []
-        for b in batches:
-            data += b.column(0).to_pylist()
-            counts.append(counts_of(b))
-        if data:
-            own = Speller(np.empty(0))
-            mass = own.learn(data, np.concatenate(counts), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.weights, mass, own.fix)], schema=schema)
-
-    parts = words.select("data", *COUNTS).mapInArrow(run, "weights binary, mass binary, fix binary").collect()  # some 100 KB a partition
-    whole = Speller(logits)
-    if parts:
-        mass = np.stack([np.frombuffer(r["mass"]) for r in parts])
-        weights = np.stack([np.frombuffer(r["weights"], np.float32).reshape(GATES, ALL) for r in parts])
-        seen = mass.sum(axis=0)
-        mean = (weights * mass[:, :, None]).sum(axis=0) / np.maximum(seen, 1e-9)[:, None]
-        whole.weights = np.where(seen[:, None] > 0, mean, whole.weights).astype(np.float32)
-        whole.fix = sum(np.frombuffer(r["fix"]).reshape(256, BUCKETS, 2) for r in parts)
-    return whole
-
+        mixer, steps, some, own = Mixer(), Adagrad(), False, Predictors.of(predictors.value)
+        for c, words, pairs in chunks_of(batches, bits):
+            for b in blocks(c, BLOCK, False):
+                some = True
+                cost = own.token_bits(b, mixer, True, mixer.refined(), steps)
+                bucket, share = memory_share(c, words, pairs, b, train_docs, True)
+                trust = mixer.memory()[bucket]
+                total = joined_bits(cost, share, trust)
+                with np.errstate(divide="ignore"):
+                    won = np.exp2(np.log2(trust) + np.log2(share) + total)
+                mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([(mixer.weights * steps.mass).ravel(), steps.mass, mixer.fix.ravel(), mixer.trust.ravel()]).tobytes()], pa.binary())], schema=schema)
 
-def spelled(words: DataFrame, speller: Speller, groups: list[int], totals: np.ndarray, once: np.ndarray, only: np.ndarray) -> DataFrame:
-    """Of each word (w): its training count and its log10 probability in each of the groups, as 32-bit numbers."""
-    shared = words.sparkSession.sparkContext.broadcast((speller.logits, speller.weights, speller.fix))  # 4 x ALL x SLOTS bytes and a little
-    schema = pa.schema([("w", pa.binary()), ("c", pa.int64()), ("logs", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Speller(*shared.value)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for b in batches:
-            w = b.column(0).to_pylist()
-            counts = counts_of(b)
-            found = logs(counts, own.log10(w, groups), totals, once, only, groups).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.sum(axis=1)), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
-
-    return words.select("data", *COUNTS).mapInArrow(run, "w binary, c long, logs binary")
-
+            for x in b.column(0).to_pylist():
+                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-def logs(counts: np.ndarray, spelling: np.ndarray, totals: np.ndarray, once: np.ndarray, only: np.ndarray, groups: list[int]) -> np.ndarray:
-    """log10 probability of words in each of the groups: counts [word, any group], spelling [word, one of groups].
-
-    A group gives the share of its tokens whose word it saw once (`once` words) to words it doesn't know; of that, the share of those words that no other group
-    has (`only`) goes to the spelling, the rest to the corpus' counts.
-    """
-    corpus = counts.sum(axis=1) / max(totals.sum(), 1)
-    novel = np.clip((once + 1) / (totals + 2), 1e-6, 1.0)[groups]
-    alone = np.clip((only + 1) / (once + 2), 0.05, 0.999)[groups]
-    elsewhere = corpus[:, None] * (1 - alone) + 10.0 ** np.maximum(spelling, -300) * alone
-    return np.log10(np.maximum((1 - novel) * counts[:, groups] / np.maximum(totals, 1)[groups] + novel * elsewhere, 1e-300))
-
-
-def doc_score(sums: np.ndarray, prior: np.ndarray) -> float:
-    """Of the groups' sums of log10: their gated mixture."""
-    x = sums + prior
-    top = x.max()
-    return float(top + math.log10(np.power(10.0, x - top).sum()))
-
-
-def score(docs: DataFrame, group: str | None = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for docs (doc_id, text, held_out, and a column of groups)."""
-    spark = docs.sparkSession
-    names: list = []
-    if group:
-        top = docs.where("not held_out").where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(GROUPS - 1)
-        names = [r[0] for r in top.collect()]
-    number = F.lit(GROUPS - 1)
-    for i, x in enumerate(names):
-        number = F.when(F.col(group) == x, F.lit(i)).otherwise(number)
-    rows = materialize(chunked(docs.select("doc_id", "text", "held_out", number.cast("int").alias("grp"))), "chunks")
-    vocabulary = rows.where("word_row").select("chunk", "j", "data", *COUNTS)
-    words = materialize(vocabulary.groupBy("data").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
-    seen = words.where(" + ".join(COUNTS) + " > 0")
-    got = seen.agg(F.count("*").alias("v"), *[F.sum(c).alias(c) for c in COUNTS], *[F.count(F.when(F.col(c) == 1, 1)).alias(f"o{c}") for c in COUNTS], *[F.count(F.when((F.col(c) == 1) & (F.expr(" + ".join(COUNTS)) == 1), 1)).alias(f"a{c}") for c in COUNTS]).first()
-    different, totals = got["v"], np.array([got[c] or 0 for c in COUNTS], float)
-    once, only = (np.array([got[x + c] for c in COUNTS], float) for x in "oa")
-    ends = words.where(F.col("data") == F.lit(END)).select(*COUNTS).first()
-    documents = np.array([ends[c] for c in COUNTS] if ends else [0] * GROUPS, float)
-    table = count_tables(seen)
-    speller = learned(seen, table)
-    groups = [g for g in range(GROUPS) if totals[g]] or [0]
-    known = spelled(words, speller, groups, totals, once, only)
-    back = vocabulary.select("chunk", "j", "data").join(known, F.col("data") == F.col("w")).select(F.lit(True).alias("word_row"), "chunk", "j", "c", F.col("logs").alias("data"))
-    texts = rows.where("not word_row").select("word_row", "chunk", "j", F.lit(None).cast("long").alias("c"), "data", "doc_id", "held_out", "n_bytes")
-    both = back.unionByName(texts, allowMissingColumns=True)
-    both = both.repartition(partitions_for(both), "chunk").sortWithinPartitions("chunk", F.desc("word_row"))
-    n, prior = float(totals.sum()), np.log10((documents[groups] + 0.5) / (documents[groups].sum() + 0.5 * len(groups)))
+    parts = fed(files, counts).mapInArrow(run, "sums binary").repartition(16).mapInArrow(add, "sums binary").collect()  # 16 rows of some 100 KB
+    mixer = Mixer()
+    if parts:
+        total = sum(np.frombuffer(r["sums"]) for r in parts)
+        w, mass, fix, trust = np.split(total, np.cumsum([ALL * GATES, GATES, 256 * BUCKETS * 2]))
+        mixer.weights = np.where(mass > 0, w.reshape(ALL, GATES) / np.maximum(mass, 1), mixer.weights).astype(np.float32)
+        mixer.fix, mixer.trust = fix.reshape(256, BUCKETS, 2), trust.reshape(SEEN, 2)
+    return mixer
+
+
+@dataclass
+class Model:
+    """What scoring needs besides the files: sizes of the training text, predictors, mixer."""
+
+    n: int
+    distinct: int
+    train_docs: int
+    key_bits: int
+    predictors: Predictors
+    mixer: Mixer
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of docs (doc_id, text, held_out), the chunks' files and their totals."""
+    files = chunked(docs)
+    r = files.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
+    tokens, n, train_docs = (int(x or 0) for x in r)
+    histogram = np.zeros(256, np.int64)
+    for row in files.select(F.posexplode("histogram").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect():
+        histogram[row["b"]] = row["n"]
+    # bits of a pair's key: one lookup in some thousands may meet another pair's key by chance
+    bits, slices = min(64, max(16, tokens.bit_length() + 12)), 1 << max(0, (tokens // SLICE_KEYS).bit_length())
+    counts = totals(files, slices, bits)
+    distinct = counts.agg(F.sum("distinct")).first()[0] or 0
+    size = int(histogram.sum())
+    code = Code(*huffman(histogram), min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, size.bit_length() - 2)))
+    predictors = Predictors(code, *logits(count_tables(files, code)))
+    shared = docs.sparkSession.sparkContext.broadcast(predictors.parts())  # 3 x ALL x 2^MAX_SLOT_BITS bytes at most
+    mixer = learned(files, counts, shared, bits, train_docs)
+    return Model(n, distinct, train_docs, bits, predictors, mixer), files, counts
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for docs (doc_id, text, held_out)."""
+    model, files, counts = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.n, model.distinct, model.train_docs, model.key_bits, model.predictors.parts(), model.mixer.weights, model.mixer.fix, model.mixer.trust))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, chunk, parts, tables = zstandard.ZstdDecompressor(), None, [], None
-        for b in batches:
-            chunks = b.column(1).to_numpy()
-            for start in np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])) if len(chunks) else []:
-                rest = np.flatnonzero(chunks[start:] != chunks[start])
-                piece = b.slice(start, int(rest[0]) if len(rest) else len(chunks) - start)
-                if chunks[start] != chunk:
-                    chunk, parts, tables = chunks[start], [], None
-                kind = piece.column(0).to_numpy(zero_copy_only=False)
-                k = int(kind.sum())
-                if k:
-                    w = piece.slice(0, k)
-                    found = np.frombuffer(b"".join(w.column(4).to_pylist()), "<f4").reshape(k, len(groups))
-                    parts.append((w.column(2).to_numpy(), w.column(3).to_numpy(), found))
-                if k == len(kind):
-                    continue
-                if tables is None:
-                    size = sum(len(x[0]) for x in parts)
-                    base, there, table = np.zeros(size), np.zeros(size, bool), np.zeros((size, len(groups)), np.float32)
-                    for j, c, t in parts:
-                        base[j], there[j], table[j] = np.log10((c + 1) / (n + 1 * (different + 1))), c > 0, t
-                    tables, parts = (base, there, table), []
-                base, there, table = tables
-                d, out = piece.slice(k), []
-                data, ids_, held, sizes = (d.column(4 + i).to_pylist() for i in range(4))
-                for doc_id, h, size, x in zip(ids_, held, sizes, data, strict=True):
-                    t = np.frombuffer(z.decompress(x), np.int32)
-                    s = doc_score(table[t].sum(axis=0, dtype=np.float64), prior)
-                    out.append((doc_id, h, len(t), int(there[t].sum()), int(n), float(base[t].sum()), s, -s * math.log2(10) / max(1, size)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        *sizes, predictors, weights, fix, trust = shared.value
+        m = Model(*sizes, Predictors.of(predictors), Mixer(weights, fix, trust))
+        fixed, memory = m.mixer.refined(), m.mixer.memory()
+        for c, words, pairs in chunks_of(batches, m.key_bits):
+            starts = c.starts()[:-1]
+            base = np.add.reduceat(np.log10((words + 1) / (m.n + 1 * (m.distinct + 1)))[c.tokens], starts)
+            known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)
+            bits = np.empty(len(starts))
+            for held in (False, True):
+                for b in blocks(c, BLOCK, held):
+                    cost = m.predictors.token_bits(b, m.mixer, not held, fixed)
+                    bucket, share = memory_share(c, words, pairs, b, m.train_docs, not held)
+                    bits[b.docs] = np.add.reduceat(joined_bits(cost, share, memory[bucket]), b.first_tokens)
+            for i in range(0, len(starts), 20_000):
+                s = slice(i, i + 20_000)
+                columns = [c.doc_ids[s], pa.array(c.held[s]), pa.array(c.n_tokens[s]), pa.array(known[s]), pa.array(np.full(len(bits[s]), m.n)), pa.array(base[s]), pa.array(-bits[s] * math.log10(2)), pa.array(bits[s] / np.maximum(c.n_bytes[s], 1))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return fed(files, counts).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
