@@ -1,4 +1,7 @@
-"""Undirected graphs as edge tables (u, v), and searches as joins of a frontier."""
+"""Undirected graphs as edge tables (u, v), and searches as joins of a frontier.
+
+Each level of a search is written to the shared folder, so the plan of a level doesn't hold those of the levels before.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import discard, settled
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame, last_id: int = 0) -> DataFrame:
+    """Nodes (node_id, data) with rows of `new` (data) added under running ids after `last_id`, in the order of their data.
+
+    Ids come from counts by partition of the sorted rows: only counts meet in one place. An id that is there already takes the new row's data, as ids run on from
+    the counter and not from the nodes.
+    """
+    part, at = F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")
+    rows = settled(new.select("data").sort("data").select("data", part, at), "nodes")
+    counts = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    counts = counts.select("p", "first", before.alias("before"))
+    added = rows.join(F.broadcast(counts), "p").select((F.lit(last_id) + F.col("before") + F.col("at") - F.col("first") + 1).cast("long").alias("node_id"), "data")
+    return nodes.select("node_id", "data").join(added.select("node_id"), "node_id", "left_anti").unionByName(added)
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(node, neighbor) in both directions, each once."""
@@ -65,28 +85,30 @@ def check(nodes: DataFrame, context: SearchContext) -> None:
 
 def frontiers(nodes: DataFrame, edges: DataFrame, context: SearchContext, most_levels: int, depth_first: bool = False) -> DataFrame:
     """(level, path, node): one join with the adjacency a level, until nothing is new or a target has come."""
-    near = adjacency(edges).persist()
+    near = settled(adjacency(edges), "adjacency")
     targets = nodes.where(context.target).select(F.col("node_id").alias("node")) if context.target is not None else None
     now = nodes.where(F.col("node_id") == context.start).select(F.lit(0).alias("level"), F.array("node_id").alias("path"), F.col("node_id").alias("node")).distinct()
-    seen, parts = None, []
+    parts: list[DataFrame] = []
     levels = most_levels if context.max_depth is None else min(most_levels, context.max_depth)
     for level in range(levels + 1):
-        now = now.persist()
+        now = settled(now, "frontier")
         if now.isEmpty():
             break
         parts.append(now)
         if targets is not None and not depth_first and not now.join(targets, "node", "left_semi").isEmpty():
             break
-        visited = now.select("node") if seen is None else seen.union(now.select("node"))
-        seen = visited
         step = now.join(near, "node").select(F.lit(level + 1).alias("level"), F.concat("path", F.array("neighbor")).alias("path"), F.col("neighbor").alias("node"))
         if depth_first:
             now = step.where(~F.array_contains(F.slice("path", 1, F.size("path") - 1), F.col("node")))
         elif not context.allow_revisiting:
-            fresh = step.join(visited.distinct(), "node", "left_anti")
+            # neighbours of a level are in it, in the one before or in the next: no other node can have been met
+            fresh = step
+            for met in parts[-2:]:
+                fresh = fresh.join(met.select("node"), "node", "left_anti")
             now = fresh.groupBy("node").agg(F.min("path").alias("path"), F.min("level").alias("level")).select("level", "path", "node")
         else:
             now = step
+    discard(near)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,16 +2,21 @@
 
 Training rows are summed to distinct feature tuples with (n, n_pos) once; a level is one aggregate over these. The score of a column at a node is
 1 - sum of squared joint shares (positives of a value / rows where the column is present); the column farthest from 0.5 splits, the first on ties.
-Rows with a missing value get no child. Pure nodes are not split further: every descendant, and the fallback, would predict the same.
+Rows with a missing value get no child. Pure nodes are not split further: every descendant, and the fallback, would predict the same. Nor are nodes whose
+chosen column has a single value that all their rows have: the child would hold the same rows, choose the same column, and so on down. So depth is at most the
+number of columns. Each level's tuples are written to the shared folder, so that no plan grows with the depth.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, settled
+
 #: Nodes that the driver holds at most; growth beyond is an error, not a silent cut.
 MAX_NODES = 200_000
 
@@ -59,23 +64,6 @@ def chi_square(counts: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "position", "column", F.when(spread == 0, 0.0).otherwise((F.col("s") - F.col("p") * F.col("p") / F.col("n")) / (spread / F.col("n"))).alias("score"))
 
 
-def split_scores(df: DataFrame, features: list[str], label: str, criterion: str = "gini") -> DataFrame:
-    """(position, column, score) of the whole table."""
-    counts = value_counts(tuples(df, features, label), features, [])
-    if criterion == "gini":
-        return gini([])(counts)
-    return {"entropy": information_gain, "chi2": chi_square}[criterion](counts, [])
-
-
-def preference(criterion: str) -> Column:
-    return F.abs(F.col("score") - 0.5) if criterion == "gini" else F.col("score")
-
-
-def best_split(scores: DataFrame, criterion: str = "gini") -> DataFrame:
-    best = F.max(F.struct(preference(criterion).alias("d"), (-F.col("position")).alias("p"), F.col("column"), F.col("score")))
-    return scores.agg(best.alias("b")).select("b.column", "b.score")
-
-
 @dataclass
 class Tree:
     """Nodes as rows: node, parent, depth, split column (None for leaves), value that leads to it, prediction, n, n_pos."""
@@ -92,26 +80,50 @@ def majority(n: int, n_pos: int) -> int:
     return int(2 * n_pos > n)
 
 
-def grow(df: DataFrame, features: list[str], label: str, max_depth: int = 15, criterion: str = "gini") -> Tree:
+#: A split function: from value counts by (keys, position, column, value) to (keys, position, column, score), the largest preference first.
+SplitFunction = Callable[[DataFrame, list[str]], DataFrame]
+CRITERIA: dict[str, tuple[SplitFunction, Callable[[Column], Column]]] = {
+    "gini": (lambda counts, keys: gini(keys)(counts), lambda score: F.abs(score - 0.5)),
+    "entropy": (information_gain, lambda score: score),
+    "chi2": (chi_square, lambda score: score),
+}
+
+
+def strategy(criterion: str | SplitFunction) -> tuple[SplitFunction, Callable[[Column], Column]]:
+    """A named split function, or one of the caller's own, whose largest score wins."""
+    return (criterion, lambda score: score) if callable(criterion) else CRITERIA[criterion]
+
+
+def split_scores(df: DataFrame, features: list[str], label: str, criterion: str | SplitFunction = "gini") -> DataFrame:
+    """(position, column, score) of the whole table."""
+    return strategy(criterion)[0](value_counts(tuples(df, features, label), features, []), [])
+
+
+def best_split(scores: DataFrame, criterion: str | SplitFunction = "gini") -> DataFrame:
+    best = F.max(F.struct(strategy(criterion)[1](F.col("score")).alias("d"), (-F.col("position")).alias("p"), F.col("column"), F.col("score")))
+    return scores.agg(best.alias("b")).select("b.column", "b.score")
+
+
+def grow(df: DataFrame, features: list[str], label: str, max_depth: int = 15, criterion: str | SplitFunction = "gini") -> Tree:
     """One aggregate and one small collect (nodes, not rows) a level."""
-    t = tuples(df, features, label).withColumn("node", F.lit(0).cast("long")).persist()
+    scored, preferred = strategy(criterion)
+    t = settled(tuples(df, features, label).withColumn("node", F.lit(0).cast("long")), "tree")
     r = t.agg(F.sum("n"), F.sum("n_pos")).first()
     if not r[0]:
         raise ValueError("no training rows")
     nodes = [{"node": 0, "parent": None, "depth": 0, "split": None, "value": None, "prediction": majority(r[0], r[1]), "n": r[0], "n_pos": r[1]}]
-    open_, spark, held = {0: nodes[0]}, df.sparkSession, [t]
+    open_, spark = {0: nodes[0]}, df.sparkSession
     for depth in range(1, max_depth + 1):
         open_ = {k: x for k, x in open_.items() if 0 < x["n_pos"] < x["n"]}
         if not open_:
             break
         live = t.where(F.col("node").isin(*open_)) if len(open_) < 1000 else t
         counts = value_counts(live, features, ["node"])
-        scores = gini(["node"])(counts) if criterion == "gini" else {"entropy": information_gain, "chi2": chi_square}[criterion](counts, ["node"])
-        best = scores.groupBy("node").agg(F.max(F.struct(preference(criterion).alias("d"), (-F.col("position")).alias("p"), F.col("column"))).alias("b")).select("node", F.col("b.column").alias("column"))
+        best = scored(counts, ["node"]).groupBy("node").agg(F.max(F.struct(preferred(F.col("score")).alias("d"), (-F.col("position")).alias("p"), F.col("column"))).alias("b")).select("node", F.col("b.column").alias("column"))
         children = counts.join(best, ["node", "column"]).select("node", "column", "value", "n", "n_pos").orderBy("node", "value").collect()
         new = {}
         for c in children:
-            if c["node"] not in open_:
+            if c["node"] not in open_ or c["n"] == open_[c["node"]]["n"]:
                 continue
             open_[c["node"]]["split"] = c["column"]
             x = {"node": len(nodes), "parent": c["node"], "depth": depth, "split": None, "value": c["value"], "prediction": majority(c["n"], c["n_pos"]), "n": c["n"], "n_pos": c["n_pos"]}
@@ -124,11 +136,10 @@ def grow(df: DataFrame, features: list[str], label: str, max_depth: int = 15, cr
         step = spark.createDataFrame([(x["parent"], nodes[x["parent"]]["split"], x["value"], k) for k, x in new.items()], "node long, split string, value string, child long")
         cells = F.create_map(*[y for c in features for y in (F.lit(c), F.col(c))])
         t = t.join(F.broadcast(step.select("node", "split").distinct()), "node").withColumn("value", F.element_at(cells, F.col("split")))
-        t = t.join(F.broadcast(step), ["node", "split", "value"]).select(*features, "n", "n_pos", F.col("child").alias("node")).persist()
-        held.append(t)
+        old, t = t, settled(t.join(F.broadcast(step), ["node", "split", "value"]).select(*features, "n", "n_pos", F.col("child").alias("node")), "tree")
+        discard(old)
         open_ = new
-    for x in held:
-        x.unpersist()
+    discard(t)
     return Tree(nodes, features)
 
 

@@ -46,6 +46,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and rereads it: what comes after has a plan of its own, and lost executors take nothing along."""
+    path = scratch_path(df.sparkSession, f"millrace-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table made by `settled` that no later plan reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/millrace-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing values become NULL once, where data come in; later steps need not know NaN."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
