@@ -3,13 +3,16 @@
 1. Each whole text becomes a set of word shingles (64-bit hashes), its minima under `N_HASHES` functions, band keys over groups of minima, and a
    signature of the low `BITS` bits of each minimum, packed into longs.
 2. Texts with equal sets are one node (of the smallest id), so groups of copies cost one row from here on.
-3. Nodes that share a band key are candidates. First each node meets one pivot per bucket (two rounds, other pivots in the second); then, in
-   buckets that still hold several components, pairs of nodes of different components are sought exactly: nodes that share a rare shingle (one of at most
+3. Nodes that share a band key are candidates. Nodes tied by shared keys form a family, outside which none of them has a candidate. A family of at most
+   `FAMILY` nodes and `FAMILY_SHINGLES` shingles is solved in one piece: its candidates, in order of nodes, are estimated from equal signature parts, corrected for chance
+   collisions, and those that could reach the threshold are confirmed on full sets; no pair within a component needs a test, as only components are asked for.
+4. Larger families are solved over many tasks, as exactly. First each node meets one pivot per bucket (two rounds, other pivots in the second); then, in
+   buckets that still hold several components, pairs of nodes of different components are sought: nodes that share a rare shingle (one of at most
    `RARE` of these nodes, and among the node's rarest) meet through it; any other two share no rare shingle, so their common part is at most what each has of frequent ones, and only
-   nodes for which that can suffice meet, by signature, in blocks of bounded size. Pairs whose similarity, estimated from equal signature parts and
-   corrected for chance collisions, could reach the threshold are confirmed on full sets. No pair within a component needs a test, as only
-   components are asked for, and none between two is left out.
-4. Components come from rewiring stars; rows get the component of their node.
+   nodes for which that can suffice meet, by signature, in blocks of bounded size. None between two components is left out.
+5. Components come from rewiring stars; rows get the component of their node.
+
+Texts travel once, to the families' nodes only. Joins with texts are merge joins at every size, as the ids grow with the data.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one shingle, the whole
 sequence; rows that repeat a doc_id count as one document with all their texts; a row with a null doc_id links with nothing, has a null component and is
@@ -36,6 +39,8 @@ BANDS = N_HASHES // ROWS
 SLACK = 0.2
 #: Nodes of a bucket that meet in one comparison of signatures, at about.
 BLOCK = 256
+#: Nodes and shingles of a family that is solved in one piece.
+FAMILY, FAMILY_SHINGLES = 512, 1 << 20
 #: A shingle is rare in at most so many of the nodes in question.
 RARE = 128
 _rng = np.random.default_rng(20_240_601)
@@ -77,6 +82,11 @@ def signature(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    return int(found.sum(dtype=np.uint64).view(np.int64)), int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, fingerprint of the set (a, b), bands, signature; the last two null for empty sets."""
     small_batches(docs.sparkSession)
@@ -90,9 +100,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 if not len(found):
                     rows.append((doc_id, 0, None, None, None, None))
                     continue
-                a, b = found.sum(dtype=np.uint64), xxhash.xxh3_64_intdigest(found.tobytes())
                 least = minima(found)
-                rows.append((doc_id, len(found), int(a.view(np.int64)), int(np.uint64(b).view(np.int64)), band_keys(least), signature(least)))
+                rows.append((doc_id, len(found), *fingerprint(found), band_keys(least), signature(least)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -117,23 +126,48 @@ def estimated(x: Column, y: Column) -> Column:
     return (equal_parts(x, y) / N_HASHES - chance) / (1 - chance)
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same over arrays of signatures."""
+    d = (x ^ y).view(np.uint64)
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+    chance = 2.0**-BITS
+    return (1 - differ / N_HASHES - chance) / (1 - chance)
+
+
 def pairs_in(x: tuple, y: tuple, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of nodes (signatures, frequent shingles, all shingles) whose frequent parts can suffice and whose estimate is at least `least`."""
     (s, f, n), (t, g, m) = x, y
     common = np.minimum(f[:, None], g[None, :])
     i, j = np.nonzero(100 * common >= percent * (n[:, None] + m[None, :] - common))
-    d = (s[i] ^ t[j]).view(np.uint64)
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
-    chance = 2.0**-BITS
-    near = (1 - differ / N_HASHES - chance) / (1 - chance) >= least
+    near = similar(s[i], t[j]) >= least
     return i[near], j[near]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def node_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, a, b, text): a text for each different set of the ids in `nodes` (node); rows that repeat an id with the same set count once."""
+    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("doc_id is not null and text is not null")
+    some = text.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+    once = some.groupBy("node", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).agg(F.first("text").alias("text")).select("node", "text")
+    schema = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for text in binary(batch.column(1)):
+                x, y = fingerprint(shingles(text, words))
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), batch.column(1)], schema=schema)
+
+    found = once.mapInArrow(run, "node long, a long, b long, text string")
+    return found.groupBy("node", "a", "b").agg(F.first("text").alias("text"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (u, v) whose full sets reach the threshold."""
-    text = docs.select(F.col("doc_id").cast("long").alias("u"), F.col("text").alias("tu"))
+    text = texts.select(F.col("node").alias("u"), F.col("text").alias("tu"))
     both = pairs.join(text, "u").join(text.select(F.col("u").alias("v"), F.col("tu").alias("tv")), "v").select("u", "v", "tu", "tv")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -162,6 +196,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
+def family_components(nodes: list[int], sets: list[np.ndarray], bands: np.ndarray, signatures: np.ndarray, percent: int, least: float) -> np.ndarray:
+    """The least node that each entry of a family reaches; entries with the same node are one from the start."""
+    n = len(nodes)
+    order = np.argsort(nodes, kind="stable")
+    ids, sizes = np.array(nodes)[order], np.array([len(sets[i]) for i in order])
+    bands, signatures = bands[order], signatures[order]
+    # rows of bits over the shingles that several entries have; others are common to none
+    shared, at, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    width = -(-int((counts > 1).sum()) // 64)
+    rows = np.zeros((n, max(1, width)), np.uint64)
+    ends = np.cumsum(sizes)
+    for k in range(n):
+        own = at[ends[k] - sizes[k] : ends[k]]
+        own = place[own[counts[own] > 1]]
+        np.bitwise_or.at(rows[k], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+    part = np.searchsorted(ids, ids)  # the component of each entry, as its least position
+    for k in range(n - 1):
+        j = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
+        j = j[(bands[j] == bands[k]).any(axis=1)]
+        j = j[similar(signatures[j], signatures[k]) >= least]
+        if not len(j):
+            continue
+        common = np.bitwise_count(rows[j] & rows[k]).sum(axis=1, dtype=np.int64)
+        linked = j[100 * common >= percent * (sizes[j] + sizes[k] - common)]
+        if len(linked):
+            meet = np.append(part[linked], part[k])
+            part[np.isin(part, meet)] = meet.min()
+    return ids[part][np.argsort(order, kind="stable")]
+
+
+def small_families(members: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """(id, component_id) of nodes in families that are solved in one piece: members (family, node, a, b, bands, signature), one row per set."""
+    schema = pa.schema([("id", pa.int64()), ("component_id", pa.int64())])
+
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        _, nodes, bands, signatures, text = zip(*rows, strict=True)
+        found = family_components(list(nodes), [shingles(t.encode(), words) for t in text], np.array(bands), np.array(signatures), percent, least)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield solved(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solved(held)
+
+    rows = members.join(texts, ["node", "a", "b"]).select("family", "node", "bands", "signature", "text")
+    found = rows.repartition("family").sortWithinPartitions("family").mapInArrow(run, "id long, component_id long")
+    return found.distinct()
+
+
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """members with the component that each node has so far."""
     if labels is None:
@@ -181,61 +271,49 @@ def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> Da
     return m.join(pivots, "bucket").where("c <> pc").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
 
-def shingle_rows(who: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(h, node, c, n, a): each shingle of the nodes in `who`, with the size and a hash of its set; a set of a node comes once, however often its rows repeat."""
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
+def shingle_rows(who: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(h, node, c, n, a): each shingle of each set of the nodes in `who` (node, c), with the size and a hash of the set."""
     schema = pa.schema([(x, pa.int64()) for x in ("h", "node", "c", "n", "a")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            texts, many = binary(lists.flatten()), lists.value_lengths().to_pylist()
-            at = 0
-            for node, c, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), many, strict=True):
-                # rows of an id with the same set count once
-                sets = {int(x.sum(dtype=np.uint64)): x for x in (shingles(t, words) for t in texts[at : at + k])}
-                at += k
-                for found in sets.values():
-                    n = len(found)
-                    if n:
-                        one = np.ones(n, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one * node), pa.array(one * c), pa.array(one * n), pa.array(one * found.sum(dtype=np.uint64).view(np.int64))], schema=schema)
-
-    each = who.join(text, "node").groupBy("node", "c").agg(F.collect_set("text").alias("texts"))
-    return each.select("node", "c", "texts").mapInArrow(run, "h long, node long, c long, n long, a long")
-
-
-def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+            for node, c, a, text in zip(*(batch.column(i).to_pylist() for i in range(3)), binary(batch.column(3)), strict=True):
+                found = shingles(text, words)
+                one = np.ones(len(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(one * x) for x in (node, c, len(found), a))], schema=schema)
+
+    return who.join(texts, "node").select("node", "c", "a", "text").mapInArrow(run, "h long, node long, c long, n long, a long")
+
+
+def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
     """Pairs (u, v) of nodes of different components that share a bucket of several, or a rare shingle, and may reach the threshold.
 
     In a bucket, nodes are dealt into blocks by a hash, those of its largest component apart; blocks of that one don't meet each other. Only
     pairs that pass come out.
     """
     m = labelled(members, labels)
-    by = materialize(m.groupBy("bucket", "c").agg(F.count("*").alias("n")), "buckets")
-    mixed = by.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     m = materialize(m.join(mixed, "bucket").select("bucket", "node", "c"), "mixed")
-    rows = materialize(shingle_rows(m.select("node", "c").distinct(), docs, words), "shingles")
+    rows = materialize(shingle_rows(m.select("node", "c").distinct(), texts, words), "shingles")
     rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    marked = materialize(rows.join(rare, "h", "left"), "marked")
-    # Sets that reach the threshold share one of their rarest n - ceil(t n) + 1 shingles (in one common order); an id with several texts keeps all
-    own = Window.partitionBy("node")
-    first = marked.where("df is not null").withColumn("k", F.row_number().over(own.orderBy("df", "h"))).withColumn("several", F.min("a").over(own) != F.max("a").over(own))
-    first = first.where(F.col("several") | (F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    held = first.where("df > 1").groupBy("h").agg(F.collect_list(F.struct("node", "c")).alias("l"))  # at most RARE nodes
+    marked = materialize(rows.join(rare, "h"), "rare")
+    # Sets that reach the threshold share one of their rarest n - ceil(t n) + 1 shingles (in one common order)
+    rank = F.row_number().over(Window.partitionBy("node", "a").orderBy("df", "h"))
+    first = marked.withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
+    held = first.groupBy("h").agg(F.collect_set(F.struct("node", "c")).alias("l"))  # at most RARE entries
     x = held.select(F.explode("l").alias("x"), "l").where(F.exists("l", lambda y: y["c"] != F.col("x.c")))
     x = x.select("x.node", F.explode(F.filter("l", lambda y: (y["c"] != F.col("x.c")) & (y["node"] > F.col("x.node")))).alias("y"))
     through_rare = x.select(F.col("node").alias("u"), F.col("y.node").alias("v")).distinct()
-    # an id with several texts keeps all its shingles in the bound
-    size = marked.groupBy("node").agg(F.max("n").alias("n"), F.count("df").alias("r"), (F.min("a") != F.max("a")).alias("several"))
-    size = size.select("node", "n", F.when(F.col("several"), F.col("n")).otherwise(F.col("n") - F.col("r")).alias("f")).where(F.col("f") * 100 >= F.col("n") * percent)
+    # of each set the frequent part
+    size = rows.groupBy("node", "a").agg(F.max("n").alias("n")).join(marked.groupBy("node", "a").agg(F.count("*").alias("r")), ["node", "a"], "left")
+    size = size.select("node", "a", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f")).where(F.col("f") * 100 >= F.col("n") * percent)
     core = materialize(m.join(size, "node"), "core")
     held = core.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     top = held.groupBy("bucket").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.c").alias("main"), F.col("top.k").alias("n_main"), (F.col("k") - F.col("top.k")).alias("n_rest"))
     core = core.join(top, "bucket").withColumn("side", F.when(F.col("c") == F.col("main"), 0).otherwise(1))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     core = core.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
-    core = core.join(nodes.select("node", "signature", "bands"), "node")
+    core = core.join(nodes.select("node", "a", "signature", "bands"), ["node", "a"])
     held = core.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature", "f", "n", "bands")).alias("rows"))
     meet = top.select("bucket", blocks("n_main").alias("a"), blocks("n_rest").alias("b"))
     rest = F.sequence(F.lit(0), F.col("b") - 1)
@@ -269,37 +347,70 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, do
     return both.mapInArrow(run, "u long, v long").union(through_rare).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    sketch = materialize(sketches(docs, words), "sketch")
-    sets = sketch.where("doc_id is not null and n_shingles > 0")
-    # nodes: one for each different set; an id with several texts is one node under several fingerprints
-    nodes = materialize(sets.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.min("doc_id").alias("id")), "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = keys.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    members = materialize(keys.join(crowded, "bucket").distinct(), "members")
-    members = materialize(members.join(members.groupBy("node").agg(F.sum("size").alias("pop")), "node").select("bucket", "node", "pop"), "members")
+def large_families(members: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """(id, component_id) of nodes with links, from members (bucket, node) of families that are solved over many tasks."""
+    pop = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    pop = members.join(pop, "bucket").groupBy("node").agg(F.sum("size").alias("pop"))
+    members = materialize(members.join(pop, "node").select("bucket", "node", "pop"), "members")
     sig = nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
-    least, tested, links, labels = percent / 100 - SLACK, None, None, None
+    tested, links, labels = None, None, None
     for step in range(3):
         if step < 2:
             pairs = pivot_pairs(members, labels, step)
         else:
-            pairs = far_pairs(members, labels, nodes, docs, words, percent, least)
+            pairs = far_pairs(members, labels, nodes, texts, words, percent, least)
         pairs = pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v")
         pairs = pairs.where(estimated(F.col("su"), F.col("sv")) >= least).select("u", "v").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(confirmed(pairs, docs, words, percent), "confirmed")
+        found = materialize(confirmed(pairs, texts, words, percent), "confirmed")
         if step and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
-        labels = materialize(components(links), "labels")
-    own = sets.select("a", "b", "doc_id").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
-    own = own.join(labels.withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("component_id", "node").alias("c"))
+        old, labels = labels, materialize(components(links), "labels")
+        if old is not None:
+            drop(old)
+    drop(tested)
+    return labels
+
+
+def tied(labels: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """labels, with what an id of several sets ties together."""
+    several = sets.groupBy("doc_id").agg(*[f(x).alias(f"{n}_{x}") for x in "ab" for n, f in (("lo", F.min), ("hi", F.max))]).where("lo_a <> hi_a or lo_b <> hi_b").select("doc_id")
+    reached = materialize(sets.join(several, "doc_id").join(nodes.select("a", "b", "node"), ["a", "b"]).select("doc_id", "node").distinct(), "several")
+    if reached.isEmpty():
+        return labels
+    ties = reached.join(reached.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return components(ties.union(labels.select("id", "component_id")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    sketch = materialize(sketches(docs, words), "sketch")
+    sets = sketch.where("doc_id is not null and n_shingles > 0")
+    # nodes: one for each different set; an id with several texts is one node under several fingerprints
+    nodes = sets.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = materialize(nodes, "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("bucket"))
+    crowded = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub <> hi").select("bucket", "hub")
+    members = materialize(keys.join(crowded, "bucket").distinct(), "members")
+    families = materialize(components(members.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(F.col("id").alias("node"), F.col("component_id").alias("family")), "families")
+    own = nodes.join(families, "node")
+    size = own.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    own = materialize(own.join(size.select("family", ((F.col("k") <= FAMILY) & (F.col("shingles") <= FAMILY_SHINGLES)).alias("small")), "family"), "own")
+    texts = materialize(node_texts(docs, families, words), "texts")
+    least = percent / 100 - SLACK
+    labels = materialize(small_families(own.where("small"), texts, words, percent, least), "solved")
+    large = own.where("not small").select("node").distinct()
+    if not large.isEmpty():
+        far_texts = materialize(texts.join(large, "node", "left_semi"), "texts")
+        far = large_families(members.join(large, "node", "left_semi").select("bucket", "node"), nodes, far_texts, words, percent, least)
+        labels = labels.union(far)
+    labels = tied(labels, sets, nodes)
+    own = nodes.select("a", "b", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("component_id", "node").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "a", "b").join(own, ["a", "b"], "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", c.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

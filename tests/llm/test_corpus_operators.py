@@ -50,10 +50,13 @@ def near_copies(seed, groups, copies):
     return out
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "family"), [(3, 85, 512), (5, 80, 512), (3, 85, 2)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, percent, family):
+    """Families in one piece, and, with a small bound, over many tasks."""
+    monkeypatch.setattr(minhash, "FAMILY", family)
     rows = near_copies(words, 4, 22) + [(1, None), (2, ""), (3, "Two words"), (4, "two  WORDS"), (5, "two wordß"), (6, "x " * 5000), (7, "x " * 4000), (8, " \n")]
     rows += [(9, rows[0][1]), (9, rows[30][1])]  # an id with two texts ties two groups
+    rows += [(500, rows[50][1]), (500, rows[80][1]), (501, "a text of its own"), (501, rows[80][1].upper())]
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("node", F.lit(2))
 
     def linked(x, y):
@@ -73,38 +76,63 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_rare_shingles_find_all_far_pairs(spark):
-    """A group larger than RARE whose edited members link only among themselves."""
+@pytest.mark.parametrize("family", [512, 2])
+def test_rows_that_repeat_twenty_times(spark, monkeypatch, family):
+    monkeypatch.setattr(minhash, "FAMILY", family)
+    rows = near_copies(7, 3, 8)
+    best = brute_components(rows, lambda x, y: 100 * len(shingle_set(x, 3) & shingle_set(y, 3)) >= 85 * len(shingle_set(x, 3) | shingle_set(y, 3)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows * 20, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(i, best[i]): 20 for i, _ in rows})
+
+
+def edited(rng, base, places):
+    t = list(base)
+    t[rng.choice(places)] = "".join(rng.choices("klmnopqrst", k=5))
+    return " ".join(t)
+
+
+def test_far_pairs_of_a_group_larger_than_rare(spark):
+    """Pairs of far nodes, none of which has a component yet, through rare shingles and through blocks of nodes with frequent ones."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("klmnopqrst", k=5)) for _ in range(100)]
+    family = list(base)
+    for k in range(0, 60, 6):
+        family[k] = "".join(rng.choices("klmnopqrst", k=5))
+    rows = [(i, edited(rng, base, range(100))) for i in range(minhash.RARE + 30)] + [(i, edited(rng, family, range(60, 100))) for i in range(200, 206)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = minhash.sketches(docs, 3).withColumnRenamed("doc_id", "node").cache()
+    members = nodes.select("node", F.explode("bands").alias("bucket"), F.lit(1).alias("pop"))
+    texts = minhash.node_texts(docs, nodes, 3).cache()
+    got = {(r["u"], r["v"]) for r in minhash.far_pairs(members, None, nodes, texts, 3, 85, 0.65).collect()}
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    true = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert true <= got and len(true) > minhash.RARE**2 / 4
+    assert not {(i, j) for i, j in got if i < 200 <= j}
+
+
+@pytest.mark.parametrize("family", [512, 16])
+def test_members_that_link_only_among_themselves(spark, monkeypatch, family):
+    monkeypatch.setattr(minhash, "FAMILY", family)
     rng = random.Random(9)
-    word = lambda: "".join(rng.choices("klmnopqrst", k=5))
-    base = [word() for _ in range(100)]
+    base = ["".join(rng.choices("klmnopqrst", k=5)) for _ in range(100)]
     family = list(base)
     for k in range(0, 60, 6):
-        family[k] = word()
-    rows = []
-    for i in range(90):
-        t = list(base)
-        t[rng.randrange(100)] = word()
-        rows.append((i, " ".join(t)))
-    for i in range(90, 96):
-        t = list(family)
-        t[rng.randrange(60, 100)] = word()
-        rows.append((i, " ".join(t)))
+        family[k] = "".join(rng.choices("klmnopqrst", k=5))
+    rows = [(i, edited(rng, base, range(100))) for i in range(160)] + [(i, edited(rng, family, range(60, 100))) for i in range(160, 166)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
-    assert got == {i: 0 if i < 90 else 90 for i in range(96)}
+    assert got == {i: 0 if i < 160 else 160 for i in range(166)}
 
 
-def test_repeated_rows_add_no_shingles(spark):
+def test_a_set_of_an_id_counts_once(spark):
     rng = random.Random(2)
     base = ["".join(rng.choices("klmnopqrst", k=5)) for _ in range(60)]
     text, other = " ".join(base), " ".join(base[:-3] + ["x", "y", "z"])
     docs = spark.createDataFrame([(1, text), (1, text), (1, text.upper()), (2, other), (2, other), (3, text), (3, other)], "doc_id long, text string")
     who = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node long, c long")
-    got = Counter((r["node"], r["h"], r["a"]) for r in minhash.shingle_rows(who, docs, 3).collect())
+    got = Counter((r["node"], r["h"], r["a"]) for r in minhash.shingle_rows(who, minhash.node_texts(docs, who, 3), 3).collect())
     assert set(got.values()) == {1}
     assert Counter(k[0] for k in got) == {1: 58, 2: 58, 3: 116}
-    assert {r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id < 3"), 3, 85).collect()} == {1}
 
 
 def test_components(spark):
