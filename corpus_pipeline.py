@@ -32,9 +32,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8). Rows that share a doc_id are one document; those without one stay."""
+    """One document of each group of near copies stays (five words, similarity 0.8). Rows that share a doc_id are one document; those without one stay.
+
+    The ids grow with the data, so they meet the rows in a merge join at every size.
+    """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").count()
-    ids = materialize(kept, "kept")
+    ids = materialize(kept, "kept").hint("merge")
     once = docs.join(ids.where("count = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(ids.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
