@@ -61,9 +61,14 @@ def drop(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at once: so many rows of text, or 16 MB where the engine can bound bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bounds what a Python worker is sent at once: so many rows of text, or 16 MB where the engine can bound bytes.
+
+    Frames are lazy, so the bound is one for all operators and stays with the session; lower settings of the session's own are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -98,5 +103,7 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_millrace_worker", types.ModuleType("_millrace_worker"))).setdefault("cache", {})
 
 
-def partitions_for(df: DataFrame, least: int = 1) -> int:
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def partitions_for(df: DataFrame, size: int = 32 << 20) -> int:
+    """Partitions to deal `df` into: the session's number, and more where the plan's estimate of bytes makes them larger than `size`."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // size), 1_000_000))

@@ -1,9 +1,9 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is spelled as its tokens: each word in UTF-8 with a space after it, and a line end at last. Bytes are spelled in bits along a Huffman code of the training text (all
-256 bytes have a code). `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the word before and this word so
-far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep the bit lies), and
-the result is refined by adaptive tables of (node, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
+A text is spelled as its tokens: each word in UTF-8 with a space after it, and a line end at last. Bytes are spelled in bits along Huffman codes of the training text, one for
+each byte before (all 256 bytes have a code in each), so that most bytes take few bits. `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the
+word before and this word so far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep
+the bit lies), and the result is refined by adaptive tables of (byte before, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
 with its own occurrence taken out of the counts; tasks learn by themselves, their weights are averaged by what their gates have seen and their tables add up.
 
 The bits of a token give its probability from the bytes. A memory of all pairs of words that follow each other in training text predicts it too: with the share of
@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import binary, materialize, mix64, new_path, small_batches
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (2, 3, 4, 6)
 ALL = len(ORDERS) + 1
 MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 20
 #: A chunk ends after so many tokens or bytes, at the end of a document.
 CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
 #: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
-SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 14, 1 << 19
+SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 14, 1 << 18
 END, STOP = b"\n", b" "
 DEPTHS, BUCKETS, SEEN = 8, 25, 40
 GATES = (ALL + 1) * DEPTHS
@@ -125,6 +125,20 @@ class Chunk:
         out[self.starts()[:-1]] = -1
         return out
 
+    def byte_pairs(self) -> np.ndarray:
+        """Counts of (byte before, byte) in training text, flat."""
+        data, starts = spelled(self.words)
+        training, first = self.training(), self.before < 0
+        many, at_first = (np.bincount(self.tokens[x], minlength=len(self.words)) for x in (training, training & first))
+        pair = data.astype(np.int64)
+        pair[1:] += 256 * data[:-1].astype(np.int64)
+        pair[starts[:-1]] = 256 * STOP[0] + data[starts[:-1]].astype(np.int64)
+        times = np.repeat(many, np.diff(starts))
+        times[starts[:-1]] -= at_first
+        out = np.bincount(pair, times, 1 << 16)
+        out[256 * END[0] : 256 * END[0] + 256] += np.bincount(data[starts[:-1]], at_first, 256)
+        return out.astype(np.int64)
+
     def pair_keys(self, bits: int) -> np.ndarray:
         """For each token a key of `bits` bits of it and the word before."""
         h = np.append(self.hashes, NO_WORD)  # the last entry is that of -1
@@ -144,7 +158,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     folder = new_path(docs.sparkSession, "chunks")
-    schema = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("train_tokens", pa.int64()), ("train_docs", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+    schema = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("train_tokens", pa.int64()), ("train_docs", pa.int64()), ("histogram", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -155,10 +169,8 @@ def chunked(docs: DataFrame) -> DataFrame:
             path = f"{folder}/{number:010x}-{uuid.uuid4().hex[:8]}.chunk"
             c.write(path)
             own = c.tokens[c.training()]
-            data, starts = spelled(c.words)
-            times = np.repeat(np.bincount(own, minlength=len(c.words)), np.diff(starts))
-            histogram = np.bincount(data, times, 256).astype(np.int64)
-            return pa.RecordBatch.from_pylist([{"chunk": number, "path": path, "tokens": len(c.tokens), "train_tokens": len(own), "train_docs": int((~c.held).sum()), "histogram": histogram.tolist()}], schema=schema)
+            histogram = packed(c.byte_pairs(), zstandard.ZstdCompressor(level=1))
+            return pa.RecordBatch.from_pylist([{"chunk": number, "path": path, "tokens": len(c.tokens), "train_tokens": len(own), "train_docs": int((~c.held).sum()), "histogram": histogram}], schema=schema)
 
         rows, ids, index, size, n = [], [], Index(), 0, 0
         for b in batches:
@@ -174,7 +186,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if rows:
             yield written(number, rows, ids, index)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "chunk long, path string, tokens long, train_tokens long, train_docs long, histogram array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "chunk long, path string, tokens long, train_tokens long, train_docs long, histogram binary")
     return materialize(rows, "chunks")
 
 
@@ -264,75 +276,103 @@ def partitions_of(chunks: DataFrame) -> int:
 # Spelling in bits
 
 
-def huffman(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a code of all bytes: where the path of each byte starts (with the end of the last), the nodes of the paths, the bits taken there."""
+def huffman(histogram: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The path of each byte in a code of all bytes: nodes, and the bits taken there."""
     heap = [(int(n) + 1, b, b) for b, n in enumerate(histogram)]  # weight, tie, tree
     heapq.heapify(heap)
-    node, paths = 0, [[] for _ in range(256)]
-    while len(heap) > 1:
+    parent: list = [None] * 511
+    for node in range(255):
         (n, _, x), (m, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, tree in ((0, x), (1, y)):
-            todo = [tree]
-            while todo:
-                t = todo.pop()
-                if isinstance(t, tuple):
-                    todo += t
-                else:
-                    paths[t].append((node, bit))
-        heapq.heappush(heap, (n + m, 256 + node, (x, y)))
-        node += 1
-    flat = [step for p in paths for step in reversed(p)]
-    starts = np.append(0, np.cumsum([len(p) for p in paths]))
-    return starts, np.array([n for n, _ in flat], np.uint8), np.array([b for _, b in flat], np.uint8)
+        parent[x], parent[y] = (256 + node, 0), (256 + node, 1)
+        heapq.heappush(heap, (n + m, 256 + node, 256 + node))
+    paths = []
+    for b in range(256):
+        path, at = [], b
+        while parent[at]:
+            at, bit = parent[at]
+            path.append((at - 256, bit))
+        paths.append(path[::-1])
+    return paths
 
 
 @dataclass
 class Code:
-    """The Huffman code and the size of the predictors' tables."""
+    """For each byte after each byte before: where its path starts and how long it is; along the paths 2 x a node's offset in the tables + bit, and depth; the size of the tables."""
 
     starts: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    lengths: np.ndarray
+    steps: np.ndarray
+    depths: np.ndarray
     slot_bits: int
 
+    @staticmethod
+    def of(histogram: np.ndarray, slot_bits: int) -> Code:
+        """From counts of (byte before, byte). Bytes that were never before another share one code, that of all bytes."""
+        rows = histogram.reshape(256, 256)
+        shared = huffman(rows.sum(axis=0))
+        paths = [p for row in rows for p in (huffman(row) if row.any() else shared)]
+        lengths = np.array([len(p) for p in paths], np.int64)
+        nodes, bits, depths = (np.array(x) for x in zip(*[(n, b, min(d, DEPTHS - 1)) for p in paths for d, (n, b) in enumerate(p)], strict=True))
+        offsets = (NODE_HASH >> np.uint32(32 - slot_bits)).astype(np.int64)
+        return Code(np.cumsum(lengths) - lengths, lengths, offsets[nodes] * 2 + bits, depths.astype(np.uint8), slot_bits)
+
 
 def mixed32(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     return h ^ (h >> np.uint32(13))
 
 
-def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """A hash per predictor and byte. Bytes before a document count as line ends; before: a hash of the word before each token."""
+def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte before each byte, and a hash per predictor and byte. Bytes before a document count as line ends; before: a hash of the word before each token."""
     n = len(data)
-    h, out, doc_ends = np.zeros(n, np.uint32), [], np.append(doc_starts[1:], n)
+    h, out, doc_ends = np.zeros(n, np.uint32), np.empty((ALL, n), np.uint32), np.append(doc_starts[1:], n)
     for back in range(1, max(ORDERS) + 1):
         prev = np.full(n, END[0], np.uint8)
         prev[back:] = data[:-back]
         first = doc_starts[:, None] + np.arange(back)
         prev[first[first < doc_ends[:, None]]] = END[0]
-        h = h + BYTE_HASH[back][prev]
+        h += BYTE_HASH[back].take(prev)
+        if back == 1:
+            last = prev
         if back in ORDERS:
-            out.append(mixed32(h + ORDER_HASH[len(out)]))
+            o = ORDERS.index(back)
+            out[o] = mixed32(h + ORDER_HASH[o])
     lengths = np.diff(np.append(token_starts, n))
-    place = np.arange(n) - np.repeat(token_starts, lengths)
+    place = (np.arange(n) - np.repeat(token_starts, lengths)).astype(np.uint32)
     own = PREFIX_HASH[np.minimum(place, 15), data]
     so_far = np.cumsum(own, dtype=np.uint32) - own
     so_far -= np.repeat(so_far[token_starts], lengths)
-    out.append(mixed32(so_far + np.repeat(before, lengths) + place.astype(np.uint32) * SPREAD))
-    return out
-
+    out[-1] = mixed32(so_far + np.repeat(before, lengths) + place * SPREAD)
+    return last, out
 
-def bits_of(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the bits of bytes: how many each byte has, the depth of each bit, its node, its value."""
-    lengths = np.diff(code.starts)[data]
-    ends = np.cumsum(lengths)
-    depth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-    at = np.repeat(code.starts[:-1][data], lengths) + depth
-    return lengths, depth, code.nodes[at], code.bits[at]
 
+@dataclass
+class Bits:
+    """The bits of a run of bytes: where those of each byte start, and for each bit the position of its byte, the byte before that, depth, value, and slots x 2 + value per predictor."""
 
-def slots(context: np.ndarray, lengths: np.ndarray, node_hash: np.ndarray, bits: int) -> np.ndarray:
-    return (((np.repeat(context, lengths) ^ node_hash) * SPREAD) >> np.uint32(32 - bits)).astype(np.int64)
+    starts: np.ndarray
+    position: np.ndarray
+    last: np.ndarray
+    depth: np.ndarray
+    bit: np.ndarray
+    slots: np.ndarray
+
+
+def bits_of(b: Block, code: Code) -> Bits:
+    last, found = contexts(b.data, b.token_starts, b.doc_starts, b.word_before)
+    found = (found >> np.uint32(32 - code.slot_bits)).astype(np.int64) * 2
+    pair = last.astype(np.int64) * 256 + b.data
+    lengths = code.lengths.take(pair)
+    starts = np.cumsum(lengths) - lengths
+    position = np.repeat(np.arange(len(pair)), lengths)
+    at = (code.starts.take(pair) - starts).take(position)
+    at += np.arange(len(at))
+    steps = code.steps.take(at)
+    slots = found.take(position, axis=1)
+    slots += steps
+    slots &= (2 << code.slot_bits) - 1
+    bit = (steps & 1).astype(np.uint8)
+    return Bits(starts, position, last, code.depths.take(at), bit, slots)
 
 
 @dataclass
@@ -378,11 +418,8 @@ def blocks(c: Chunk, size: int, held: bool | None) -> Iterator[Block]:
 
 def count_block(b: Block, code: Code, table: np.ndarray) -> None:
     """Adds the bits of a block to table[predictor, slot x 2 + bit]."""
-    found = contexts(b.data, b.token_starts, b.doc_starts, b.word_before)
-    lengths, _, node, bit = bits_of(b.data, code)
-    node_hash = NODE_HASH[node]
-    for o, h in enumerate(found):
-        table[o] += np.bincount(slots(h, lengths, node_hash, code.slot_bits) * 2 + bit, minlength=table.shape[1]).astype(table.dtype)
+    for o, slots in enumerate(bits_of(b, code).slots):
+        table[o] += np.bincount(slots, minlength=table.shape[1])
 
 
 def count_tables(chunks: DataFrame, code: Code) -> np.ndarray:
@@ -444,29 +481,33 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """Weights by gate, refinements by (node, bucket of the logit, bit), and the memory's weight by how often the word before was seen."""
+    """Weights by gate, refinements by (byte before, bucket of the logit, bit), and the memory's weight by how often the word before was seen."""
 
     weights: np.ndarray = field(default_factory=lambda: np.full((ALL, GATES), 0.3, np.float32))
     fix: np.ndarray = field(default_factory=lambda: np.zeros((256, BUCKETS, 2)))
     trust: np.ndarray = field(default_factory=lambda: np.zeros((SEEN, 2)))  # responsibilities and tokens
 
-    def mixed(self, x: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def mixed(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The gate and the mixed logit of bits, from the predictors' logits in eighths."""
         known = (x[0] != 0).view(np.int8)
         for row in x[1:]:
             known = known + (row != 0)
-        gate = known.astype(np.int64) * DEPTHS + np.minimum(depth, DEPTHS - 1)
+        gate = known.astype(np.int64) * DEPTHS
+        gate += depth
         logit = np.zeros(len(gate), np.float32)
         for o, row in enumerate(x):
-            logit += row * self.weights[o][gate]
-        return gate, logit * np.float32(1 / SCALE)
+            part = self.weights[o].take(gate)
+            part *= row
+            logit += part
+        logit *= np.float32(1 / SCALE)
+        return gate, logit
 
     @staticmethod
     def bucket(logit: np.ndarray) -> np.ndarray:
         return np.clip((logit + 8) * np.float32(BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
 
     def refined(self) -> np.ndarray:
-        """The probability of a one by (node, bucket), flat."""
+        """The probability of a one by (byte before, bucket), flat."""
         centre = squash((np.arange(BUCKETS) + 0.5) * (16 / BUCKETS) - 8)
         return ((self.fix[:, :, 1] + 20 * centre) / (self.fix.sum(axis=2) + 20)).astype(np.float32).reshape(-1)
 
@@ -490,32 +531,36 @@ class Predictors:
 
     def parts(self) -> tuple:
         """Plain values, as broadcasts carry no classes."""
-        return self.code.starts, self.code.nodes, self.code.bits, self.code.slot_bits, self.plain, self.without
-
-    def rows(self, b: Block, own_out: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of each predictor for each bit (own_out: without the bit's own occurrence); bits per byte, depth, node, bit."""
-        lengths, depth, node, bit = bits_of(b.data, self.code)
-        node_hash, x = NODE_HASH[node], []
-        for o, h in enumerate(contexts(b.data, b.token_starts, b.doc_starts, b.word_before)):
-            s = slots(h, lengths, node_hash, self.code.slot_bits)
-            x.append(self.without[o][s * 2 + bit] if own_out else self.plain[o][s])
-        return x, lengths, depth, node, bit
-
-    def token_bits(self, b: Block, mixer: Mixer, own_out: bool, fixed: np.ndarray, learn: Adagrad | None = None) -> np.ndarray:
+        c = self.code
+        return c.starts, c.lengths, c.steps, c.depths, c.slot_bits, self.plain, self.without
+
+    def rows(self, b: Bits, own_out: bool) -> np.ndarray:
+        """Logits of each predictor for each bit (own_out: without the bit's own occurrence)."""
+        x = np.empty(b.slots.shape, np.int8)
+        for o, s in enumerate(b.slots):
+            np.take(self.without[o] if own_out else self.plain[o], s if own_out else s >> 1, out=x[o], mode="clip")
+        return x
+
+    def token_bits(self, block: Block, mixer: Mixer, own_out: bool, fixed: np.ndarray, learn: Adagrad | None = None) -> np.ndarray:
         """The bits that each token of a block costs by its bytes; with `learn`, the mixer learns from the block afterwards."""
-        x, lengths, depth, node, bit = self.rows(b, own_out)
-        gate, logit = mixer.mixed(x, depth)
-        sign = bit * np.float32(2) - np.float32(1)
-        p = squash(logit * sign)
-        row = node.astype(np.int64) * BUCKETS + mixer.bucket(logit)
-        better = fixed[row]
-        better = np.where(bit == 1, better, 1 - better)
-        cost = -np.log2(np.maximum((p + better) * np.float32(0.5), np.float32(1e-6)))
+        b = bits_of(block, self.code)
+        x = self.rows(b, own_out)
+        gate, logit = mixer.mixed(x, b.depth)
+        one = b.bit.view(bool)
+        p = squash(np.where(one, logit, -logit))
+        row = (b.last.astype(np.int64) * BUCKETS).take(b.position)
+        row += mixer.bucket(logit)
+        better = fixed.take(row)
+        cost = np.where(one, better, 1 - better)
+        cost += p
+        cost *= np.float32(0.5)
+        cost = -np.log2(np.maximum(cost, np.float32(1e-6)))
         if learn is not None:
-            learn.step(mixer, x, gate, sign * (1 - p))
-            mixer.fix += np.bincount(row * 2 + bit, minlength=256 * BUCKETS * 2).reshape(mixer.fix.shape)
-        ends = np.cumsum(lengths)
-        return np.add.reduceat(cost.astype(np.float64), (ends - lengths)[b.token_starts])
+            learn.step(mixer, x, gate, np.where(one, 1 - p, p - 1))
+            row *= 2
+            row += b.bit
+            mixer.fix += np.bincount(row, minlength=256 * BUCKETS * 2).reshape(mixer.fix.shape)
+        return np.add.reduceat(cost.astype(np.float64), b.starts[block.token_starts])
 
 
 class Adagrad:
@@ -524,7 +569,7 @@ class Adagrad:
     def __init__(self) -> None:
         self.squares, self.mass = np.full((ALL, GATES), 1e-6), np.zeros(GATES)
 
-    def step(self, mixer: Mixer, x: list[np.ndarray], gate: np.ndarray, error: np.ndarray) -> None:
+    def step(self, mixer: Mixer, x: np.ndarray, gate: np.ndarray, error: np.ndarray) -> None:
         seen = np.bincount(gate, minlength=GATES)
         self.mass += seen
         for o, row in enumerate(x):
@@ -620,6 +665,20 @@ def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_do
     return mixer
 
 
+def byte_histogram(files: DataFrame) -> np.ndarray:
+    """Counts of (byte before, byte) of all training text, flat."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, total = zstandard.ZstdDecompressor(), np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += unpacked(x, u).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total, zstandard.ZstdCompressor(level=1))], pa.binary())], names=["histogram"])
+
+    parts = files.select("histogram").repartition(8).mapInArrow(add, "histogram binary").collect()  # 8 rows
+    return sum((unpacked(r["histogram"], zstandard.ZstdDecompressor()).astype(np.int64) for r in parts), np.zeros(1 << 16, np.int64))
+
+
 @dataclass
 class Model:
     """What scoring needs besides the files: sizes of the training text, predictors, mixer."""
@@ -637,15 +696,13 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     files = chunked(docs)
     r = files.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(x or 0) for x in r)
-    histogram = np.zeros(256, np.int64)
-    for row in files.select(F.posexplode("histogram").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect():
-        histogram[row["b"]] = row["n"]
+    histogram = byte_histogram(files)
     # bits of a pair's key: one lookup in some thousands may meet another pair's key by chance
     bits, slices = min(64, max(16, tokens.bit_length() + 12)), 1 << max(0, (tokens // SLICE_KEYS).bit_length())
     counts = totals(files, slices, bits)
     distinct = counts.agg(F.sum("distinct")).first()[0] or 0
     size = int(histogram.sum())
-    code = Code(*huffman(histogram), min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, size.bit_length() - 2)))
+    code = Code.of(histogram, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, size.bit_length() - 2)))
     predictors = Predictors(code, *logits(count_tables(files, code)))
     shared = docs.sparkSession.sparkContext.broadcast(predictors.parts())  # 3 x ALL x 2^MAX_SLOT_BITS bytes at most
     mixer = learned(files, counts, shared, bits, train_docs)

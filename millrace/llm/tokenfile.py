@@ -171,7 +171,7 @@ def read_ids(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return placed.repartition(partitions_for(files)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return placed.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 The vocabulary's splitting pattern always cuts before a space that a non-space follows, whatever stands further off. So a text falls into
 chunks at its spaces, each is encoded once per worker, and later ones are looked up. Texts with other runs of spaces are cut by a pattern that allows them.
+A text that holds one of the vocabulary's added tokens (such as `<|endoftext|>`) is left to the library as a whole, which gives such a token its own id.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.split, self.letters = regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
         self.words: dict[str, bytes] = {}
@@ -82,6 +83,8 @@ class BpeEncoder:
         """Ids of a whole text; null is empty."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = text.split(" ")
         try:
             if chunks[0] and chunks[0][-1].isspace():

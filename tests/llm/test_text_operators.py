@@ -13,6 +13,8 @@ from millrace.llm import langid, licenses, packing, pieces, quality, tokenfile,
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+#: Rows with further columns whose names the operators use themselves.
+CLASH = ("n", "ids", "nr", "h", "bundle", "kind", "start", "share", "path", "part")
 EDGE = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n ", "en", None, 3), (4, "one", "en", "a", 3), (4, "one", "en", "a", 3), (None, "a null id here", "en", "b", 14), (5, LONG, "en", "a", len(LONG)), (6, "1234 5678 ##", "de", "c", 12), (7, "x " * 40, "fr", "c", 80), (8, "Ünï cödé 日本語  two  spaces \n\n end ", "de", "b", 30)]
 
 
@@ -25,9 +27,7 @@ def edge(spark):
 def bpe():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
 
 
 def statistics(text):
@@ -138,6 +138,7 @@ def test_ids_equal_the_library(bpe):
     for t in fuzz([" ", "  ", "\n", "\t", "a", "b", "é", "1", "'s", ".", "\xa0", " ", "\x1c", "\x85", " x", "<|endoftext|>", "日"], 3000, 1) + [LONG, "x" * 500]:
         assert np.frombuffer(e(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
     assert e(None) == b""
+    assert np.frombuffer(e("a <|endoftext|> b"), "<u4").tolist().count(50256) == 1
 
 
 def test_pieces_equal_the_library(spark, edge):
@@ -168,6 +169,8 @@ def test_token_blocks_round_trip():
 
 
 def test_token_files(spark, edge, bpe):
+    for c in CLASH:
+        edge = edge.withColumn(c, F.lit("mine"))
     files = tokenfile.write_ids(edge, tokens.vocabulary("byte_bpe_50k.json"), end_id=2, file_ids=50)
     got = sorted(tokenfile.read_ids(files, with_ids=True).collect(), key=lambda r: r["start"])
     ids = [r["doc_id"] for r in got]
@@ -183,7 +186,7 @@ def test_token_files(spark, edge, bpe):
 
 
 def test_packing_keeps_every_id_once(spark, edge, bpe):
-    got = packing.pack(edge, tokens.vocabulary("byte_bpe_50k.json"), 1, length=64, window_sequences=4, bundle_bytes=60_000).collect()
+    got = packing.pack(edge, tokens.vocabulary("byte_bpe_50k.json"), 1, length=64, window_sequences=4, bundle_ids=20_000).collect()
     by_sequence = defaultdict(list)
     for r in got:
         by_sequence[r["sequence_id"]].append(r)
@@ -211,7 +214,7 @@ def test_balance_beyond_a_window_is_carried(spark):
     """After a very long document of one source, the next bundles give the other source all it has first."""
     rows = [(1003, "some words " * 3000, "a")] + [(i, f"a few more words {i}", "ab"[i % 2]) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), 1, {"a": 0.5, "b": 0.5}, length=16, window_sequences=1, bundle_bytes=3000).collect()
+    got = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), 1, {"a": 0.5, "b": 0.5}, length=16, window_sequences=1, bundle_ids=1000).collect()
     long = min(r["sequence_id"] >> 32 for r in got if r["doc_id"] == 1003)
     later = defaultdict(lambda: defaultdict(list))
     for r in got:
@@ -221,6 +224,63 @@ def test_balance_beyond_a_window_is_carried(spark):
     assert both and all(max(x["b"]) < min(x["a"]) for x in both)
 
 
+def plain_packing(rows, total, share, bundles, size):
+    """Per bundle the (doc_id, position) of its ids in order: queues, credits and balances on plain lists. rows: (bundle, h, nr, doc_id, source, n)."""
+    out, held = {}, Counter()
+    for b in range(bundles):
+        own = sorted(r for r in rows if r[0] == b)
+        queues = defaultdict(list)
+        for _, _, _, i, s, n in own:
+            queues[s] += [(i, k) for k in range(n)]
+        before = sum(held.values())
+        account = {s: share[s] * before - held[s] for s in queues}
+        names = sorted(queues, key=lambda s: (s is not None, s or ""))  # accounts come in order of their sources, null first
+        for s in names:
+            held[s] += len(queues[s])
+        done = []
+        while any(queues.values()):
+            live = [s for s in names if queues[s]]
+            need, whole = min(size, sum(len(queues[s]) for s in live)), sum(share[s] for s in live)
+            for s in live:
+                account[s] += size * share[s] / whole
+            room = need
+            for late in (False, True):
+                for s in sorted(live, key=lambda s: -account[s]) if late else live:
+                    n = min(len(queues[s]), room) if late else max(0, min(int(account[s]), len(queues[s]), room))
+                    done += queues[s][:n]
+                    del queues[s][:n]
+                    account[s] -= n
+                    room -= n
+        out[b] = done
+    return out
+
+
+def test_packing_equals_plain_lists(spark, bpe, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["one", "two", "three", "größe", "日本"], k=rng.randint(0, 40))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    rows += [(7, "the same row again and again", "a")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for c in CLASH:
+        docs = docs.withColumn(c, F.lit("mine"))
+    path, length, windows, bundle_ids = tokens.vocabulary("byte_bpe_50k.json"), 32, 3, 700
+    once = packing.encoded(docs, path, 1)
+    monkeypatch.setattr(packing, "encoded", lambda *_: once)
+    monkeypatch.setattr(packing, "SUMMED", 3)  # running sums over several runs
+    got = packing.pack(docs, path, 1, length=length, window_sequences=windows, bundle_ids=bundle_ids).collect()
+    ids = once.select(F.xxhash64("nr").alias("h"), "nr", "doc_id", "source", "n").collect()
+    assert sorted((r["doc_id"], r["n"]) for r in ids) == sorted((i, len(bpe.encode(t, add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    total = sum(r["n"] for r in ids)
+    bundles = -(-total // bundle_ids)
+    share = {s: sum(r["n"] for r in ids if r["source"] == s) / total for s in {r["source"] for r in ids}}
+    want = plain_packing([(r["h"] % bundles, r["h"], r["nr"], r["doc_id"], r["source"], r["n"]) for r in ids], total, share, bundles, length * windows)
+    mine = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        b = mine[r["sequence_id"] >> 32]
+        assert len(b) == (r["sequence_id"] & 0xFFFFFFFF) * length + r["offset"]
+        b += [(r["doc_id"], r["start"] + k) for k in range(r["length"])]
+    assert {b: x for b, x in want.items() if x} == dict(mine)
+
+
 def test_windows_hold_target_shares():
     queues = {s: packing.Queue(share, 0.0) for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2))}
     for s, n in (("a", 5000), ("b", 3000), ("c", 2000)):
