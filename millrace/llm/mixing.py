@@ -4,11 +4,13 @@ A text is spelled as its tokens: each word in UTF-8 with a space after it, and a
 each byte before (all 256 bytes have a code in each), so that most bytes take few bits. `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the
 word before and this word so far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep
 the bit lies), and the result is refined by adaptive tables of (byte before, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
-with its own occurrence taken out of the counts; tasks learn by themselves, their weights are averaged by what their gates have seen and their tables add up.
+with its own occurrence taken out of the counts, and before it is learned from. Each chunk of documents is a run of its own (its first blocks are passed once before, to warm up); for held-out
+documents the runs' weights are averaged by what their gates have seen, and their tables add up.
 
 The bits of a token give its probability from the bytes. A memory of all pairs of words that follow each other in training text predicts it too: with the share of
 the word before that this word follows. A gate (how often the word before was seen) weighs the two, learned with the rest. So a text that occurs again is told from one that
-doesn't, whatever the size of the corpus. A training document is scored without its own occurrences, a held-out one has none.
+doesn't, whatever the size of the corpus. A training document's score is what the run of its chunk has paid for it, always without its own occurrences; a held-out one is scored
+by the mixer of all runs.
 
 Data flow: documents are read once and written as chunks (files of words, token numbers and documents in the shared folder). A chunk sends each of its different words and
 pairs once, with counts, to the owner of the hash slice, and gets the totals back; a word, however common, is one entry per chunk. Number of slices, bits of
@@ -27,6 +29,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +42,15 @@ from pyspark.sql import functions as F
 
 from .common import binary, materialize, mix64, new_path, small_batches
 
-ORDERS = (2, 3, 4, 6)
+ORDERS = (2, 3, 5)
 ALL = len(ORDERS) + 1
 MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 20
 #: A chunk ends after so many tokens or bytes, at the end of a document.
 CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
 #: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
-SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 14, 1 << 18
+SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 15, 1 << 19
 END, STOP = b"\n", b" "
-DEPTHS, BUCKETS, SEEN = 8, 25, 40
+DEPTHS, BUCKETS, SEEN, WARM_BLOCKS = 8, 25, 40, 16
 GATES = (ALL + 1) * DEPTHS
 RATE = 0.05
 #: Logits are kept in eighths in one byte; entries of a slice of the tables.
@@ -368,7 +371,9 @@ def bits_of(b: Block, code: Code) -> Bits:
     at = (code.starts.take(pair) - starts).take(position)
     at += np.arange(len(at))
     steps = code.steps.take(at)
-    slots = found.take(position, axis=1)
+    slots = np.empty((ALL, len(at)), np.int64)
+    for o, row in enumerate(found):
+        np.take(row, position, out=slots[o], mode="clip")
     slots += steps
     slots &= (2 << code.slot_bits) - 1
     bit = (steps & 1).astype(np.uint8)
@@ -496,7 +501,7 @@ class Mixer:
         gate += depth
         logit = np.zeros(len(gate), np.float32)
         for o, row in enumerate(x):
-            part = self.weights[o].take(gate)
+            part = self.weights[o][gate]
             part *= row
             logit += part
         logit *= np.float32(1 / SCALE)
@@ -628,24 +633,62 @@ def chunks_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Ch
         yield c, *known_counts(c, rows, bits)
 
 
-def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_docs: int) -> Mixer:
-    """A mixer from all training text: tasks learn by themselves; weights are averaged by what their gates have seen, the rest adds up."""
-    schema = pa.schema([("sums", pa.binary())])
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long"
+
+
+def scored(c: Chunk, held: bool, bits: np.ndarray, words: np.ndarray, n: int, distinct: int) -> pa.Table:
+    """Rows (SCORES) of the chunk's documents of a kind, from the bits of all."""
+    starts, some = c.starts()[:-1], np.flatnonzero(c.held == held)
+    base = np.add.reduceat(np.log10((words + 1) / (n + 1 * (distinct + 1)))[c.tokens], starts)[some]
+    known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)[some]
+    columns = [c.doc_ids.take(pa.array(some)), pa.array(c.held[some]), pa.array(c.n_tokens[some]), pa.array(known), pa.array(base), pa.array(bits[some]), pa.array(c.n_bytes[some])]
+    return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+
+def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictors, train_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run of a chunk: bits of its training documents (others 0), and what it has learned: weights x mass, mass, refinements, trust."""
+    mixer, steps, bits = Mixer(), Adagrad(), np.zeros(len(c.n_tokens))
+
+    def learn(b: Block) -> np.ndarray:
+        cost = predictors.token_bits(b, mixer, True, mixer.refined(), steps)
+        bucket, share = memory_share(c, words, pairs, b, train_docs, True)
+        trust = mixer.memory()[bucket]
+        total = joined_bits(cost, share, trust)
+        with np.errstate(divide="ignore"):
+            won = np.exp2(np.log2(trust) + np.log2(share) + total)
+        mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
+        return total
+
+    for b in islice(blocks(c, BLOCK, False), WARM_BLOCKS):
+        learn(b)
+    before = mixer.fix.copy(), mixer.trust.copy()
+    for b in blocks(c, BLOCK, False):
+        bits[b.docs] = np.add.reduceat(learn(b), b.first_tokens)
+    return bits, np.concatenate([(mixer.weights * steps.mass).ravel(), steps.mass, (mixer.fix - before[0]).ravel(), (mixer.trust - before[1]).ravel()])
+
+
+def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_docs: int, n: int, distinct: int) -> DataFrame:
+    """The rows (SCORES) of training documents, and a row per task with what its runs have learned (`sums`)."""
+    names = [x.split() for x in SCORES.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([*((name, kinds[k]) for name, k in names), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, steps, some, own = Mixer(), Adagrad(), False, Predictors.of(predictors.value)
+        total, own = None, Predictors.of(predictors.value)
         for c, words, pairs in chunks_of(batches, bits):
-            for b in blocks(c, BLOCK, False):
-                some = True
-                cost = own.token_bits(b, mixer, True, mixer.refined(), steps)
-                bucket, share = memory_share(c, words, pairs, b, train_docs, True)
-                trust = mixer.memory()[bucket]
-                total = joined_bits(cost, share, trust)
-                with np.errstate(divide="ignore"):
-                    won = np.exp2(np.log2(trust) + np.log2(share) + total)
-                mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([(mixer.weights * steps.mass).ravel(), steps.mass, mixer.fix.ravel(), mixer.trust.ravel()]).tobytes()], pa.binary())], schema=schema)
+            paid, sums = online(c, words, pairs, own, train_docs)
+            total = sums if total is None else total + sums
+            rows = scored(c, False, paid, words, n, distinct)
+            yield from rows.append_column("sums", pa.nulls(rows.num_rows, pa.binary())).cast(schema).to_batches(20_000)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(i).type) for i in range(len(names))), pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    return materialize(fed(files, counts).mapInArrow(run, f"{SCORES}, sums binary"), "learned")
+
+
+def averaged(rows: DataFrame) -> Mixer:
+    """The mixer of all runs."""
+    schema = pa.schema([("sums", pa.binary())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -655,7 +698,7 @@ def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_do
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    parts = fed(files, counts).mapInArrow(run, "sums binary").repartition(16).mapInArrow(add, "sums binary").collect()  # 16 rows of some 100 KB
+    parts = rows.where("sums is not null").select("sums").repartition(16).mapInArrow(add, "sums binary").collect()  # 16 rows of some 100 KB
     mixer = Mixer()
     if parts:
         total = sum(np.frombuffer(r["sums"]) for r in parts)
@@ -691,8 +734,8 @@ class Model:
     mixer: Mixer
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of docs (doc_id, text, held_out), the chunks' files and their totals."""
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """The model of docs (doc_id, text, held_out), the rows of training documents, the chunks' files and their totals."""
     files = chunked(docs)
     r = files.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(x or 0) for x in r)
@@ -701,40 +744,33 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     bits, slices = min(64, max(16, tokens.bit_length() + 12)), 1 << max(0, (tokens // SLICE_KEYS).bit_length())
     counts = totals(files, slices, bits)
     distinct = counts.agg(F.sum("distinct")).first()[0] or 0
-    size = int(histogram.sum())
-    code = Code.of(histogram, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, size.bit_length() - 2)))
+    code = Code.of(histogram, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(histogram.sum()).bit_length() - 2)))
     predictors = Predictors(code, *logits(count_tables(files, code)))
     shared = docs.sparkSession.sparkContext.broadcast(predictors.parts())  # 3 x ALL x 2^MAX_SLOT_BITS bytes at most
-    mixer = learned(files, counts, shared, bits, train_docs)
-    return Model(n, distinct, train_docs, bits, predictors, mixer), files, counts
+    rows = learned(files, counts, shared, bits, train_docs, n, distinct)
+    return Model(n, distinct, train_docs, bits, predictors, averaged(rows)), rows, files, counts
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for docs (doc_id, text, held_out)."""
-    model, files, counts = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.n, model.distinct, model.train_docs, model.key_bits, model.predictors.parts(), model.mixer.weights, model.mixer.fix, model.mixer.trust))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+    model, rows, files, counts = fit(docs)
+    m = model.mixer
+    shared = docs.sparkSession.sparkContext.broadcast((model.n, model.distinct, model.train_docs, model.key_bits, model.predictors.parts(), m.weights, m.fix, m.trust))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *sizes, predictors, weights, fix, trust = shared.value
         m = Model(*sizes, Predictors.of(predictors), Mixer(weights, fix, trust))
         fixed, memory = m.mixer.refined(), m.mixer.memory()
         for c, words, pairs in chunks_of(batches, m.key_bits):
-            starts = c.starts()[:-1]
-            base = np.add.reduceat(np.log10((words + 1) / (m.n + 1 * (m.distinct + 1)))[c.tokens], starts)
-            known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)
-            bits = np.empty(len(starts))
-            for held in (False, True):
-                for b in blocks(c, BLOCK, held):
-                    cost = m.predictors.token_bits(b, m.mixer, not held, fixed)
-                    bucket, share = memory_share(c, words, pairs, b, m.train_docs, not held)
-                    bits[b.docs] = np.add.reduceat(joined_bits(cost, share, memory[bucket]), b.first_tokens)
-            for i in range(0, len(starts), 20_000):
-                s = slice(i, i + 20_000)
-                columns = [c.doc_ids[s], pa.array(c.held[s]), pa.array(c.n_tokens[s]), pa.array(known[s]), pa.array(np.full(len(bits[s]), m.n)), pa.array(base[s]), pa.array(-bits[s] * math.log10(2)), pa.array(bits[s] / np.maximum(c.n_bytes[s], 1))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return fed(files, counts).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+            bits = np.zeros(len(c.n_tokens))
+            for b in blocks(c, BLOCK, True):
+                bucket, share = memory_share(c, words, pairs, b, m.train_docs, False)
+                bits[b.docs] = np.add.reduceat(joined_bits(m.predictors.token_bits(b, m.mixer, False, fixed), share, memory[bucket]), b.first_tokens)
+            yield from scored(c, True, bits, words, m.n, m.distinct).to_batches(20_000)
+
+    both = rows.where("sums is null").drop("sums").unionByName(fed(files, counts).mapInArrow(run, SCORES))
+    out = both.withColumn("train_tokens", F.lit(model.n).cast("long")).withColumn("score", F.col("bits") * -math.log10(2)).withColumn("bits_per_byte", F.col("bits") / F.greatest("n_bytes", F.lit(1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

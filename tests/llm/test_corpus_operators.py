@@ -101,9 +101,9 @@ def test_far_pairs_of_a_group_larger_than_rare(spark):
     rows = [(i, edited(rng, base, range(100))) for i in range(minhash.RARE + 30)] + [(i, edited(rng, family, range(60, 100))) for i in range(200, 206)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = minhash.sketches(docs, 3).withColumnRenamed("doc_id", "node").cache()
-    members = nodes.select("node", F.explode("bands").alias("bucket"), F.lit(1).alias("pop"))
+    members = nodes.select("node", "a", "signature", "bands", F.col("bands").alias("buckets"), F.lit(1).alias("pop"))
     texts = minhash.node_texts(docs, nodes, 3).cache()
-    got = {(r["u"], r["v"]) for r in minhash.far_pairs(members, None, nodes, texts, 3, 85, 0.65).collect()}
+    got = {(r["u"], r["v"]) for r in minhash.far_pairs(members, None, texts, 3, 85, 0.65).collect()}
     sets = {i: shingle_set(t, 3) for i, t in rows}
     true = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert true <= got and len(true) > minhash.RARE**2 / 4
@@ -139,6 +139,8 @@ def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), (11, 9), (1, 5), (None, 3)], "u long, v long")
     assert {r["id"]: r["component_id"] for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 11: 8}
     assert components(links.limit(0)).count() == 0
+    assert {r["id"]: r["component_id"] for r in components(links, most_links=2).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 11: 8}
+    assert components(links.limit(0), most_links=-1).count() == 0
 
 
 def test_vectors_equal_brute_force(spark):
@@ -208,32 +210,34 @@ def language_rows():
     return rows
 
 
-def plain_scores(rows, held, model):
-    """score of each row, bit by bit in Python, from plainly counted contexts and the weights, refinements and memory of a model."""
-    mask, code, mixer = (1 << 32) - 1, model.predictors.code, model.mixer
+def plain_scores(rows, held, model, block):
+    """score of each row, bit by bit in Python, from plainly counted contexts: training rows by a run over them, held-out ones by the mixer of the model."""
+    mask, code = (1 << 32) - 1, model.predictors.code
     spell = lambda t: [*(w + b" " for w in (t or "").encode().lower().split()), b"\n"]
     key = lambda w: xxhash.xxh3_64_intdigest(w if w == b"\n" else w[:-1]) >> 32
+    shift = 32 - code.slot_bits
 
     def mixed32(h):
         h = ((h ^ (h >> 16)) * 0x85EBCA6B) & mask
         return h ^ (h >> 13)
 
-    def slots_of(tokens):
-        """For each token the (slots, depth, node, bit) of its bits."""
+    def bits_of(tokens):
+        """For each token the (slots, depth, byte before, bit) of its bits."""
         past, out = b"\n" * 6, []
         before = int(mixing.NO_WORD) >> 32
         for w in tokens:
             bits, so_far = [], 0
             for place, byte in enumerate(w):
                 h, hashes = 0, []
-                for back in range(1, 7):
+                for back in range(1, max(mixing.ORDERS) + 1):
                     h = (h + int(mixing.BYTE_HASH[back][past[-back]])) & mask
                     if back in mixing.ORDERS:
                         hashes.append(mixed32((h + int(mixing.ORDER_HASH[len(hashes)])) & mask))
                 hashes.append(mixed32((so_far + before + place * int(mixing.SPREAD)) & mask))
-                for depth, at in enumerate(range(code.starts[byte], code.starts[byte + 1])):
-                    node = int(code.nodes[at])
-                    bits.append(([((x ^ int(mixing.NODE_HASH[node])) * int(mixing.SPREAD) & mask) >> (32 - code.slot_bits) for x in hashes], depth, node, int(code.bits[at])))
+                pair = past[-1] * 256 + byte
+                for depth in range(code.lengths[pair]):
+                    step = int(code.steps[code.starts[pair] + depth])
+                    bits.append(([((x >> shift) + step // 2) % (1 << code.slot_bits) for x in hashes], min(depth, mixing.DEPTHS - 1), past[-1], step % 2))
                 so_far = (so_far + int(mixing.PREFIX_HASH[min(place, 15)][byte])) & mask
                 past += bytes([byte])
             out.append(bits)
@@ -241,43 +245,74 @@ def plain_scores(rows, held, model):
         return out
 
     spelled = [spell(t) for t in rows]
-    coded = [slots_of(s) for s in spelled]
+    coded = [bits_of(s) for s in spelled]
     counts, seen, pairs = Counter(), Counter(), Counter()
     for s, c, out in zip(spelled, coded, held):
         if not out:
             counts.update((o, x, bit) for bits in c for found, _, _, bit in bits for o, x in enumerate(found))
             seen.update([None, *s[:-1]])
             pairs.update(zip([None, *s], s))
-    scores, memory = [], mixer.memory()
-    for s, c, out in zip(spelled, coded, held):
-        total = 0.0
-        for before, w, bits in zip([None, *s], s, c):
+
+    def paid(i, mixer, learn):
+        """The cost of a row in bits; learn collects what the run learns from it."""
+        total, own, memory = 0.0, not held[i], mixer.memory()
+        for before, w, bits in zip([None, *spelled[i]], spelled[i], coded[i]):
             cost = 0.0
-            for found, depth, node, bit in bits:
+            for found, depth, last, bit in bits:
                 x = []
                 for o, k in enumerate(found):
                     n = [counts[o, k, 0], counts[o, k, 1]]
-                    n[bit] -= not out
+                    n[bit] -= own
                     x.append(max(-127, min(127, int(np.rint(np.log(np.float32(n[1] + 0.3) / np.float32(n[0] + 0.3)) * 8)))))
-                gate = sum(v != 0 for v in x) * mixing.DEPTHS + min(depth, mixing.DEPTHS - 1)
+                gate = sum(v != 0 for v in x) * mixing.DEPTHS + depth
                 logit = sum(v * float(mixer.weights[o][gate]) for o, v in enumerate(x)) / 8
                 bucket = int(max(0, min(mixing.BUCKETS - 1, (logit + 8) * mixing.BUCKETS / 16)))
                 centre = 1 / (1 + math.exp(8 - (bucket + 0.5) * 16 / mixing.BUCKETS))
-                zero, one = mixer.fix[node, bucket]
+                zero, one = mixer.fix[last, bucket]
                 refined = (one + 20 * centre) / (zero + one + 20)
                 p = 1 / (1 + math.exp(-max(-15, min(15, logit if bit else -logit))))
                 cost -= math.log2(max(1e-6, (p + (refined if bit else 1 - refined)) / 2))
-            n = seen[before] - (not out)
-            share = (pairs[before, w] - (not out)) / n if n > 0 else 0.0
-            trust = memory[min(n.bit_length(), mixing.SEEN - 1)]
-            total += math.log10(trust * share + (1 - trust) * 2.0**-cost)
-        scores.append(total)
-    return scores
-
-
-def test_language_model_equals_plain_loops(spark):
+                learn["bits"].append((gate, x, 1 - p if bit else p - 1, last, bucket, bit))
+            n = seen[before] - own
+            share = (pairs[before, w] - own) / n if n > 0 else 0.0
+            bucket = min(n.bit_length(), mixing.SEEN - 1)
+            p = memory[bucket] * share + (1 - memory[bucket]) * 2.0**-cost
+            learn["tokens"].append((bucket, memory[bucket] * share / p))
+            total -= math.log2(p)
+        return total
+
+    size = [sum(map(len, s)) for s in spelled]
+    training = [i for i in range(len(rows)) if not held[i]]
+    groups = [[]]
+    for i in training:  # blocks of documents
+        if sum(size[j] for j in groups[-1]) >= block:
+            groups.append([])
+        groups[-1].append(i)
+    mixer, squares, bits = mixing.Mixer(), np.full((mixing.ALL, mixing.GATES), 1e-6), [0.0] * len(rows)
+    for g in [*groups[: mixing.WARM_BLOCKS], *groups]:
+        learn = {"bits": [], "tokens": []}
+        for i in g:
+            bits[i] = paid(i, mixer, learn)
+        total, many = np.zeros_like(squares), np.zeros(mixing.GATES)
+        for gate, x, error, last, bucket, bit in learn["bits"]:
+            many[gate] += 1
+            total[:, gate] += np.array(x) * error
+            mixer.fix[last, bucket, bit] += 1
+        for bucket, won in learn["tokens"]:
+            mixer.trust[bucket] += won, 1
+        mean = total / np.maximum(many, 1)
+        squares += mean * mean
+        mixer.weights += (mixing.RATE * mean / np.sqrt(squares)).astype(np.float32)
+    for i in range(len(rows)):
+        if held[i]:
+            bits[i] = paid(i, model.mixer, {"bits": [], "tokens": []})
+    return [-x * math.log10(2) for x in bits]
+
+
+def test_language_model_equals_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4000)
     rows = language_rows()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("chunk", F.lit(1)).withColumn("held_out", mixing.held_out())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).withColumn("chunk", F.lit(1)).withColumn("held_out", mixing.held_out())
     got = mixing.score(docs).collect()
     assert len(got) == len(rows)
     spell = lambda t: (t or "").encode().lower().split() + [b"\n"]
@@ -286,9 +321,9 @@ def test_language_model_equals_plain_loops(spark):
     n, v = sum(c.values()), len(c)
     want = Counter((i, out(i), len(spell(t)), sum(c[w] > 0 for w in spell(t)), n, round(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in spell(t)), 6)) for i, t, _ in rows)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    model, _, _ = mixing.fit(docs)
+    model, *_ = mixing.fit(docs)
     assert (model.n, model.distinct) == (n, v)
-    plain = plain_scores([t for _, t, _ in rows], [out(i) for i, *_ in rows], model)
+    plain = plain_scores([t for _, t, _ in rows], [out(i) for i, *_ in rows], model, 4000)
     by = sorted((str(i), s) for (i, *_), s in zip(rows, plain))
     mine = sorted((str(r["doc_id"]), r["score"]) for r in got)
     assert [i for i, _ in mine] == [i for i, _ in by]
@@ -321,19 +356,21 @@ def test_repeated_texts_are_told_apart_in_chunks_and_slices(spark, monkeypatch):
     flagged = set(sorted(got, key=lambda i: got[i]["bits_per_byte"])[: len(known)])
     assert len(flagged & known) >= 0.95 * len(known) and len(known) >= 18
     assert all(math.isclose(got[i]["base_score"], whole[i]["base_score"], rel_tol=1e-12) and got[i]["n_known"] == whole[i]["n_known"] for i in got)
-    assert all(math.isclose(got[i]["score"], whole[i]["score"], rel_tol=0.1) for i in got)
+    assert sum(r["score"] for r in got.values()) > 1.2 * sum(r["score"] for r in whole.values())  # short runs learn less
 
 
-def test_huffman_code_is_a_prefix_code():
-    histogram = np.zeros(256, np.int64)
-    histogram[97:110] = np.arange(13) ** 4
-    starts, nodes, bits = mixing.huffman(histogram)
-    paths = [tuple(zip(nodes[a:b].tolist(), bits[a:b].tolist())) for a, b in zip(starts, starts[1:])]
-    assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 256
+def test_codes_are_prefix_codes():
+    rng = np.random.default_rng(2)
+    histogram = np.zeros((256, 256), np.int64)
+    histogram[97:110, 97:120] = rng.integers(0, 50, (13, 23)) ** 3
+    paths = mixing.huffman(histogram[100])
+    assert sum(2.0 ** -len(p) for p in paths) == 1 and len({tuple(p) for p in paths}) == 256
     step = {}
     for p in paths:  # each node with a bit leads to one place
-        for here, there in zip(p, [*p[1:], (p, None)]):
+        for here, there in zip(p, [*p[1:], (tuple(p), None)]):
             assert step.setdefault(here, there[0]) == there[0]
+    code = mixing.Code.of(histogram.reshape(-1), 12)
+    assert (code.lengths.reshape(256, 256)[:97] == [len(p) for p in mixing.huffman(histogram.sum(axis=0))]).all()
 
 
 def test_warc_round_trip(spark):
