@@ -256,19 +256,20 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """members with the component that each node has so far."""
     if labels is None:
         return members.withColumn("c", F.col("node"))
-    return members.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").select("bucket", "node", "pop", F.coalesce("component_id", "node").alias("c"))
+    return members.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
 
 
-def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """In buckets of several components: each node with the bucket's pivot, if that is of another component.
+def pivot_pairs(members: DataFrame, labels: DataFrame | None, round_: int, least: float) -> DataFrame:
+    """In buckets of several components: each node with the bucket's pivot, if that is of another component and may reach the threshold.
 
     The pivot is the node whose buckets are fullest (`pop`), as a text near the middle of its group shares most bands; the second round looks at a random third only.
     """
-    m = labelled(members, labels)
+    m = labelled(members, labels).select("node", "c", "pop", "signature", F.explode("buckets").alias("bucket"))
     h = F.xxhash64("node", F.lit(round_))
-    first = F.max(F.struct((F.lit(round_ == 0) | (F.pmod(h, F.lit(3)) == 0)).alias("in"), F.col("pop"), h.alias("h"), F.col("node").alias("p"), F.col("c").alias("pc")))
-    pivots = m.groupBy("bucket").agg(first.alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", "f.p", "f.pc")
-    return m.join(pivots, "bucket").where("c <> pc").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
+    first = F.max(F.struct((F.lit(round_ == 0) | (F.pmod(h, F.lit(3)) == 0)).alias("in"), F.col("pop"), h.alias("h"), F.col("node").alias("p"), F.col("c").alias("pc"), F.col("signature").alias("ps")))
+    pivots = m.groupBy("bucket").agg(first.alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", "f.p", "f.pc", "f.ps")
+    near = m.join(pivots, "bucket").where("c <> pc").where(estimated(F.col("signature"), F.col("ps")) >= least)
+    return near.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
 
 def shingle_rows(who: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -285,13 +286,13 @@ def shingle_rows(who: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return who.join(texts, "node").select("node", "c", "a", "text").mapInArrow(run, "h long, node long, c long, n long, a long")
 
 
-def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+def far_pairs(members: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
     """Pairs (u, v) of nodes of different components that share a bucket of several, or a rare shingle, and may reach the threshold.
 
     In a bucket, nodes are dealt into blocks by a hash, those of its largest component apart; blocks of that one don't meet each other. Only
     pairs that pass come out.
     """
-    m = labelled(members, labels)
+    m = labelled(members, labels).select("node", "c", F.explode("buckets").alias("bucket")).distinct()
     mixed = m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     m = materialize(m.join(mixed, "bucket").select("bucket", "node", "c"), "mixed")
     rows = materialize(shingle_rows(m.select("node", "c").distinct(), texts, words), "shingles")
@@ -303,7 +304,9 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, te
     held = first.groupBy("h").agg(F.collect_set(F.struct("node", "c")).alias("l"))  # at most RARE entries
     x = held.select(F.explode("l").alias("x"), "l").where(F.exists("l", lambda y: y["c"] != F.col("x.c")))
     x = x.select("x.node", F.explode(F.filter("l", lambda y: (y["c"] != F.col("x.c")) & (y["node"] > F.col("x.node")))).alias("y"))
-    through_rare = x.select(F.col("node").alias("u"), F.col("y.node").alias("v")).distinct()
+    sig = members.select(F.col("node").alias("u"), F.col("signature").alias("su"))
+    through_rare = x.select(F.col("node").alias("u"), F.col("y.node").alias("v")).distinct().join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v")
+    through_rare = through_rare.where(estimated(F.col("su"), F.col("sv")) >= least).select("u", "v")
     # of each set the frequent part
     size = rows.groupBy("node", "a").agg(F.max("n").alias("n")).join(marked.groupBy("node", "a").agg(F.count("*").alias("r")), ["node", "a"], "left")
     size = size.select("node", "a", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f")).where(F.col("f") * 100 >= F.col("n") * percent)
@@ -313,7 +316,7 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, te
     core = core.join(top, "bucket").withColumn("side", F.when(F.col("c") == F.col("main"), 0).otherwise(1))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     core = core.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
-    core = core.join(nodes.select("node", "a", "signature", "bands"), ["node", "a"])
+    core = core.join(members.select("node", "a", "signature", "bands"), ["node", "a"])
     held = core.groupBy("bucket", "side", "block").agg(F.collect_list(F.struct("node", "c", "signature", "f", "n", "bands")).alias("rows"))
     meet = top.select("bucket", blocks("n_main").alias("a"), blocks("n_rest").alias("b"))
     rest = F.sequence(F.lit(0), F.col("b") - 1)
@@ -347,32 +350,20 @@ def far_pairs(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, te
     return both.mapInArrow(run, "u long, v long").union(through_rare).distinct()
 
 
-def large_families(members: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
-    """(id, component_id) of nodes with links, from members (bucket, node) of families that are solved over many tasks."""
-    pop = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    pop = members.join(pop, "bucket").groupBy("node").agg(F.sum("size").alias("pop"))
-    members = materialize(members.join(pop, "node").select("bucket", "node", "pop"), "members")
-    sig = nodes.select(F.col("node").alias("u"), F.col("signature").alias("su"))
-    tested, links, labels = None, None, None
+def large_families(own: DataFrame, texts: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """(id, component_id) of nodes with links, from the rows (node, a, bands, signature) of families that are solved over many tasks."""
+    keys = own.select("node", "a", F.explode("bands").alias("bucket"))
+    size = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "size")
+    buckets = keys.join(size, "bucket").groupBy("node", "a").agg(F.collect_list("bucket").alias("buckets"), F.sum("size").alias("pop"))  # at most BANDS
+    members = materialize(own.select("node", "a", "signature", "bands").join(buckets, ["node", "a"]), "members")
+    links, labels = None, None
     for step in range(3):
-        if step < 2:
-            pairs = pivot_pairs(members, labels, step)
-        else:
-            pairs = far_pairs(members, labels, nodes, texts, words, percent, least)
-        pairs = pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v")
-        pairs = pairs.where(estimated(F.col("su"), F.col("sv")) >= least).select("u", "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = pivot_pairs(members, labels, step, least) if step < 2 else far_pairs(members, labels, texts, words, percent, least)
         found = materialize(confirmed(pairs, texts, words, percent), "confirmed")
         if step and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
-        old, labels = labels, materialize(components(links), "labels")
-        if old is not None:
-            drop(old)
-    drop(tested)
+        labels = components(links)
     return labels
 
 
@@ -404,10 +395,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = materialize(node_texts(docs, families, words), "texts")
     least = percent / 100 - SLACK
     labels = materialize(small_families(own.where("small"), texts, words, percent, least), "solved")
-    large = own.where("not small").select("node").distinct()
+    large = own.where("not small").select("node", "a")
     if not large.isEmpty():
-        far_texts = materialize(texts.join(large, "node", "left_semi"), "texts")
-        far = large_families(members.join(large, "node", "left_semi").select("bucket", "node"), nodes, far_texts, words, percent, least)
+        far_texts = materialize(texts.join(large, ["node", "a"], "left_semi"), "texts")
+        far = large_families(own.where("not small"), far_texts, words, percent, least)
         labels = labels.union(far)
     labels = tied(labels, sets, nodes)
     own = nodes.select("a", "b", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("component_id", "node").alias("c"))
