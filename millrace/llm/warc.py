@@ -1,6 +1,8 @@
 """WARC: captures are written as request, response (or revisit) and metadata records and put together again.
 
-Transaction assembly joins the records of a capture through their `WARC-Concurrent-To` identifiers; one nested row per capture comes out.
+Transaction assembly joins the records of a capture through their `WARC-Concurrent-To` identifiers; one nested row per capture comes out. Record identifiers
+follow from the place of a row in its file, so a repeated task writes the same ones, and a revisit names the record of its response in `WARC-Refers-To`; who reads finds the
+response's page by a join on it.
 
 Defined cases: a null html is an empty payload; a null url is written as `about:blank`; empty payloads are equal to each other; rows that repeat a
 page_id and payload are all responses when that page_id is the largest of its payload; a null page_id counts as smaller than any; an empty table
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, partitions_for, small_batches
+from .common import materialize, new_path, small_batches
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -49,28 +52,43 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> list[bytes]:
-    """The three records of a capture; a revisit keeps the HTTP head (with the full length) and leaves the payload out."""
-    own, uri = f"urn:uuid:{uuid.uuid4()}", one_line(url or "") or "about:blank"
+def record_id(kind: str, row: str) -> str:
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{kind} {row}'.encode()).digest())}"
+
+
+def capture_records(page_id: int | None, url: str | None, payload: bytes, row: str, refers_to: str | None) -> list[bytes]:
+    """The three records of the capture of a row; a revisit (of the row `refers_to`) keeps the HTTP head (with the full length) and leaves the payload out."""
+    own, uri = record_id("response", row), one_line(url or "") or "about:blank"
     base = [("WARC-Target-URI", uri)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     main = [*base, ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("Content-Type", "application/http; msgtype=response")]
-    if revisit:
-        main += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"urn:page:{refers_to}")]
+    if refers_to is not None:
+        main += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_id('response', refers_to)}>")]
     joined = [*base, ("WARC-Concurrent-To", f"<{own}>")]
     return [
-        record("request", f"urn:uuid:{uuid.uuid4()}", [*joined, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
-        record("revisit" if revisit else "response", own, main, http + (b"" if revisit else payload)),
-        record("metadata", f"urn:uuid:{uuid.uuid4()}", [*joined, ("Content-Type", "application/warc-fields")], f"page_id: {'' if page_id is None else page_id}\r\n".encode()),
+        record("request", record_id("request", row), [*joined, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
+        record("response" if refers_to is None else "revisit", own, main, http + (payload if refers_to is None else b"")),
+        record("metadata", record_id("metadata", row), [*joined, ("Content-Type", "application/warc-fields")], f"page_id: {'' if page_id is None else page_id}\r\n".encode()),
     ]
 
 
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, row): row names the file and the place in it; tables that don't come from Parquet files are written first."""
+    place = F.md5(F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).cast("binary")).alias("row")
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")
+    try:
+        return pages.select(F.col("page_id").cast("long"), "url", payload, place)
+    except AnalysisException:
+        return materialize(pages.select("page_id", "url", "html"), "pages").select(F.col("page_id").cast("long"), "url", payload, place)
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds `keeper`, the largest page_id of those with an equal payload, where a payload of `least_bytes` or more occurs again."""
-    p = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload"))
-    again = p.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(again, "sha", "left").drop("sha")
+    """Adds `refers_to`, the row of the largest page_id of those with an equal payload, to the rows of smaller ones, where a payload has `least_bytes` or more."""
+    p = numbered(pages).withColumn("sha", F.sha1("payload"))
+    keeper = F.max(F.struct("page_id", "row"))
+    again = p.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(keeper.alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
+    smaller = F.coalesce(F.col("page_id") < F.col("keeper.page_id"), F.col("keeper.page_id").isNotNull() & F.col("page_id").isNull())
+    return p.join(again, "sha", "left").select("page_id", "url", "payload", "row", F.when(smaller, F.col("keeper.row")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, least_bytes: int = 0, level: int = 1) -> DataFrame:
@@ -93,9 +111,8 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, level: int = 1) -> DataFr
                         at, inner = fs.FileSystem.from_uri(path)
                         at.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                         sink = at.open_output_stream(inner, compression=None)
-                        sink.write(packed(record("warcinfo", f"urn:uuid:{uuid.uuid4()}", [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level))
-                    keeper, page = row["keeper"], row["page_id"]
-                    for data in capture_records(page, row["url"], row["payload"], keeper, keeper is not None and (page is None or page < keeper)):
+                        sink.write(packed(record("warcinfo", record_id("warcinfo", path), [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level))
+                    for data in capture_records(**row):
                         sink.write(packed(data, level))
                         n += 1
         finally:
@@ -170,8 +187,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    n = partitions_for(files)
-    return files.select("path").repartition(n, "path").mapInArrow(read, RECORD)
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(read, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -190,14 +206,17 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
+def resolved(captures: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of captures, refers_to being the page of the record that a revisit names."""
+    page = F.regexp_extract("metadata.note", r"page_id: (-?\d+)", 1).try_cast("long")
+    flat = captures.select(page.alias("page_id"), "response.payload_bytes", "response.payload_digest", "response.record_type", F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("named"))
+    flat = materialize(flat, "captures")
+    named = flat.where("record_type = 'response'").select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"))
+    revisits = flat.where("named is not null").join(named, "named", "left")
+    first = flat.where("named is null").withColumn("refers_to", F.lit(None).cast("long"))
+    return first.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    captures = assemble(read_warc(write_warc(pages), with_payload=False))
-    r = F.col("response")
-    return captures.select(
-        F.regexp_extract("metadata.note", r"page_id: (-?\d+)", 1).try_cast("long").alias("page_id"),
-        r["payload_bytes"].alias("payload_bytes"),
-        r["payload_digest"].alias("payload_digest"),
-        r["record_type"].alias("record_type"),
-        F.regexp_extract(r["refers_to"], r"urn:page:(-?\d+)", 1).try_cast("long").alias("refers_to"),
-    )
+    return resolved(assemble(read_warc(write_warc(pages), with_payload=False)))

@@ -375,7 +375,9 @@ def test_codes_are_prefix_codes():
 
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same"), (2, "http://b/ c\r\nX: y", "same"), (3, None, None), (4, "", ""), (5, "http://é/", "é\r\n\r\nWARC/1.1\r\n" * 3000), (None, "http://n/", "same"), (6, "u", "own"), (6, "u", "own")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).withColumn("keeper", F.lit(0))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("sha", "keeper", "row", "payload", "refers_to", "_metadata"):
+        pages = pages.withColumn(c, F.lit("clash"))
     files = warc.write_warc(pages)
     captures = warc.assemble(warc.read_warc(files)).collect()
     assert len(captures) == len(rows)
@@ -383,8 +385,12 @@ def test_warc_round_trip(spark):
     texts = Counter(bytes(c["response"]["payload"]).decode() for c in captures if c["response"]["record_type"] == "response")
     assert texts == Counter(["same", "", rows[4][2], "own", "own"])
     by = {c["metadata"]["note"]: c["response"] for c in captures}
-    assert by["page_id: 1"]["record_type"] == "revisit" and by["page_id: 1"]["refers_to"] == "urn:page:2" and by["page_id: 1"]["payload_bytes"] == 4
-    assert by["page_id: 3"]["refers_to"] == "urn:page:4" and by["page_id:"]["record_type"] == "revisit"
+    assert by["page_id: 1"]["record_type"] == "revisit" and by["page_id: 1"]["refers_to"] == by["page_id: 2"]["record_id"] and by["page_id: 1"]["payload_bytes"] == 4
+    assert by["page_id: 3"]["refers_to"] == by["page_id: 4"]["record_id"] and by["page_id:"]["record_type"] == "revisit"
+    ids = [c[k]["record_id"] for c in captures for k in ("request", "response", "metadata")]
+    assert len(set(ids)) == len(ids)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.resolved(warc.assemble(warc.read_warc(files))).collect())
+    assert got == Counter([(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (None, "revisit", 2), (6, "response", None), (6, "response", None)])
     assert warc.assemble(warc.read_warc(warc.write_warc(pages.limit(0)))).count() == 0
     assert warc.write_warc(pages, least_bytes=10_000).count() >= 1
 
