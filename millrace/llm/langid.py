@@ -4,8 +4,12 @@ Each whole text, in lower case, is compressed, block by block, once per language
 language's sampled text. The smallest total wins; the score is the share that it saves against the second smallest, and a margin below
 `min_margin` rejects.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; ties go to the language with more training documents; without any training
-text every row is `und`; very long texts are taken whole, in blocks; repeated rows and further columns are kept; an empty table gives an empty result.
+What is learned is bounded: of each language a dictionary of `DICT_BYTES` bytes, filled by `PASSAGES` passages evenly spread over the whole text of each of at most `MAX_DOCS` sampled
+documents (as long as the bytes allow; short texts come whole); of at most `MAX_LANGS` languages, those of most documents. Everything else sees whole texts and all rows.
+
+Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; ties go to the language with more training documents, then to the name that comes
+first; without any training text every row is `und`; very long texts are taken whole, in blocks; a row with a null doc_id is in no fold, so it is learned from and not held
+out; repeated rows and further columns are kept (those named like a result are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,34 +21,43 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batch, small_batches, worker_cache
 
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Bounds of what is learned: languages, sampled documents a language, characters of a sampled document, bytes of a dictionary.
-MAX_LANGS, MAX_DOCS, SAMPLE_CHARS, DICT_BYTES = 64, 400, 2000, 112 << 10
+#: Bounds of what is learned: languages, sampled documents a language, passages of a sampled document, bytes of a dictionary.
+MAX_LANGS, MAX_DOCS, PASSAGES, DICT_BYTES = 256, 200, 4, 112 << 10
 LEVEL, BLOCK, MIN_MARGIN = 6, 32 << 10, 0.002
 
 
-def fold(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def passages(text: Column, chars: Column) -> Column:
+    """PASSAGES pieces of `chars` characters, evenly spread over a text, or the whole of it where that is no longer."""
+    size = F.length(text)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substr(text, (F.floor(i * (size - chars) / (PASSAGES - 1)) + 1).cast("int"), chars))
+    return F.when(size <= PASSAGES * chars, text).otherwise(F.array_join(spread, "\n"))
 
 
 def fit(train: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language from (doc_id, text, lang): at most `max_docs` sampled documents each, chosen by a hash of the id."""
+    """Dictionaries by language from (doc_id, text, lang): at most `max_docs` sampled documents each, chosen by a hash."""
     some = train.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * max_docs / n)))])
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    picked = some.where(h < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = picked.orderBy(F.xxhash64("doc_id", "lang"), "text").limit(4 * max_docs * len(counts)).collect()
+    of = lambda value: F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(value(n)))]), F.col("lang"))
+    h = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 20))
+    picked = some.where(h < of(lambda n: min(1.0, 2.0 * max_docs / n)) * (1 << 20))
+    picked = picked.select("lang", h.alias("h"), passages(F.col("text"), of(lambda n: -(-dict_bytes // (PASSAGES * min(n, max_docs))))).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # of about 2 x max_docs rows a language
+    rows = picked.withColumn("k", rank).where(F.col("k") <= max_docs).orderBy("lang", "k").collect()
     found: dict[str, list[bytes]] = {}
     for r in rows:
-        if len(own := found.setdefault(r["lang"], [])) < max_docs:
-            own.append(r["text"].lower().encode())
+        found.setdefault(r["lang"], []).append(r["text"].lower().encode())
     return {k: b"\n".join(found[k])[-dict_bytes:] for k in counts if k in found}
 
 
@@ -102,6 +115,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    dictionaries = fit(docs.where(fold() != 2).select("doc_id", "text", "lang"))
+    dictionaries = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = identify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -116,7 +116,7 @@ def test_language_identification(spark, edge):
     text = lambda k: " ".join("".join(rng.choices(syllables[k], k=rng.randint(1, 3))) for _ in range(50))
     rows = [(i, text(k), k, "s", 0) for i, k in enumerate(["xx", "yy"] * 60)]
     docs = spark.createDataFrame(rows, DOCS)
-    found = langid.fit(docs.where(langid.fold() != 2))
+    found = langid.fit(docs.where(~langid.held_out()))
     assert set(found) == {"xx", "yy"}
     got = langid.identify(docs.withColumn("score", F.lit("mine")), found).collect()
     assert all(r["lang_pred"] == r["lang"] and 0 < r["score"] <= 1 for r in got)
@@ -128,6 +128,38 @@ def test_language_identification(spark, edge):
     assert {r["lang_pred"] for r in langid.identify(docs.limit(4), {"xx": found["xx"]}).collect()} == {"xx"}
 
 
+def test_languages_equal_plain_compression(spark):
+    """Prediction and score of each row from zstandard alone, with ties, and a null id that is no fold's."""
+    import zstandard
+
+    rng = random.Random(6)
+    syllables = {"xx": ["tha", "ing", "ou", "er"], "yy": ["sch", "ung", "ei", "ach"], "zz": ["sch", "ung", "ei", "ach"]}
+    text = lambda k, n: " ".join("".join(rng.choices(syllables[k], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(k, rng.randint(1, 80)), k) for i, k in enumerate(["xx", "yy", "xx"] * 40)] + [(None, "thaing erou", "xx"), (500, None, "xx"), (501, "...", "xx"), (502, "ÉCOLE " * 9000, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = langid.fit(docs.where(~langid.held_out()))
+    names["zz"] = names["yy"]  # ties with yy
+    assert list(names) == ["xx", "yy", "zz"] and all(0 < len(x) <= langid.DICT_BYTES for x in names.values())
+    own = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=langid.LEVEL, write_content_size=False) for k, v in names.items()}
+    for r in langid.identify(docs, names).withColumn("held_out", langid.held_out()).collect():
+        assert r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not r["text"] or not re.search(r"[^\W\d_]", r["text"]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        data = r["text"].lower().encode()
+        size = {k: sum(len(c.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK)) for k, c in own.items()}
+        best = min(size, key=lambda k: (size[k], k))
+        second = min(size[k] for k in size if k != best)
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - size[best] / second)) < 1e-12 and r["rejected"] == (1 - size[best] / second < langid.MIN_MARGIN)
+
+
+def test_passages_spread_over_whole_texts(spark):
+    d = spark.createDataFrame([("".join(chr(97 + i) * 100 for i in range(26)),), ("short",), ("é" * 40,)], "text string")
+    got = [r[0] for r in d.select(langid.passages(F.col("text"), F.lit(10))).collect()]
+    parts = got[0].split("\n")
+    assert [len(x) for x in parts] == [10] * 4 and parts[0] == "a" * 10 and parts[3] == "z" * 10 and got[1:] == ["short", "é" * 40]
+
+
 def fuzz(alphabet, n, seed):
     rng = random.Random(seed)
     return ["".join(rng.choices(alphabet, k=rng.randint(0, 10))) for _ in range(n)]
