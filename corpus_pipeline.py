@@ -21,7 +21,7 @@ def wrapped(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those without a letter, or whose two best languages compress alike."""
-    dictionaries = langid.fit(docs.where(langid.fold() != 2).select("doc_id", "text", "lang"))
+    dictionaries = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     return langid.identify(wrapped(docs), dictionaries).where("not rejected").select("row.*")
 
 
