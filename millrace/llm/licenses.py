@@ -50,6 +50,30 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "this is free and unencumbered software released into the public domain": "Unlicense",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdDisclaimer",
+    "apache license version 2 0 january 2004": "Apache2Title",
+    "apache license version 2 0 january 2004 http www apache org licenses": "Apache2Title",
+    "apache license version 2 0 january 2004 https www apache org licenses": "Apache2Title",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "Apache2Definition",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "AgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Plus",
+    "either version 2 1 of the license or at your option any later version": "Lgpl21Either",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v": "Epl2Notice",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "Cc0Dedication",
+    "you should have received a copy of the cc0 public domain dedication along with this software": "Cc0Copy",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CcBySa4",
+    "licensed under cc by sa 4 0": "CcBySa4",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented": "ZlibOrigin",
+    "boost software license version 1 0 august 17th 2003": "BoostTitle",
+    "distributed under the boost software license version 1 0": "BoostNotice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BoostGrant",
 }
 # Ordered rules, a license and the identifiers that must follow each other; more special ones come first.
 RULES = [
@@ -57,6 +81,13 @@ RULES = [
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("MIT", ["MitGrant", "MitNoticeKept"]),
     ("Apache-2.0", ["Apache2Notice", "ApacheUse"]),
+    ("Apache-2.0", ["Apache2Title"]),
+    ("Apache-2.0", ["Apache2Definition"]),
+    ("AGPL-3.0-or-later", ["Agpl3Plus"]),
+    ("AGPL-3.0-or-later", ["AgplTerms", "Gpl3Either"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Plus"]),
+    ("LGPL-3.0-or-later", ["LgplTerms", "Gpl3Either"]),
+    ("LGPL-2.1-or-later", ["LgplTerms", "Lgpl21Either"]),
     ("GPL-3.0-or-later", ["Gpl3Plus"]),
     ("GPL-3.0-or-later", ["GplTerms", "Gpl3Either"]),
     ("GPL-2.0-or-later", ["Gpl2Plus"]),
@@ -71,6 +102,15 @@ RULES = [
     ("MPL-2.0", ["Mpl2Notice"]),
     ("ISC", ["IscGrant"]),
     ("Unlicense", ["Unlicense"]),
+    ("EPL-2.0", ["Epl2Notice"]),
+    ("CC0-1.0", ["Cc0Dedication"]),
+    ("CC0-1.0", ["Cc0Copy"]),
+    ("CC-BY-SA-4.0", ["CcBySa4"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("Zlib", ["ZlibGrant", "ZlibOrigin"]),
+    ("BSL-1.0", ["BoostTitle"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostNotice"]),
 ]
 # Each known sentence holds one of these, so texts without any need no cutting.
 HINTS = ("licens", "redistribut", "permission", "software", "endorse")

@@ -104,6 +104,24 @@ def test_each_license_rule_fires_on_its_real_notice(spark):
         ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
         ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
         ("Unlicense", "This is free and unencumbered software released into the public domain.\n"),
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit + kept + '\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n'),
+        ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n"),
+        ("Apache-2.0", '      "License" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n'),
+        ("AGPL-3.0-or-later", gpl.format(a=":", b=",", v=3).replace("General", "Affero General")),
+        ("AGPL-3.0-or-later", gpl.format(a=";", b=";", v=3).replace("General", "Affero General")),
+        ("LGPL-3.0-or-later", gpl.format(a=":", b=",", v=3).replace("General", "Lesser General")),
+        ("LGPL-3.0-or-later", gpl.format(a=";", b=";", v=3).replace("General", "Lesser General")),
+        ("LGPL-2.1-or-later", gpl.format(a=";", b=";", v="2.1").replace("General", "Lesser General").replace("program", "library")),
+        ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0\n"),
+        ("EPL-2.0", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 which is available at\nhttp://www.eclipse.org/legal/epl-2.0.\n"),
+        ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. This software is distributed without any warranty.\n"),
+        ("CC0-1.0", "You should have received a copy of the CC0 Public Domain Dedication along with\nthis software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>.\n"),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.\n"),
+        ("Zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n"),
+        ("BSL-1.0", 'Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization'),
+        ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the "Software") to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:\n'),
+        ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.\n   (See accompanying file LICENSE_1_0.txt or copy at\n         https://www.boost.org/LICENSE_1_0.txt)\n"),
     ]
     d = spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")
     assert {r["doc_id"]: r["license"] for r in licenses.scan(d).collect()} == {i: x for i, (x, _) in enumerate(cases)}
