@@ -64,26 +64,32 @@ class Scale:
     sd: float
 
 
+def fit_scales(df: DataFrame, columns: list[str]) -> dict[str, Scale]:
+    """Mean and population deviation of the present values of each column, in one scan."""
+    if not columns:
+        return {}
+    r = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    return {c: Scale(r[2 * i] or 0.0, r[2 * i + 1] or 0.0) for i, c in enumerate(columns)}
+
+
 def fit_scale(df: DataFrame, column: str) -> Scale:
-    """Mean and population deviation of the present values."""
-    r = df.agg(F.avg(column), F.stddev_pop(column)).first()
-    return Scale(r[0] or 0.0, r[1] or 0.0)
+    return fit_scales(df, [column])[column]
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation; zero deviation divides by one; missing stays missing."""
-    for c in columns:
-        s = fit_scale(df, c)
-        df = df.withColumn(c, (F.col(c) - s.mean) / (s.sd or 1.0))
-    return df
+    scales = fit_scales(df, columns)
+    return df.select(*[((F.col(c) - scales[c].mean) / (scales[c].sd or 1.0)).alias(c) if c in scales else F.col(c) for c in df.columns])
 
 
 def impute_mean(df: DataFrame, columns: list[str], sentinels: tuple = (None,)) -> DataFrame:
     """Replaces sentinels by the mean of the present values, taken before the column changes."""
-    for c in columns:
-        mean = F.lit(df.agg(F.avg(c)).first()[0])
+    if not columns:
+        return df
+    means = df.agg(*[F.avg(c) for c in columns]).first()
+    for c, mean in zip(columns, means, strict=True):
         for s in sentinels:
-            df = df.withColumn(c, F.coalesce(F.col(c), mean) if s is None else F.when(F.col(c) == s, mean).otherwise(F.col(c)))
+            df = df.withColumn(c, F.coalesce(F.col(c), F.lit(mean)) if s is None else F.when(F.col(c) == s, mean).otherwise(F.col(c)))
     return df
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,17 +22,43 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """column, n, mean, std (sample), low, q25, q50, q75, high of numeric columns, one scan for all.
+def at_ranks(df: DataFrame, column: str, ranks: list[int], low: float, high: float, bins: int = 4096) -> dict[int, float]:
+    """The present values of a column at 0-based ranks: counts by bin tell where a rank lies, and that bin is looked at more closely, until it holds one value.
 
-    Exact quartiles keep a count per distinct value; for continuous columns of very large tables `exact=False` bounds the state.
+    A pass sends at most `bins` rows per rank to the driver, whatever the size of the table.
     """
+    spans, out = {r: (low, high, 0) for r in ranks}, {}
+    while spans:
+        for r in [r for r, (a, b, _) in spans.items() if a == b]:
+            out[r] = spans.pop(r)[0]
+        for a, b, below in set(spans.values()):
+            x = F.col(column).cast("double")
+            bin_ = F.least(F.floor((x - a) / (b - a) * bins), F.lit(bins - 1))
+            rows = df.where(x.between(a, b)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).orderBy("bin").collect()
+            for r in [r for r, s in spans.items() if s == (a, b, below)]:
+                before = below
+                for row in rows:
+                    if r < before + row["n"]:
+                        spans[r] = (row["a"], row["b"], before)
+                        break
+                    before += row["n"]
+    return out
+
+
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n, mean, std (sample), low, q25, q50, q75, high of numeric columns: one scan for all, and a few for the exact quartiles of each."""
     columns = columns or numeric_columns(df)
-    quartiles = (lambda c: F.percentile(c, [0.25, 0.5, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000))
-    one = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"), quartiles(c).alias("q"), F.max(c).cast("double").alias("high"))
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.array(*[one(c) for c in columns]).alias("all"))
-    s = wide.select(F.explode("all").alias("s"))
-    return s.select("s.column", "s.n", "s.mean", "s.std", "s.low", *[F.get("s.q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "s.high")
+    parts = [f(F.col(c).cast("double")) for c in columns for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    r, rows = df.agg(*parts).first(), []
+    for i, c in enumerate(columns):
+        n, mean, std, low, high = r[5 * i : 5 * i + 5]
+        quartiles = [None] * 3
+        if n:
+            places = [q * (n - 1) for q in (0.25, 0.5, 0.75)]
+            found = at_ranks(df, c, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}), low, high)
+            quartiles = [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) for p in places]
+        rows.append((c, n, mean, std, low, *quartiles, high))
+    return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, low double, q25 double, q50 double, q75 double, high double")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

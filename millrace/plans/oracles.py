@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from ..sources.tables import CATEGORICAL, CLICK_COLUMNS
 from . import queries as q
 
@@ -90,6 +92,48 @@ def grid() -> str:
     return "WITH " + ", ".join(ctes) + ", k AS (" + " UNION ALL ".join(runs) + f"), log AS (SELECT * EXCLUDE (raw_rate), round(raw_rate, 6) AS rate, {MEASURES} FROM k)"
 
 
+def general_epochs(prefix: str, loss: str, terms: list[str], rate: float, n: int, start: list[float], bias: float, source: str) -> str:
+    """As `epochs`, for the sign of any number of terms and the losses of the grid."""
+    k = range(len(terms))
+    ctes = [f"{prefix}0 AS (SELECT " + ", ".join(f"{w!r}::DOUBLE AS w{i}" for i, w in enumerate(start)) + f", {bias!r}::DOUBLE AS b)"]
+    score = " + ".join(f"w{i} * t{i}" for i in k) + " + b"
+    scale = f"({rate!r}::DOUBLE * (2.0::DOUBLE / n))" if loss == "MSE" else f"{rate!r}::DOUBLE"
+    for e in range(1, n + 1):
+        rows = "SELECT " + ", ".join(f"{t} AS t{i}" for i, t in enumerate(terms)) + f", y01 FROM {source}"
+        p = "SELECT " + ", ".join(f"t{i}" for i in k) + f", y01 AS a, sign({score})::DOUBLE AS p FROM ({rows}), {prefix}{e - 1}"
+        g = "SELECT " + ", ".join(f"t{i}" for i in k) + f", {GRADIENT[loss]} AS g FROM ({p})"
+        sums = "SELECT count(*) AS n, sum(g) AS gb, " + ", ".join(f"sum(t{i} * g) AS g{i}" for i in k) + f" FROM ({g})"
+        ctes.append(f"{prefix}{e} AS (SELECT " + ", ".join(f"w{i} - {scale} * g{i} AS w{i}" for i in k) + f", b - {scale} * gb AS b FROM {prefix}{e - 1}, ({sums}))")
+    return ", ".join(ctes)
+
+
+#: The first two uniform numbers of the PCG64 generator for the seeds 1 and 2.
+UNIFORM = {1: [0.5118216247002567, 0.9504636963259353], 2: [0.2616121342493164, 0.2984911434141233]}
+
+
+def full_grid() -> str:
+    ctes, runs = [D, "tr AS (SELECT * FROM d WHERE l_orderkey % 2 = 0)", "te AS (SELECT * FROM d WHERE l_orderkey % 2 = 1)"], []
+    names = sorted(q.FULL_GRID)
+    for i, values in enumerate(product(*(q.FULL_GRID[x] for x in names)), 1):
+        v = dict(zip(names, values, strict=True))
+        terms = [" * ".join([x] * p) for x in ("x1", "x2") for p in range(1, v["degree"] + 1)]
+        start = [(1 - v["rate"]) * w**p for w in UNIFORM[v["seed"]] for p in range(1, v["degree"] + 1)]
+        ctes.append(general_epochs(f"r{i}_", v["loss"], terms, v["rate"], v["epochs"], start, (1 - v["rate"]) * v["bias"], "tr"))
+        score = " + ".join(f"w{j} * ({t})" for j, t in enumerate(terms)) + " + b"
+        pred = f"(SELECT y01, CASE WHEN sign({score}) = -1 THEN 0 ELSE sign({score}) END AS p FROM te, r{i}_{v['epochs']})"
+        shown = f"{i}::BIGINT AS run, {v['bias']!r}::DOUBLE AS bias, {v['degree']}::BIGINT AS degree, {v['epochs']}::BIGINT AS epochs, '{v['loss']}' AS loss, round({v['rate']!r}::DOUBLE, 6) AS rate, {v['seed']}::BIGINT AS seed, "
+        runs.append(counted(pred, "y01", "p", True, shown))
+    return "WITH " + ", ".join(ctes) + ", k AS (" + " UNION ALL ".join(runs) + f") SELECT *, {MEASURES} FROM k"
+
+
+def project_grid() -> str:
+    numbers = lambda x, kind: f"unnest({x})::{kind}"
+    g = q.PROJECT_GRID
+    parts = [f"(SELECT {numbers(g[x], kind)} AS {x})" for x, kind in (("bias", "DOUBLE"), ("degree", "BIGINT"), ("epochs", "BIGINT"), ("rate", "DOUBLE"), ("seed", "BIGINT"))]
+    parts.append("(SELECT unnest(['MSE', 'MAE']) AS loss, unnest([1, 2]) AS nr)")
+    return f"SELECT row_number() OVER (ORDER BY bias, degree, epochs, nr, rate, seed) AS run, bias, degree, epochs, loss, rate, seed FROM {', '.join(parts)}"
+
+
 JUDGED = f"{SC}, ju AS (SELECT click, CASE WHEN sign(round(age, 6) - 0.5 * CASE WHEN gender = 'Female' THEN 1.0 ELSE 0.0 END + 0.25) = -1 THEN 0 ELSE sign(round(age, 6) - 0.5 * CASE WHEN gender = 'Female' THEN 1.0 ELSE 0.0 END + 0.25) END AS p FROM za)"
 T = CATEGORICAL
 TR = f"{CV}, t AS (SELECT id, " + ", ".join(f"coalesce({c}, 'nan') AS {c}" for c in T) + ", click FROM cv)"
@@ -107,6 +151,25 @@ DEPTH2 = (
     "leaf AS (SELECT a.v1, l.value AS v2, CASE WHEN 2 * sum(l.click) > count(*) THEN 1 ELSE 0 END AS prediction FROM a JOIN b2 USING (v1) JOIN long l ON l.id = a.id AND l.col = b2.col GROUP BY a.v1, l.value), "
     "pr AS (SELECT a.id, a.click, CASE WHEN b2.k = 0 THEN 0 WHEN b2.k = b2.n THEN 1 ELSE leaf.prediction END AS prediction FROM a JOIN b2 USING (v1) JOIN long l ON l.id = a.id AND l.col = b2.col JOIN leaf ON leaf.v1 = a.v1 AND leaf.v2 = l.value)"
 )
+
+
+def deep_tree() -> str:
+    """Common tables that grow a tree on four fifths and send the rest down, to `pr`. A node is the path to it; no column splits twice on a path, so there are as many levels as columns."""
+    value = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{x}' THEN {x}" for x in T) + " END"
+    ctes = [TR, "h AS (SELECT *, row_number() OVER (ORDER BY (id % 4294967296) * 2654435761 % 4294967296, id) <= ceil(0.2 * (SELECT count(*) FROM cv)) AS is_test FROM t)"]
+    ctes += ["tr0 AS MATERIALIZED (SELECT *, '' AS node FROM h WHERE NOT is_test)", "te0 AS MATERIALIZED (SELECT *, '' AS node FROM h WHERE is_test)"]
+    for i in range(len(T) + 1):
+        ctes.append(f"n{i} AS MATERIALIZED (SELECT node, count(*) AS n, sum(click) AS k FROM tr{i} GROUP BY node)")
+        values = " UNION ALL ".join(f"SELECT node, {j} AS position, '{c}' AS col, {c} AS value, click FROM tr{i}" for j, c in enumerate(T))
+        ctes.append(f"v{i} AS MATERIALIZED (SELECT node, position, col, value, count(*) AS n, sum(click) AS k FROM ({values}) JOIN (SELECT node FROM n{i} WHERE k > 0 AND k < n) USING (node) GROUP BY ALL)")
+        ctes.append(f"b{i} AS MATERIALIZED (SELECT node, col FROM (SELECT node, position, col, 1 - sum(k * k) / (sum(n) * sum(n)) AS score FROM v{i} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY abs(score - 0.5) DESC, position) = 1)")
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT v.node, v.col, v.value, v.node || '/' || v.col || '=' || v.value AS child FROM v{i} v JOIN b{i} b USING (node, col) JOIN n{i} m ON m.node = v.node WHERE v.n < m.n)")
+        ctes.append(f"tr{i + 1} AS MATERIALIZED (SELECT r.* REPLACE (c.child AS node) FROM tr{i} r JOIN c{i} c ON r.node = c.node AND {value('c.col')} = c.value)")
+        ctes.append(f"te{i + 1} AS MATERIALIZED (SELECT r.* REPLACE (coalesce(c.child, r.node) AS node) FROM te{i} r LEFT JOIN c{i} c ON r.node = c.node AND {value('c.col')} = c.value)")
+    ends = " UNION ALL ".join(f"SELECT node, CASE WHEN 2 * k > n THEN 1 ELSE 0 END AS prediction FROM n{i}" for i in range(len(T) + 1))
+    return ", ".join([*ctes, f"pr AS (SELECT click, prediction FROM te{len(T) + 1} JOIN ({ends}) USING (node))"])
+
+
 H = "CASE WHEN {k} = 0 OR {k} = {n} THEN 0.0 ELSE -({k} / {n}) * log2({k} / {n}) - (({n} - {k}) / {n}) * log2(({n} - {k}) / {n}) END"
 NODES = "nodes AS (SELECT r_regionkey + 1000 AS id FROM region UNION ALL SELECT n_nationkey + 2000 FROM nation)"
 E = "e AS (SELECT (n_regionkey + 1000)::BIGINT AS u, (n_nationkey + 2000)::BIGINT AS v FROM nation UNION ALL SELECT (r_regionkey + 1000)::BIGINT, ((r_regionkey + 1) % 5 + 1000)::BIGINT FROM region)"
@@ -123,11 +186,12 @@ FIRST = "f AS (SELECT node, min(path) AS path, level FROM (SELECT *, min(level)
 STEPS = "o AS (SELECT row_number() OVER (ORDER BY {keys}) AS step, node, array_to_string(path, '-') AS path FROM {source}) SELECT * FROM o WHERE step <= coalesce((SELECT min(step) FROM o WHERE node = {target}), 1000000000)"
 WIN = "PARTITION BY user_id ORDER BY ts, event_id"
 
+KINDS = {"id": "bigint", "full_name": "string", "age": "double", "click": "int"}
+
 ORACLES = {
     "scan_project_drop": f"WITH {CV} SELECT age, {', '.join(CATEGORICAL)}, click FROM cv",
     "csv_roundtrip": f"WITH {CV} SELECT count(*) AS n_rows, count(age) AS n_age, sum(age) AS sum_age, count(gender) AS n_gender, count(time_of_day) AS n_time, sum(click)::BIGINT AS n_click FROM cv",
-    "raw_text_records": "SELECT row_number() OVER (ORDER BY event_id) - 23 AS i, event_id, user_id, event_type FROM events WHERE event_id < 500 QUALIFY i >= 0",
-    "raw_text_records_all": "SELECT row_number() OVER (ORDER BY event_id) - 23 AS i, event_id, user_id, event_type FROM events QUALIFY i >= 0",
+    "raw_text_records": "SELECT row_number() OVER (ORDER BY event_id) - 23 AS i, event_id, user_id, event_type FROM events QUALIFY i >= 0",
     "feature_label_split": f"WITH {CV} SELECT age, {', '.join(CATEGORICAL)}, click AS label FROM cv",
     "equality_filter": f"WITH {CV} SELECT id, age, gender FROM cv WHERE gender = 'Male'",
     "label_recode": f"WITH {CV} SELECT id, CASE WHEN click = 0 THEN -1 ELSE 1 END AS recoded, CASE WHEN click = 0 THEN 0 ELSE 1 END AS back FROM cv",
@@ -173,6 +237,7 @@ ORACLES = {
     "tree_best_split": f"WITH {GINI}, {BEST} SELECT col AS \"column\", {rnd('score', 9)} AS score FROM best",
     "tree_depth1_leaves": f"WITH {GINI}, {BEST} SELECT value, CASE WHEN 2 * k > n THEN 1 ELSE 0 END AS prediction, n, k::BIGINT AS n_pos FROM vc JOIN best USING (col)",
     "tree_depth2_predict": f"WITH {DEPTH2} SELECT click, prediction, count(*) AS n FROM pr GROUP BY ALL",
+    "tree_deep_eval": confusion(deep_tree(), "pr", "click", "prediction", True),
     "tree_eval": confusion(DEPTH2, "pr", "click", "prediction", False),
     "graph_adjacency": f"WITH {E}, {ADJ} SELECT a AS node, b AS neighbor FROM adj",
     "graph_export": f"WITH {E} SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e",
@@ -187,6 +252,20 @@ ORACLES = {
     "strategy_document": "SELECT 'STRAT-001' AS strategy_id, indicator, parameter, value::DOUBLE AS value FROM (VALUES ('SMA', 'shortWindow', 20), ('SMA', 'longWindow', 50), ('RSI', 'period', 14), ('RSI', 'overbought', 70), ('RSI', 'oversold', 30)) t(indicator, parameter, value)",
     "sma_window": f"SELECT event_id, CASE WHEN row_number() OVER ({WIN}) >= 20 THEN {rnd(f'avg(value) OVER ({WIN} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS sma FROM events",
     "rsi_window": f"WITH c AS (SELECT *, value - lag(value) OVER ({WIN}) AS d, row_number() OVER ({WIN}) AS nr FROM events), s AS (SELECT event_id, nr, sum(greatest(d, 0.0)) OVER ({WIN} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS g, sum(greatest(-d, 0.0)) OVER ({WIN} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS l FROM c) SELECT event_id, CASE WHEN nr > 14 THEN {rnd('CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END')} END AS rsi FROM s",
-    "knn_topk": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) SELECT query_id, neighbor_id, rank, {rnd('dist')} AS distance FROM k WHERE rank <= 5",
-    "knn_topk_all": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) SELECT query_id, neighbor_id, rank, {rnd('dist')} AS distance FROM k WHERE rank <= 5",
+    "knn_topk": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) SELECT query_id, neighbor_id, rank, {rnd('dist')} AS distance FROM k WHERE rank <= 5",
+    "column_types": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{KINDS.get(c, 'string')}')" for i, c in enumerate(CLICK_COLUMNS)) + ') t(position, "column", "type")',
+    "drop_by_position": f"WITH {CV} SELECT * EXCLUDE (full_name) FROM cv",
+    "split_seeded": f"WITH {CV}, h AS (SELECT id, ((id + 5) % 4294967296) * 2654435761 % 4294967296 AS h FROM cv) SELECT id, row_number() OVER (ORDER BY h, id) <= ceil(0.2 * (SELECT count(*) FROM cv)) AS is_test FROM h",
+    "seeded_weights": "SELECT i::BIGINT AS i, w::DOUBLE AS w FROM (VALUES (0, 0.511821625), (1, 0.950463696), (2, 0.144159613)) t(i, w)",
+    "expand_weights": "SELECT ((b - 2) * 3 + p - 1)::BIGINT AS i, pow(b, p)::DOUBLE AS w FROM range(2, 4) x(b), range(1, 4) y(p)",
+    "project_grid_runs": project_grid(),
+    "grid_full_log": full_grid(),
+    "best_run_json": f"{grid()} SELECT run, accuracy FROM log ORDER BY accuracy DESC, run LIMIT 1",
+    "compare_models": f"{grid()} (SELECT 'all' AS model, run, accuracy FROM log ORDER BY accuracy DESC, run LIMIT 1) UNION ALL (SELECT 'short', run, accuracy FROM log WHERE epochs = 1 ORDER BY accuracy DESC, run LIMIT 1)",
+    "model_export": fit("MSE", False, "y"),
+    "report_rows": f"WITH {CV} SELECT '{{\"n_rows\":' || count(*) || ',\"n_columns\":9' || " + " || ".join(f"',\"n_{c}\":' || count({c})" for c in CLICK_COLUMNS) + " || '}' AS report FROM cv",
+    "probability_rules": f"WITH {CV} SELECT {rnd("avg(CASE WHEN click = 1 OR gender = 'Male' THEN 1.0 ELSE 0.0 END)")} AS either, {rnd("avg(CASE WHEN click = 1 AND gender = 'Male' THEN 1.0 ELSE 0.0 END)")} AS both FROM cv",
+    "search_driver": walks(E, 1000, 6, True) + f", {FIRST}, " + STEPS.format(keys="level, path", source="f", target=2012).replace("SELECT * FROM o", "SELECT 1::BIGINT AS notified, 2::BIGINT AS refused, count(*) AS n_steps FROM o"),
+    "graph_add_nodes": "WITH o AS (SELECT r_regionkey + 1000 AS node_id, r_name AS data FROM region UNION ALL SELECT n_nationkey + 2000, n_name FROM nation), n AS (SELECT 1003 + row_number() OVER (ORDER BY n_name) AS node_id, n_name AS data FROM nation) SELECT node_id::BIGINT AS node_id, data FROM o WHERE node_id NOT IN (SELECT node_id FROM n) UNION ALL SELECT * FROM n",
+    "tree_links": "SELECT (n_regionkey + 1000)::BIGINT AS parent_id, count(*) AS n_children, string_agg((n_nationkey + 2000)::VARCHAR, '-' ORDER BY n_nationkey % 2 DESC, n_nationkey DESC) AS children FROM nation WHERE n_nationkey <> 12 GROUP BY 1",
 }

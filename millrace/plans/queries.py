@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import algebra, losses
-from ..operators import evaluate, extras, graph, linear, prep, profile, split, tree
+from ..operators import evaluate, extras, graph, linear, links, prep, profile, split, tree
 from ..sources import tables
 from ..sources.tables import CATEGORICAL, click_view, table
 from . import views
@@ -19,6 +19,17 @@ X, RATE, START, BIAS, EPOCHS = ["x1", "x2"], 2.0**-14, (0.5, -0.25), 0.0, 3
 GRID = {"rate": [2.0**-14, 2.0**-12], "epochs": [1, 3], "loss": ["MAE", "MSE"]}
 #: The recorded grid of the ad-click runs.
 RECORDED_GRID = {"epochs": [4, 5, 6, 7, 8, 9, 10], "learningRate": [0.0005, 0.001, 0.005, 0.008, 0.01, 0.05, 0.1], "loss": ["MSE", "MAE"]}
+#: A grid over every dimension that a run has.
+FULL_GRID = {"bias": [0.125, 0.5], "degree": [1, 2], "epochs": [1, 2], "loss": ["MAE", "MSE"], "rate": [2.0**-14], "seed": [1, 2]}
+#: The project models' grid (for 19 and for 26 weights).
+PROJECT_GRID = {
+    "bias": [0.5, 1.0, 2.0, 5.0],
+    "degree": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11],
+    "epochs": [10, 25, 50, 200, 300, 500],
+    "loss": ["MSE", "MAE"],
+    "rate": [0.008, 0.01, 0.012, 0.015, 0.02, 0.03, 0.05, 0.07, 0.12, 0.15],
+    "seed": [1, 2, 27],
+}
 #: The strategy document.
 STRATEGY = {
     "strategyId": "STRAT-001",
@@ -74,7 +85,7 @@ def csv_roundtrip(spark, sf):
     return tables.load("csv", spark, path).agg(F.count("*").alias("n_rows"), F.count("age").alias("n_age"), F.sum("age").alias("sum_age"), F.count("gender").alias("n_gender"), F.count("time_of_day").alias("n_time"), F.sum("click").alias("n_click"))
 
 
-def raw_text_records_all(spark, sf):
+def raw_text_records(spark, sf):
     path = tables.scratch_path(spark, "records")
     e = table(spark, sf, "events").orderBy("event_id").select(F.concat_ws("  ", F.lit(" "), F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")))
     e.write.text(path)
@@ -82,11 +93,6 @@ def raw_text_records_all(spark, sf):
     return rec.select("i", F.get("fields", F.lit(0)).cast("long").alias("event_id"), F.get("fields", F.lit(1)).cast("long").alias("user_id"), F.get("fields", F.lit(2)).alias("event_type"))
 
 
-def raw_text_records(spark, sf):
-    """The rows that the query's SQL names, out of the whole table's records."""
-    return raw_text_records_all(spark, sf).where("event_id < 500")
-
-
 def row_pair_stitch(spark, sf):
     e = table(spark, sf, "events")
     return tables.stitch_pairs(e, "event_id", {"first_value": "value", "first_user": "user_id"}, {"second_user": "user_id", "target": "value"})
@@ -265,26 +271,67 @@ def rsi_window(spark, sf):
     return extras.relative_strength(table(spark, sf, "events").select("event_id", "user_id", "ts", "value"), "value", ["user_id"], ["ts", "event_id"], 14).select("event_id", r("rsi").alias("rsi"))
 
 
-def neighbours(spark, sf, which: str):
+def knn_topk(spark, sf):
+    """Every row whose id is divisible by 20 against all rows."""
     e = table(spark, sf, "embeddings")
-    return rounded(extras.nearest(e, e.where(which), 5).select("query_id", "neighbor_id", F.col("rank").cast("long").alias("rank"), "distance"))
+    return rounded(extras.nearest(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "neighbor_id", F.col("rank").cast("long").alias("rank"), "distance"))
 
 
-def knn_topk(spark, sf):
-    """The ten queries that the query's SQL names."""
-    return neighbours(spark, sf, "vec_id < 10")
+def grid_full_log(spark, sf):
+    """Runs over every dimension: start weights by seed, expanded by degree, and start biases."""
+    d, runs = learning(spark, sf), split.grid_runs(FULL_GRID)
+    models = linear.grid_fit(d.where("l_orderkey % 2 = 0"), X, "y01", runs)
+    return evaluate.run_log(d.where("l_orderkey % 2 = 1"), X, "y01", models).join(F.broadcast(split.grid_frame(spark, FULL_GRID)), "run")
 
 
-def knn_topk_all(spark, sf):
-    """Every row whose id is divisible by 20 against all rows."""
-    return neighbours(spark, sf, "vec_id % 20 = 0")
+def best_run_json(spark, sf):
+    text = evaluate.report(grid_log(spark, sf))
+    return spark.createDataFrame([(text,)], "report string").select(F.from_json("report", "run long, accuracy double").alias("r")).select("r.*")
+
+
+def compare_models(spark, sf):
+    log = grid_log(spark, sf)
+    return evaluate.compare_models(spark, {"all": log, "short": log.where("epochs = 1")}).select("model", "run", "accuracy")
+
+
+def model_export(spark, sf):
+    """Fitted epochs, saved and read again."""
+    path = tables.scratch_path(spark, "model")
+    tables.save_model(QUERIES["linreg_mse_gd"](spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def search_driver(spark, sf):
+    """What an evaluator sees that is notified after the search; unknown starts and missing criteria are refused before it."""
+    nodes, edges = graph_of(spark, sf)
+    seen, refused = [], 0
+    for wrong in (graph.SearchContext(1000), graph.SearchContext(-1, max_depth=1)):
+        try:
+            graph.bfs(nodes, edges, wrong)
+        except KeyError:
+            refused += 1
+    graph.bfs(nodes, edges, graph.SearchContext(1000, target=F.col("node_id") == 2012), 6, evaluator=seen.append)
+    return seen[0].agg(F.lit(len(seen)).cast("long").alias("notified"), F.lit(refused).cast("long").alias("refused"), F.count("*").alias("n_steps"))
+
+
+def graph_add_nodes(spark, sf):
+    nodes, _ = graph_of(spark, sf)
+    return graph.add_nodes(nodes, table(spark, sf, "nation").select(F.col("n_name").alias("data")), last_id=1003)
+
+
+def tree_links(spark, sf):
+    """Nations below regions, added in two steps, one removed."""
+    nation = table(spark, sf, "nation").select((F.col("n_nationkey") + 2000).cast("long").alias("node_id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), (-F.col("n_nationkey")).cast("long").alias("position"))
+    none = spark.createDataFrame([], "node_id long, parent_id long, position long")
+    first = links.add_children(none, nation.where("node_id % 2 = 1"))
+    both = links.add_children(first, nation.where("node_id % 2 = 0"))
+    return links.children(links.remove_children(both, nation.where("node_id = 2012")))
 
 
 QUERIES = {
     "scan_project_drop": lambda s, d: prep.drop_columns(click_view(s, d), views.IDS),
     "csv_roundtrip": csv_roundtrip,
     "raw_text_records": raw_text_records,
-    "raw_text_records_all": raw_text_records_all,
     "feature_label_split": lambda s, d: views.features_and_label(prep.drop_columns(click_view(s, d), views.IDS)),
     "equality_filter": lambda s, d: click_view(s, d).where(F.col("gender") == "Male").select("id", "age", "gender"),
     "label_recode": lambda s, d: click_view(s, d).select("id", prep.recode_labels("click").alias("recoded")).withColumn("back", prep.recode_back("recoded")),
@@ -346,5 +393,19 @@ QUERIES = {
     "sma_window": sma_window,
     "rsi_window": rsi_window,
     "knn_topk": knn_topk,
-    "knn_topk_all": knn_topk_all,
+    "column_types": lambda s, d: profile.column_types(click_view(s, d)),
+    "drop_by_position": lambda s, d: prep.drop_position(click_view(s, d), 1),
+    "split_seeded": lambda s, d: split.train_test(click_view(s, d).select("id"), "id", salt=5),
+    "seeded_weights": lambda s, d: rounded(s.createDataFrame(list(enumerate(split.seeded_weights(3, 1))), "i long, w double"), 9),
+    "expand_weights": lambda s, d: s.createDataFrame(list(enumerate(algebra.expand_weights([2.0, 3.0], 3))), "i long, w double"),
+    "project_grid_runs": lambda s, d: split.grid_frame(s, PROJECT_GRID),
+    "grid_full_log": lambda s, d: rounded(grid_full_log(s, d)),
+    "best_run_json": lambda s, d: rounded(best_run_json(s, d)),
+    "compare_models": lambda s, d: rounded(compare_models(s, d)),
+    "model_export": model_export,
+    "report_rows": lambda s, d: tables.report(profile.shape_and_missing(click_view(s, d))),
+    "probability_rules": lambda s, d: click_view(s, d).agg(r(extras.sum_rule(F.col("click") == 1, F.col("gender") == "Male")).alias("either"), r(extras.product_rule(F.col("click") == 1, F.col("gender") == "Male")).alias("both")),
+    "search_driver": search_driver,
+    "graph_add_nodes": graph_add_nodes,
+    "tree_links": tree_links,
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import algebra, losses
-from millrace.operators import evaluate, extras, graph, linear, prep, profile, split, tree
+from millrace.operators import evaluate, extras, graph, linear, links, prep, profile, split, tree
 from millrace.plans import views
 from millrace.sources import tables
 from millrace.streaming import scoring
@@ -112,6 +112,124 @@ def test_chain_graph_and_depth_first(spark):
     assert [r[1] for r in rows(graph.dfs(nodes.where("node_id < 6"), small, graph.SearchContext(1, max_depth=9)).select("step", "node"), "step")] == [1, 2, 4, 3, 5]
 
 
+def plain_tree(rows, depth):
+    """(tuple -> prediction) by the split rule on plain lists, without stopping early: a node's rows, and the same rule down to a depth."""
+
+    def grow(rows, d):
+        labels = [y for _, y in rows]
+        node = {"prediction": int(2 * sum(labels) > len(labels)), "children": {}}
+        if d == 0 or len(set(labels)) == 1:
+            return node
+        best = None
+        for c in range(len(rows[0][0])):
+            there = [(x[c], y) for x, y in rows if x[c] is not None]
+            if there:
+                score = 1 - sum((sum(y for x, y in there if x == v) / len(there)) ** 2 for v in {x for x, _ in there})
+                if best is None or abs(score - 0.5) > best[0] + 1e-12:
+                    best = (abs(score - 0.5), c)
+        if best:
+            node["column"] = best[1]
+            for v in {x[best[1]] for x, _ in rows} - {None}:
+                node["children"][v] = grow([r for r in rows if r[0][best[1]] == v], d - 1)
+        return node
+
+    root = grow(rows, depth)
+
+    def predict(x):
+        at = root
+        while at["children"] and x[at["column"]] in at["children"]:
+            at = at["children"][x[at["column"]]]
+        return at["prediction"]
+
+    return predict
+
+
+def test_deep_trees_predict_like_plain_ones(spark):
+    """Growth stops where a node would repeat itself; predictions are those of a tree that goes on to the full depth."""
+    import random
+
+    rng = random.Random(3)
+    pick = lambda values: rng.choice(values)
+    rows = [((pick("ab"), pick("abc"), pick(["a", "b", None]), "same"), int(rng.random() < 0.4)) for _ in range(400)]
+    rows = [(x, y if x[0] != "b" else int(x[1] == "c")) for x, y in rows]
+    d = spark.createDataFrame([(*x, y) for x, y in rows], "p string, q string, r string, s string, y int")
+    t = tree.grow(d, ["p", "q", "r", "s"], "y", max_depth=15)
+    want = plain_tree(rows, 15)
+    new = sorted({(p, q, r, s) for p in "abz" for q in "abcz" for r in ("a", "b", "z", None) for s in ("same", "z")}, key=str)
+    got = tree.predict(spark.createDataFrame([(*x,) for x in new], "p string, q string, r string, s string"), t).collect()
+    assert {(r["p"], r["q"], r["r"], r["s"]): r["prediction"] for r in got} == {x: want(x) for x in new}
+    assert max(x["depth"] for x in t.nodes) <= 4
+
+
+def test_split_function_of_the_callers(spark):
+    d = spark.createDataFrame([("r", "x", 0), ("r", "y", 1), ("b", "x", 0), ("b", "y", 1)], "color string, kind string, y int")
+    last = lambda counts, keys: counts.groupBy(*keys, "position", "column").agg(F.max("position").cast("double").alias("score"))
+    assert tree.best_split(tree.split_scores(d, ["color", "kind"], "y", last), last).first()["column"] == "kind"
+    assert tree.grow(d, ["color", "kind"], "y", 2, last).nodes[0]["split"] == "kind"
+    assert tree.grow(d, ["color", "kind"], "y", 2, "entropy").nodes[0]["split"] == "kind"
+
+
+def test_searches_of_many_levels(spark):
+    nodes = spark.createDataFrame([(i, "") for i in range(25)], "node_id long, data string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)], "u long, v long")
+    found = graph.bfs(nodes, edges, graph.SearchContext(0, target=F.col("node_id") == 22))
+    assert [r[1] for r in rows(found.select("step", "node"), "step")] == list(range(23))
+
+
+def test_nodes_get_running_ids(spark):
+    nodes = spark.createDataFrame([(1, "old"), (7, "kept")], "node_id long, data string")
+    new = spark.createDataFrame([(f"n{i:03d}",) for i in range(50)], "data string").repartition(5)
+    assert rows(graph.add_nodes(nodes.limit(0), new), "node_id") == [(i + 1, f"n{i:03d}") for i in range(50)]
+    assert (7, "n006") in rows(graph.add_nodes(nodes, new), "node_id") and graph.add_nodes(nodes, new.limit(0)).count() == 2
+    assert {r[0] for r in graph.add_nodes(nodes, new, 100).collect()} == {1, 7, *range(101, 151)}
+
+
+def test_tree_links(spark):
+    kind = "node_id long, parent_id long, position long"
+    one = links.add_children(spark.createDataFrame([], kind), spark.createDataFrame([(2, 1, 1), (3, 1, 2)], kind))
+    assert rows(links.children(one), "parent_id") == [(1, 2, "2-3")]
+    two = links.add_children(one, spark.createDataFrame([(5, 1, 2), (4, 1, 1), (3, 2, 1)], kind))
+    assert rows(links.children(two), "parent_id") == [(1, 3, "2-4-5"), (2, 1, "3")]
+    less = links.remove_children(two, spark.createDataFrame([(2,), (9,)], "node_id long"))
+    assert rows(links.children(less), "parent_id") == [(1, 2, "4-5"), (2, 1, "3")]
+    assert less.where("node_id = 2").first()["parent_id"] is None
+
+
+def test_quartiles_of_unique_values(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=3000) * 10.0 ** np.random.default_rng(5).integers(-3, 6, 3000)
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "x double")
+    r = profile.describe(d).first()
+    assert (r["n"], r["q25"], r["q50"], r["q75"]) == (3000, *(pytest.approx(np.quantile(x, q)) for q in (0.25, 0.5, 0.75)))
+    assert profile.describe(d.where("x is null")).first()["q50"] is None
+    assert profile.at_ranks(d, "x", [0, 1499, 2999], float(x.min()), float(x.max()), bins=7) == {k: sorted(x)[k] for k in (0, 1499, 2999)}
+
+
+def test_grid_over_all_dimensions_equals_plain_steps(spark):
+    """Seeds, degrees, biases and an expander of the caller's: start, expansion and steps on arrays."""
+    import numpy as np
+
+    data = [(float(i % 7), float(i % 5 - 2), float(i % 2)) for i in range(200)]
+    d = spark.createDataFrame(data, "x1 double, x2 double, y double")
+    x, y = np.array([r[:2] for r in data]), np.array([r[2] for r in data])
+    runs = split.grid_runs({"bias": [0.5], "degree": [1, 3], "epochs": [0, 2], "loss": ["MAE", "MSE"], "rate": [2.0**-14], "seed": [1, 2]})
+    models, timing = linear.timed_grid_fit(d, ["x1", "x2"], "y", runs)
+    assert timing.elapsed > 0 and timing.per_model == timing.elapsed / len(runs)
+    for r in runs:
+        z = np.stack([x[:, j] ** p for j in range(2) for p in range(1, r["degree"] + 1)], axis=1)
+        w = (1 - r["rate"]) * np.array([v**p for v in np.random.default_rng(r["seed"]).random(2) for p in range(1, r["degree"] + 1)])
+        b = (1 - r["rate"]) * r["bias"]
+        for _ in range(r["epochs"]):
+            e = np.sign(z @ w + b) - y
+            g = np.sign(e) if r["loss"] == "MAE" else 2 / len(y) * e
+            w, b = w - r["rate"] * z.T @ g, b - r["rate"] * g.sum()
+        assert (*models[r["run"]].weights, models[r["run"]].bias) == pytest.approx((*w, b))
+    product = lambda features, degree: [F.col(c) for c in features] + [F.col(features[0]) * F.col(features[1])] * (degree > 1)
+    m = linear.Model((1.0, 2.0, 3.0), 0.5, degree=2, expander=product)
+    assert spark.createDataFrame([(2.0, 3.0)], "x1 double, x2 double").select(m.predict(["x1", "x2"])).first()[0] == 26.5
+
+
 def test_one_hot_and_edges(spark):
     d = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("c-1", 4)], "k string, v int")
     got = prep.one_hot(d, ["k"])
