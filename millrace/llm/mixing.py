@@ -4,17 +4,16 @@ A text is spelled as its tokens: each word in UTF-8 with a space after it, and a
 each byte before (all 256 bytes have a code in each), so that most bytes take few bits. `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the
 word before and this word so far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep
 the bit lies), and the result is refined by adaptive tables of (byte before, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
-with its own occurrence taken out of the counts, and before it is learned from. Each chunk of documents is a run of its own (its first blocks are passed once before, to warm up); for held-out
-documents the runs' weights are averaged by what their gates have seen, and their tables add up.
+with its own occurrence taken out of the counts, and before it is learned from. Each chunk of documents is a run of its own; its first blocks are passed before, to warm up.
 
 The bits of a token give its probability from the bytes. A memory of all pairs of words that follow each other in training text predicts it too: with the share of
 the word before that this word follows. A gate (how often the word before was seen) weighs the two, learned with the rest. So a text that occurs again is told from one that
 doesn't, whatever the size of the corpus. A training document's score is what the run of its chunk has paid for it, always without its own occurrences; a held-out one is scored
-by the mixer of all runs.
+by what the run has learned in the end.
 
 Data flow: documents are read once and written as chunks (files of words, token numbers and documents in the shared folder). A chunk sends each of its different words and
 pairs once, with counts, to the owner of the hash slice, and gets the totals back; a word, however common, is one entry per chunk. Number of slices, bits of
-pair keys, size of tables grow with the corpus (tables up to `MAX_SLOT_BITS`). Sent to all: tables (18 bytes x ALL x slots at most 20 bits), weights.
+pair keys, size of tables grow with the corpus (tables up to `MAX_SLOT_BITS`). Sent to all: tables (3 bytes x ALL x 2^MAX_SLOT_BITS at most) and codes (some MB at most).
 
 Defined cases: a null text is empty and has its end token alone; a null doc_id is learned from and not held out; rows that repeat are learned and scored as often as they
 come; words may be of any length, a document is held as a whole; ties don't arise; without training text counts are zero and all bits are even odds; an empty table gives
@@ -42,9 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import binary, materialize, mix64, new_path, small_batches
 
-ORDERS = (2, 3, 5)
+ORDERS = (3, 5)
 ALL = len(ORDERS) + 1
-MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 20
+MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 19
 #: A chunk ends after so many tokens or bytes, at the end of a document.
 CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
 #: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
@@ -395,8 +394,8 @@ class Block:
 
 def blocks(c: Chunk, size: int, held: bool | None) -> Iterator[Block]:
     """The chunk's documents of a kind (None: both), in blocks of at least `size` bytes (the last may have fewer)."""
-    data, starts = spelled(c.words)
-    widths = np.diff(starts)
+    parts = [w if w == END else w + STOP for w in c.words]
+    widths = np.fromiter(map(len, parts), np.int64, len(parts))
     hashes = np.append((c.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(NO_WORD >> np.uint64(32)))
     before, doc_token = c.before, c.starts()
     lengths = np.add.reduceat(widths[c.tokens], doc_token[:-1]) if len(c.tokens) else np.empty(0, np.int64)
@@ -414,8 +413,8 @@ def blocks(c: Chunk, size: int, held: bool | None) -> Iterator[Block]:
         tokens = c.tokens[at]
         w = widths[tokens]
         token_starts = np.cumsum(w) - w
-        spell = np.repeat(starts[tokens] - token_starts, w) + np.arange(w.sum())
-        yield Block(docs, at, data[spell], token_starts, token_starts[first], first, hashes[before[at]])
+        data = np.frombuffer(b"".join([parts[t] for t in tokens.tolist()]), np.uint8)
+        yield Block(docs, at, data, token_starts, token_starts[first], first, hashes[before[at]])
 
 
 # Predictors
@@ -572,11 +571,10 @@ class Adagrad:
     """Steps of the weights along the errors, smaller where much has been learned."""
 
     def __init__(self) -> None:
-        self.squares, self.mass = np.full((ALL, GATES), 1e-6), np.zeros(GATES)
+        self.squares = np.full((ALL, GATES), 1e-6)
 
     def step(self, mixer: Mixer, x: np.ndarray, gate: np.ndarray, error: np.ndarray) -> None:
         seen = np.bincount(gate, minlength=GATES)
-        self.mass += seen
         for o, row in enumerate(x):
             mean = np.bincount(gate, row * error, GATES) / np.maximum(seen, 1)
             self.squares[o] += mean * mean
@@ -633,79 +631,27 @@ def chunks_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Ch
         yield c, *known_counts(c, rows, bits)
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long"
-
-
-def scored(c: Chunk, held: bool, bits: np.ndarray, words: np.ndarray, n: int, distinct: int) -> pa.Table:
-    """Rows (SCORES) of the chunk's documents of a kind, from the bits of all."""
-    starts, some = c.starts()[:-1], np.flatnonzero(c.held == held)
-    base = np.add.reduceat(np.log10((words + 1) / (n + 1 * (distinct + 1)))[c.tokens], starts)[some]
-    known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)[some]
-    columns = [c.doc_ids.take(pa.array(some)), pa.array(c.held[some]), pa.array(c.n_tokens[some]), pa.array(known), pa.array(base), pa.array(bits[some]), pa.array(c.n_bytes[some])]
-    return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
-
-
-def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictors, train_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The run of a chunk: bits of its training documents (others 0), and what it has learned: weights x mass, mass, refinements, trust."""
+def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictors, train_docs: int) -> np.ndarray:
+    """The run of a chunk: the bits of each of its documents, training ones as they come, held-out ones in the end."""
     mixer, steps, bits = Mixer(), Adagrad(), np.zeros(len(c.n_tokens))
 
-    def learn(b: Block) -> np.ndarray:
-        cost = predictors.token_bits(b, mixer, True, mixer.refined(), steps)
-        bucket, share = memory_share(c, words, pairs, b, train_docs, True)
+    def paid(b: Block, training: bool) -> np.ndarray:
+        cost = predictors.token_bits(b, mixer, training, mixer.refined(), steps if training else None)
+        bucket, share = memory_share(c, words, pairs, b, train_docs, training)
         trust = mixer.memory()[bucket]
         total = joined_bits(cost, share, trust)
-        with np.errstate(divide="ignore"):
-            won = np.exp2(np.log2(trust) + np.log2(share) + total)
-        mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
+        if training:
+            with np.errstate(divide="ignore"):
+                won = np.exp2(np.log2(trust) + np.log2(share) + total)
+            mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
         return total
 
     for b in islice(blocks(c, BLOCK, False), WARM_BLOCKS):
-        learn(b)
-    before = mixer.fix.copy(), mixer.trust.copy()
-    for b in blocks(c, BLOCK, False):
-        bits[b.docs] = np.add.reduceat(learn(b), b.first_tokens)
-    return bits, np.concatenate([(mixer.weights * steps.mass).ravel(), steps.mass, (mixer.fix - before[0]).ravel(), (mixer.trust - before[1]).ravel()])
-
-
-def learned(files: DataFrame, counts: DataFrame, predictors, bits: int, train_docs: int, n: int, distinct: int) -> DataFrame:
-    """The rows (SCORES) of training documents, and a row per task with what its runs have learned (`sums`)."""
-    names = [x.split() for x in SCORES.split(", ")]
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-    schema = pa.schema([*((name, kinds[k]) for name, k in names), ("sums", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, own = None, Predictors.of(predictors.value)
-        for c, words, pairs in chunks_of(batches, bits):
-            paid, sums = online(c, words, pairs, own, train_docs)
-            total = sums if total is None else total + sums
-            rows = scored(c, False, paid, words, n, distinct)
-            yield from rows.append_column("sums", pa.nulls(rows.num_rows, pa.binary())).cast(schema).to_batches(20_000)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(i).type) for i in range(len(names))), pa.array([total.tobytes()], pa.binary())], schema=schema)
-
-    return materialize(fed(files, counts).mapInArrow(run, f"{SCORES}, sums binary"), "learned")
-
-
-def averaged(rows: DataFrame) -> Mixer:
-    """The mixer of all runs."""
-    schema = pa.schema([("sums", pa.binary())])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
-
-    parts = rows.where("sums is not null").select("sums").repartition(16).mapInArrow(add, "sums binary").collect()  # 16 rows of some 100 KB
-    mixer = Mixer()
-    if parts:
-        total = sum(np.frombuffer(r["sums"]) for r in parts)
-        w, mass, fix, trust = np.split(total, np.cumsum([ALL * GATES, GATES, 256 * BUCKETS * 2]))
-        mixer.weights = np.where(mass > 0, w.reshape(ALL, GATES) / np.maximum(mass, 1), mixer.weights).astype(np.float32)
-        mixer.fix, mixer.trust = fix.reshape(256, BUCKETS, 2), trust.reshape(SEEN, 2)
-    return mixer
+        paid(b, True)
+    for held in (False, True):
+        for b in blocks(c, BLOCK, held):
+            bits[b.docs] = np.add.reduceat(paid(b, not held), b.first_tokens)
+    return bits
 
 
 def byte_histogram(files: DataFrame) -> np.ndarray:
@@ -724,18 +670,17 @@ def byte_histogram(files: DataFrame) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs besides the files: sizes of the training text, predictors, mixer."""
+    """What runs need besides the chunks: sizes of the training text, and the predictors."""
 
     n: int
     distinct: int
     train_docs: int
     key_bits: int
     predictors: Predictors
-    mixer: Mixer
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
-    """The model of docs (doc_id, text, held_out), the rows of training documents, the chunks' files and their totals."""
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of docs (doc_id, text, held_out), the chunks' files and their totals."""
     files = chunked(docs)
     r = files.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(x or 0) for x in r)
@@ -745,32 +690,26 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     counts = totals(files, slices, bits)
     distinct = counts.agg(F.sum("distinct")).first()[0] or 0
     code = Code.of(histogram, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(histogram.sum()).bit_length() - 2)))
-    predictors = Predictors(code, *logits(count_tables(files, code)))
-    shared = docs.sparkSession.sparkContext.broadcast(predictors.parts())  # 3 x ALL x 2^MAX_SLOT_BITS bytes at most
-    rows = learned(files, counts, shared, bits, train_docs, n, distinct)
-    return Model(n, distinct, train_docs, bits, predictors, averaged(rows)), rows, files, counts
+    return Model(n, distinct, train_docs, bits, Predictors(code, *logits(count_tables(files, code)))), files, counts
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for docs (doc_id, text, held_out)."""
-    model, rows, files, counts = fit(docs)
-    m = model.mixer
-    shared = docs.sparkSession.sparkContext.broadcast((model.n, model.distinct, model.train_docs, model.key_bits, model.predictors.parts(), m.weights, m.fix, m.trust))
+    model, files, counts = fit(docs)
+    n, distinct, train_docs, key_bits = model.n, model.distinct, model.train_docs, model.key_bits
+    shared = docs.sparkSession.sparkContext.broadcast(model.predictors.parts())  # 3 x ALL x 2^MAX_SLOT_BITS bytes at most, and the codes
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *sizes, predictors, weights, fix, trust = shared.value
-        m = Model(*sizes, Predictors.of(predictors), Mixer(weights, fix, trust))
-        fixed, memory = m.mixer.refined(), m.mixer.memory()
-        for c, words, pairs in chunks_of(batches, m.key_bits):
-            bits = np.zeros(len(c.n_tokens))
-            for b in blocks(c, BLOCK, True):
-                bucket, share = memory_share(c, words, pairs, b, m.train_docs, False)
-                bits[b.docs] = np.add.reduceat(joined_bits(m.predictors.token_bits(b, m.mixer, False, fixed), share, memory[bucket]), b.first_tokens)
-            yield from scored(c, True, bits, words, m.n, m.distinct).to_batches(20_000)
-
-    both = rows.where("sums is null").drop("sums").unionByName(fed(files, counts).mapInArrow(run, SCORES))
-    out = both.withColumn("train_tokens", F.lit(model.n).cast("long")).withColumn("score", F.col("bits") * -math.log10(2)).withColumn("bits_per_byte", F.col("bits") / F.greatest("n_bytes", F.lit(1)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+        own = Predictors.of(shared.value)
+        for c, words, pairs in chunks_of(batches, key_bits):
+            bits, starts = online(c, words, pairs, own, train_docs), c.starts()[:-1]
+            base = np.add.reduceat(np.log10((words + 1) / (n + 1 * (distinct + 1)))[c.tokens], starts)
+            known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)
+            columns = [c.doc_ids, c.held, c.n_tokens, known, np.full(len(bits), n), base, -bits * math.log10(2), bits / np.maximum(c.n_bytes, 1)]
+            yield from pa.table([pa.array(x) for x in columns], schema=schema).to_batches(20_000)
+
+    return fed(files, counts).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
