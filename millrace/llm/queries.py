@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dups": vectors.op8_embedding_near_dups,
     "op9_lm_scores": mixing.op9_lm_scores,
     "op10_warc": warc.op10_warc,
+    "embedding_recall": vectors.embedding_recall,
 }
 
 #: Five hex digits are four base-32 digits.

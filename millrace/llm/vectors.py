@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 1. Vectors that are equal bit by bit become one node with a multiplicity.
-2. Nodes of a label are dealt to the shards of their nearest centroids (`OVERLAP` of them; the nearest is home). Centroids are fitted on a bounded
-   sample; a shard that comes out too large is divided again.
+2. Nodes of a label are dealt to the shards of their nearest centroids (`OVERLAP` of them; the nearest is home). A group of more than `HELD` components is divided by
+   centroids that are fitted on a bounded sample and sent to all, as often as it takes; one that a task can hold is divided there, down to about `SHARD` nodes. So the size of shards is
+   bounded, their number is not.
 3. A shard's graph is built on overlapping clusters of it: each node keeps out-neighbours that are not shadowed by a closer one (robust pruning), with reverse
    edges, and the clusters' adjacency lists are united.
 4. From the clusters' medoids a greedy beam search runs for each node at home; once it meets the range it expands through all neighbours within a little more than the
@@ -32,9 +33,11 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions_for, small_batches
 from .components import components
 
-SHARD, OVERLAP, LEVELS = 600, 3, 4
-#: Centroids in all, and sampled vectors for each, that the driver fits at a level.
-CENTROIDS, SAMPLED = 4096, 24
+SHARD, OVERLAP = 600, 3
+#: Components (nodes x length) of a group that a task divides by itself.
+HELD = 8 << 20
+#: Centroids in all, and sampled vectors for each, that the driver fits at a time; groups are then divided into parts of a quarter of what a task can hold.
+CENTROIDS, SAMPLED = 1024, 24
 CLUSTER, DEGREE, BEAM, ALPHA = 256, 16, 24, 1.2
 SLACK, MIN_RECALL, AUDITED = 0.01, 0.95, 16
 #: The audit over a label: nodes with known links, and as many of any kind, against all nodes of the label in blocks. Rounds, each with twice the overlap.
@@ -161,29 +164,54 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
 
 
+def further(overlap: int) -> int:
+    """Shards of a node when its shard is divided again."""
+    return max(2, 2 * overlap // 3)
+
+
+def divided(x: np.ndarray, home: np.ndarray, overlap: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Shards of a group of unit vectors: name, positions, which of them are at home; each position is at home once if it was."""
+    todo = [("", np.arange(len(x)), home, overlap)]
+    while todo:
+        name, at, own, most = todo.pop()
+        k = -(-int(own.sum()) // SHARD)
+        if own.sum() <= 2 * SHARD:
+            yield name, at, own
+            continue
+        centres = fitted(x[at[:: max(1, len(at) // (k * SAMPLED))]], k)
+        near = np.concatenate([np.argsort(-(x[at[i : i + 4096]] @ centres.T), axis=1)[:, :most] for i in range(0, len(at), 4096)])
+        parts = [(f"{name}/{c}", at[hit], own[hit] & (near[hit, 0] == c)) for c in range(len(centres)) if (hit := (near == c).any(axis=1)).any()]
+        if max(p[2].sum() for p in parts) == own.sum():  # vectors that no centroid tells apart
+            yield name, at, own
+            continue
+        todo += [(*p, further(most)) for p in parts]
+
+
 def dealt(nodes: DataFrame, most: int) -> DataFrame:
     """Each node in the shards of its `most` nearest centroids: nodes (node, n, grp, embedding) as rows (shard, node, n, home, embedding); shards of about SHARD nodes at home."""
     spark = nodes.sparkSession
     held = nodes.select(F.col("grp").alias("shard"), "node", "n", F.lit(True).alias("home"), "embedding")
-    for level in range(LEVELS):
-        sizes = held.where("home").groupBy("shard").count().where(F.col("count") > 2 * SHARD).orderBy(F.desc("count")).limit(CENTROIDS // 2).collect()
+    schema = pa.schema([("shard", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("home", pa.bool_()), ("embedding", pa.list_(pa.float64()))])
+    shown = "shard string, node long, n long, home boolean, embedding array<double>"
+    overlap, before = most, None
+    while True:
+        sizes = held.groupBy("shard").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("length")).where(F.col("n") * F.col("length") > HELD)
+        sizes = sizes.orderBy(F.desc("n"), "shard").limit(CENTROIDS // 2).collect()
+        if not sizes or (sizes[0]["n"], len(sizes)) == before:
+            break
+        before = (sizes[0]["n"], len(sizes))
         wanted, left = {}, CENTROIDS
         for r in sizes:
-            k = min(-(-r["count"] // SHARD), left)
+            k = min(-(-4 * r["n"] * r["length"] // HELD), left)
             if k >= 2:
-                wanted[r["shard"]] = (k, r["count"])
+                wanted[r["shard"]] = (k, r["n"])
                 left -= k
-        if not wanted:
-            break
         share = F.create_map(*[x for s, (k, n) in wanted.items() for x in (F.lit(s), F.lit(min(1.0, SAMPLED * k / n)))])
-        sample = held.where("home").where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < F.element_at(share, F.col("shard")) * (1 << 20))
+        sample = held.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 20)) < F.element_at(share, F.col("shard")) * (1 << 20))
         found: dict[str, list] = {}
         for r in sample.select("shard", "embedding").orderBy(F.xxhash64("embedding")).limit(2 * SAMPLED * CENTROIDS).collect():
             found.setdefault(r["shard"], []).append(r["embedding"])
-        centres = {s: fitted(unit(np.array(v, np.float64)), wanted[s][0]) for s, v in found.items() if len(v) > 1}
-        shared = spark.sparkContext.broadcast(centres)  # at most CENTROIDS vectors
-        overlap = most if level == 0 else max(2, 2 * most // 3)
-        schema = pa.schema([("shard", pa.string()), ("node", pa.int64()), ("n", pa.int64()), ("home", pa.bool_()), ("embedding", pa.list_(pa.float64()))])
+        shared = spark.sparkContext.broadcast({s: fitted(unit(np.array(v, np.float64)), wanted[s][0]) for s, v in found.items() if len(v) > 1})  # at most CENTROIDS vectors
 
         def place(batches: Iterator[pa.RecordBatch], shared=shared, overlap=overlap) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -206,16 +234,49 @@ def dealt(nodes: DataFrame, most: int) -> DataFrame:
                 at = pa.array(out_row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.string()), b.column(1).take(at), b.column(2).take(at), pa.array(out_home, pa.bool_()), b.column(4).take(at)], schema=schema)
 
-        held = materialize(held.mapInArrow(place, "shard string, node long, n long, home boolean, embedding array<double>"), "shards")
-    return held
+        held = materialize(held.mapInArrow(place, shown), "shards")
+        overlap = further(overlap)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, t in by_shard(batches):
+            home = t.column("home").to_numpy(zero_copy_only=False)
+            if home.sum() <= 2 * SHARD:
+                yield from t.cast(schema).to_batches(4096)
+                continue
+            x = unit(t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(home), -1))
+            for name, at, own in divided(x, home, overlap):
+                part = t.take(pa.array(at))
+                part = part.set_column(0, "shard", pa.array([f"{shard}{name}"] * len(at), pa.string())).set_column(3, "home", pa.array(own))
+                yield from part.cast(schema).to_batches(4096)
+
+    d = held.repartition(partitions_for(held), "shard").sortWithinPartitions("shard", "node")
+    return materialize(d.mapInArrow(split, shown), "shards")
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of each shard from rows in order of shards."""
+    shard, parts = None, []
+    for b in batches:
+        names, start = b.column(0).to_pylist(), 0
+        while start < len(names):
+            end = start
+            while end < len(names) and names[end] == names[start]:
+                end += 1
+            if names[start] != shard:
+                if parts:
+                    yield shard, pa.Table.from_batches(parts)
+                shard, parts = names[start], []
+            parts.append(b.slice(start, end - start))
+            start = end
+    if parts:
+        yield shard, pa.Table.from_batches(parts)
 
 
 def shard_links(held: DataFrame, threshold: float) -> DataFrame:
     """(node, n_links, root, recall) for each node at home, roots for the others that are linked in a shard, and links (node, other) with their sizes to nodes of another home."""
     schema = pa.schema([("node", pa.int64()), ("home", pa.bool_()), ("n_links", pa.int64()), ("root", pa.int64()), ("recall", pa.float64()), ("other", pa.int64()), ("n_node", pa.int64()), ("n_other", pa.int64())])
 
-    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
         home = np.flatnonzero(t.column("home").to_numpy(zero_copy_only=False))
         if not len(home):
@@ -256,22 +317,8 @@ def shard_links(held: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts = None, []
-        for b in batches:
-            names = b.column(0).to_pylist()
-            start = 0
-            while start < len(names):
-                end = start
-                while end < len(names) and names[end] == names[start]:
-                    end += 1
-                if names[start] != shard:
-                    if parts:
-                        yield from solve(parts)
-                    shard, parts = names[start], []
-                parts.append(b.slice(start, end - start))
-                start = end
-        if parts:
-            yield from solve(parts)
+        for _, t in by_shard(batches):
+            yield from solve(t)
 
     d = held.repartition(4 * partitions_for(held), "shard").sortWithinPartitions("shard", "node")
     return d.mapInArrow(run, "node long, home boolean, n_links long, root long, recall double, other long, n_node long, n_other long")
@@ -392,6 +439,19 @@ def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def embedding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label, n_queries, true_links, found_links, recall: the links found for every row whose id is divisible by 20, against brute force over all rows of its label."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = near_vectors(rows).where("vec_id % 20 = 0").select(F.col("vec_id").alias("node"), "n_links")
+    all_rows = valid(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))).where("ok")
+    all_rows = all_rows.select(F.concat_ws(":", F.size("embedding"), "label").alias("grp"), "label", F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("n"), "embedding")
+    some = materialize(all_rows.where("node % 20 = 0"), "queries")  # read anew, as a plan can't meet itself
+    true = all_links(some, all_rows, 0.98).groupBy("node").agg(F.sum("n_links").alias("true"))
+    both = some.select("label", "node").join(found, "node").join(true, "node", "left")
+    out = both.groupBy("label").agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("true"), F.lit(0)).alias("true_links"), F.sum("n_links").alias("found_links"))
+    return out.withColumn("recall", F.when(F.col("true_links") > 0, F.col("found_links") / F.col("true_links")).otherwise(1.0))
+
+
 ORACLE = """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT *, sqrt(list_dot_product(v, v)) AS r FROM e),

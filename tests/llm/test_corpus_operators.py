@@ -189,6 +189,51 @@ def test_links_lost_by_dealing_are_found(spark, monkeypatch):
     assert sum(got[i]["component_id"] == got[300 + i]["component_id"] for i in range(300)) >= 0.9 * 300
 
 
+def links_of(x, threshold):
+    """Directed links and the least position reachable, by brute force."""
+    true = np.concatenate([x[i : i + 500] @ x.T >= threshold for i in range(0, len(x), 500)])
+    np.fill_diagonal(true, False)
+    best = np.arange(len(x))
+    while True:
+        new = np.minimum(best, np.where(true, best[None, :], len(x)).min(axis=1))
+        if (new == best).all():
+            return true.sum(axis=1), best
+        best = new
+
+
+@pytest.mark.parametrize("held", [8 << 20, 60_000])
+def test_links_across_shards_of_one_large_label(spark, monkeypatch, tmp_path, held):
+    """6000 vectors of a label, many shards (divided in a task, or first by centroids sent to all): links as brute force has them, over all rows and the ids divisible by 20."""
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1500, 32))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.1 for _ in range(4)]).astype(np.float32)
+    rows = [(i, v.tolist(), 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = vectors.near_vectors(df).collect()
+    n, best = links_of(vectors.unit(x), 0.98)
+    assert n.sum() > 6000
+    mine = {r["vec_id"]: r for r in got}
+    assert sum(mine[i]["n_links"] for i in mine) >= 0.95 * n.sum() and all(mine[i]["n_links"] <= n[i] for i in mine)
+    assert sum(mine[i]["n_links"] for i in mine if i % 20 == 0) >= 0.9 * n[::20].sum()
+    assert sum(mine[i]["component_id"] == best[i] for i in mine) >= 0.95 * len(mine)
+    assert min(r["recall"] for r in got) >= 0.9
+    if held > 60_000:
+        r = vectors.embedding_recall(spark, str(tmp_path)).first()
+        assert r["n_queries"] == 300 and r["true_links"] == n[::20].sum() and r["recall"] >= 0.9
+
+
+def test_shards_hold_each_node_at_home_once():
+    rng = np.random.default_rng(1)
+    x = vectors.unit(np.concatenate([rng.normal(size=(4000, 16)), np.ones((3000, 16)) + rng.normal(size=(3000, 16)) * 1e-6]))
+    home = np.zeros(len(x), bool)
+    for _, at, own in vectors.divided(x, np.ones(len(x), bool), 3):
+        assert not home[at[own]].any()
+        home[at[own]] = True
+    assert home.all()
+
+
 def test_graph_recall_on_a_large_shard():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(500, 32))
@@ -211,7 +256,7 @@ def language_rows():
 
 
 def plain_scores(rows, held, model, block):
-    """score of each row, bit by bit in Python, from plainly counted contexts: training rows by a run over them, held-out ones by the mixer of the model."""
+    """score of each row, bit by bit in Python, from plainly counted contexts: training rows by a run over them, held-out ones by what it has learned in the end."""
     mask, code = (1 << 32) - 1, model.predictors.code
     spell = lambda t: [*(w + b" " for w in (t or "").encode().lower().split()), b"\n"]
     key = lambda w: xxhash.xxh3_64_intdigest(w if w == b"\n" else w[:-1]) >> 32
@@ -305,7 +350,7 @@ def plain_scores(rows, held, model, block):
         mixer.weights += (mixing.RATE * mean / np.sqrt(squares)).astype(np.float32)
     for i in range(len(rows)):
         if held[i]:
-            bits[i] = paid(i, model.mixer, {"bits": [], "tokens": []})
+            bits[i] = paid(i, mixer, {"bits": [], "tokens": []})
     return [-x * math.log10(2) for x in bits]
 
 
