@@ -6,8 +6,8 @@ word before and this word so far, together with the node of the code. Their logi
 the bit lies), and the result is refined by adaptive tables of (byte before, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
 with its own occurrence taken out of the counts, and before it is learned from. Each chunk of documents is a run of its own; its first blocks are passed before, to warm up.
 
-The bits of a token give its probability from the bytes. A memory of all pairs of words that follow each other in training text predicts it too: with the share of
-the word before that this word follows. A gate (how often the word before was seen) weighs the two, learned with the rest. So a text that occurs again is told from one that
+The bits of a token give its probability from the bytes. Two memories of all training text predict it too: the share of all tokens that this word has, and the share of the word
+before that this word follows. A gate (how often the word before was seen) weighs the three, learned with the rest. So a text that occurs again is told from one that
 doesn't, whatever the size of the corpus. A training document's score is what the run of its chunk has paid for it, always without its own occurrences; a held-out one is scored
 by what the run has learned in the end.
 
@@ -28,7 +28,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import islice
+from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,9 @@ CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
 #: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
 SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 15, 1 << 19
 END, STOP = b"\n", b" "
-DEPTHS, BUCKETS, SEEN, WARM_BLOCKS = 8, 25, 40, 16
+DEPTHS, BUCKETS, SEEN = 8, 25, 40
+#: Steps before a run, and bytes of each; a short run goes round until it has made them.
+WARM_STEPS, WARM_BLOCK = 128, 1 << 12
 GATES = (ALL + 1) * DEPTHS
 RATE = 0.05
 #: Logits are kept in eighths in one byte; entries of a slice of the tables.
@@ -485,11 +487,11 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """Weights by gate, refinements by (byte before, bucket of the logit, bit), and the memory's weight by how often the word before was seen."""
+    """Weights by gate, refinements by (byte before, bucket of the logit, bit), and the memories' weights by how often the word before was seen."""
 
     weights: np.ndarray = field(default_factory=lambda: np.full((ALL, GATES), 0.3, np.float32))
     fix: np.ndarray = field(default_factory=lambda: np.zeros((256, BUCKETS, 2)))
-    trust: np.ndarray = field(default_factory=lambda: np.zeros((SEEN, 2)))  # responsibilities and tokens
+    trust: np.ndarray = field(default_factory=lambda: np.zeros((SEEN, 3)))  # responsibilities of pairs and of words, and tokens
 
     def mixed(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The gate and the mixed logit of bits, from the predictors' logits in eighths."""
@@ -516,10 +518,10 @@ class Mixer:
         return ((self.fix[:, :, 1] + 20 * centre) / (self.fix.sum(axis=2) + 20)).astype(np.float32).reshape(-1)
 
     def memory(self) -> np.ndarray:
-        """Weight of the memory by bucket of the word before; none where it was never seen."""
-        out = (self.trust[:, 0] + 3) / (self.trust[:, 1] + 10)
-        out[0] = 0
-        return np.clip(out, 0, 0.999)
+        """Weights of pairs and of words by bucket of the word before; pairs have none where it was never seen."""
+        out = (self.trust[:, :2] + 3) / (self.trust[:, 2:] + 10)
+        out[0, 0] = 0
+        return np.clip(out, 0, 0.499)
 
 
 @dataclass
@@ -593,18 +595,13 @@ def known_counts(c: Chunk, rows: list[tuple], bits: int) -> tuple[np.ndarray, np
     return words, np.concatenate([unpacked(p, u) for _, p in rows]).astype(np.int64)[at]
 
 
-def memory_share(c: Chunk, words: np.ndarray, pairs: np.ndarray, b: Block, train_docs: int, own_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of a block: the bucket of the word before, and the share of that word's occurrences that this one follows."""
-    before = c.before[b.tokens]
-    seen = np.where(before < 0, train_docs, words[before]) - own_out
-    share = np.minimum((pairs[b.tokens] - own_out) / np.maximum(seen, 1), 1.0)
-    return np.minimum(np.frexp(np.maximum(seen, 0).astype(float))[1], SEEN - 1), np.where(seen > 0, share, 0.0)
-
-
-def joined_bits(bits: np.ndarray, share: np.ndarray, trust: np.ndarray) -> np.ndarray:
-    """The cost of tokens when the memory (share) is weighed against the bytes (bits)."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp2(np.log2(trust) + np.log2(share), np.log2(1 - trust) - bits)
+def memory_shares(c: Chunk, words: np.ndarray, pairs: np.ndarray, b: Block, train_docs: int, n: int, own_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a block: the bucket of the word before; the share of that word's occurrences that this one follows, and this one's share of all `n` tokens."""
+    before, own = c.before[b.tokens], int(own_out)
+    seen = np.where(before < 0, train_docs, words[before]) - own
+    follows = np.where(seen > 0, np.minimum((pairs[b.tokens] - own) / np.maximum(seen, 1), 1.0), 0.0)
+    alone = np.maximum(words[c.tokens[b.tokens]] - own, 0) / max(n - own, 1)
+    return np.minimum(np.frexp(np.maximum(seen, 0).astype(float))[1], SEEN - 1), np.stack([follows, alone], axis=1)
 
 
 def fed(files: DataFrame, counts: DataFrame) -> DataFrame:
@@ -631,22 +628,23 @@ def chunks_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Ch
         yield c, *known_counts(c, rows, bits)
 
 
-def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictors, train_docs: int) -> np.ndarray:
+def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictors, train_docs: int, n: int) -> np.ndarray:
     """The run of a chunk: the bits of each of its documents, training ones as they come, held-out ones in the end."""
     mixer, steps, bits = Mixer(), Adagrad(), np.zeros(len(c.n_tokens))
 
     def paid(b: Block, training: bool) -> np.ndarray:
         cost = predictors.token_bits(b, mixer, training, mixer.refined(), steps if training else None)
-        bucket, share = memory_share(c, words, pairs, b, train_docs, training)
-        trust = mixer.memory()[bucket]
-        total = joined_bits(cost, share, trust)
+        bucket, shares = memory_shares(c, words, pairs, b, train_docs, n, training)
+        weights = mixer.memory()[bucket] * (n > 0)
+        parts = weights * shares
+        with np.errstate(divide="ignore"):
+            total = -np.logaddexp2(np.log2(parts.sum(axis=1)), np.log2(1 - weights.sum(axis=1)) - cost)
         if training:
-            with np.errstate(divide="ignore"):
-                won = np.exp2(np.log2(trust) + np.log2(share) + total)
-            mixer.trust += np.stack([np.bincount(bucket, won, SEEN), np.bincount(bucket, minlength=SEEN)], axis=1)
+            won = parts * np.exp2(total)[:, None]
+            mixer.trust += np.stack([np.bincount(bucket, x, SEEN) for x in (won[:, 0], won[:, 1], None)], axis=1)
         return total
 
-    for b in islice(blocks(c, BLOCK, False), WARM_BLOCKS):
+    for b in islice(cycle(list(islice(blocks(c, WARM_BLOCK, False), WARM_STEPS))), WARM_STEPS):
         paid(b, True)
     for held in (False, True):
         for b in blocks(c, BLOCK, held):
@@ -703,7 +701,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Predictors.of(shared.value)
         for c, words, pairs in chunks_of(batches, key_bits):
-            bits, starts = online(c, words, pairs, own, train_docs), c.starts()[:-1]
+            bits, starts = online(c, words, pairs, own, train_docs, n), c.starts()[:-1]
             base = np.add.reduceat(np.log10((words + 1) / (n + 1 * (distinct + 1)))[c.tokens], starts)
             known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), starts)
             columns = [c.doc_ids, c.held, c.n_tokens, known, np.full(len(bits), n), base, -bits * math.log10(2), bits / np.maximum(c.n_bytes, 1)]

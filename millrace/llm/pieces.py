@@ -8,7 +8,7 @@ Segments begin at each run of spaces: no piece of such a vocabulary has a space
 Runs of two or more spaces merge at equal scores, where order decides; such segments, and models whose pieces tie elsewhere, are merged step by step instead.
 
 Defined cases: a null text is empty (its end id alone); characters outside the vocabulary become byte pieces; very long segments are encoded piecewise at
-line ends where these are outside the vocabulary; repeated rows and an empty table need nothing special; a further column is kept by `encode_texts`.
+line ends where these are outside the vocabulary; rows repeat as they come, a null doc_id is kept, an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

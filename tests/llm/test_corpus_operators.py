@@ -291,11 +291,12 @@ def plain_scores(rows, held, model, block):
 
     spelled = [spell(t) for t in rows]
     coded = [bits_of(s) for s in spelled]
-    counts, seen, pairs = Counter(), Counter(), Counter()
+    counts, seen, pairs, singles = Counter(), Counter(), Counter(), Counter()
     for s, c, out in zip(spelled, coded, held):
         if not out:
             counts.update((o, x, bit) for bits in c for found, _, _, bit in bits for o, x in enumerate(found))
             seen.update([None, *s[:-1]])
+            singles.update(s)
             pairs.update(zip([None, *s], s))
 
     def paid(i, mixer, learn):
@@ -319,22 +320,29 @@ def plain_scores(rows, held, model, block):
                 cost -= math.log2(max(1e-6, (p + (refined if bit else 1 - refined)) / 2))
                 learn["bits"].append((gate, x, 1 - p if bit else p - 1, last, bucket, bit))
             n = seen[before] - own
-            share = (pairs[before, w] - own) / n if n > 0 else 0.0
-            bucket = min(n.bit_length(), mixing.SEEN - 1)
-            p = memory[bucket] * share + (1 - memory[bucket]) * 2.0**-cost
-            learn["tokens"].append((bucket, memory[bucket] * share / p))
+            follows = (pairs[before, w] - own) / n if n > 0 else 0.0
+            alone = max(singles[w] - own, 0) / max(sum(singles.values()) - own, 1)
+            bucket = min(max(n, 0).bit_length(), mixing.SEEN - 1)
+            x, y = memory[bucket]
+            p = x * follows + y * alone + (1 - x - y) * 2.0**-cost
+            learn["tokens"].append((bucket, (x * follows / p, y * alone / p, 1)))
             total -= math.log2(p)
         return total
 
     size = [sum(map(len, s)) for s in spelled]
     training = [i for i in range(len(rows)) if not held[i]]
-    groups = [[]]
-    for i in training:  # blocks of documents
-        if sum(size[j] for j in groups[-1]) >= block:
-            groups.append([])
-        groups[-1].append(i)
+
+    def groups(least):
+        out = [[]]
+        for i in training:  # blocks of documents
+            if sum(size[j] for j in out[-1]) >= least:
+                out.append([])
+            out[-1].append(i)
+        return out
+
     mixer, squares, bits = mixing.Mixer(), np.full((mixing.ALL, mixing.GATES), 1e-6), [0.0] * len(rows)
-    for g in [*groups[: mixing.WARM_BLOCKS], *groups]:
+    warm = groups(mixing.WARM_BLOCK)
+    for g in [*(warm[k % len(warm)] for k in range(mixing.WARM_STEPS)), *groups(block)]:
         learn = {"bits": [], "tokens": []}
         for i in g:
             bits[i] = paid(i, mixer, learn)
@@ -344,7 +352,7 @@ def plain_scores(rows, held, model, block):
             total[:, gate] += np.array(x) * error
             mixer.fix[last, bucket, bit] += 1
         for bucket, won in learn["tokens"]:
-            mixer.trust[bucket] += won, 1
+            mixer.trust[bucket] += won
         mean = total / np.maximum(many, 1)
         squares += mean * mean
         mixer.weights += (mixing.RATE * mean / np.sqrt(squares)).astype(np.float32)
@@ -356,6 +364,8 @@ def plain_scores(rows, held, model, block):
 
 def test_language_model_equals_plain_loops(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 4000)
+    monkeypatch.setattr(mixing, "WARM_BLOCK", 3000)
+    monkeypatch.setattr(mixing, "WARM_STEPS", 9)
     rows = language_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).withColumn("chunk", F.lit(1)).withColumn("held_out", mixing.held_out())
     got = mixing.score(docs).collect()
