@@ -22,42 +22,47 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def at_ranks(df: DataFrame, column: str, ranks: list[int], low: float, high: float, bins: int = 4096) -> dict[int, float]:
-    """The present values of a column at 0-based ranks: counts by bin tell where a rank lies, and that bin is looked at more closely, until it holds one value.
+def at_ranks(df: DataFrame, wanted: dict[str, tuple[list[int], float, float]], bins: int = 4096) -> dict[tuple[str, int], float]:
+    """The present values of columns at 0-based ranks; wanted: ranks, least and largest value of each column.
 
-    A pass sends at most `bins` rows per rank to the driver, whatever the size of the table.
+    Counts by bin tell where a rank lies, and that bin is looked at more closely, until it holds one value. A pass is one job for all columns and sends at most `bins` rows
+    per rank to the driver, whatever the size of the table.
     """
-    spans, out = {r: (low, high, 0) for r in ranks}, {}
-    while spans:
-        for r in [r for r, (a, b, _) in spans.items() if a == b]:
-            out[r] = spans.pop(r)[0]
-        for a, b, below in set(spans.values()):
-            x = F.col(column).cast("double")
+    spans = {(c, r): (low, high, 0) for c, (ranks, low, high) in wanted.items() for r in ranks}
+    out: dict[tuple[str, int], float] = {}
+    while True:
+        for key in [k for k, (a, b, _) in spans.items() if a == b]:
+            out[key] = spans.pop(key)[0]
+        if not spans:
+            return out
+        todo, cells = sorted({(c, *span) for (c, _), span in spans.items()}), []
+        for i, (c, a, b, _) in enumerate(todo):
+            x = F.col(c).cast("double")
             bin_ = F.least(F.floor((x - a) / (b - a) * bins), F.lit(bins - 1))
-            rows = df.where(x.between(a, b)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).orderBy("bin").collect()
-            for r in [r for r, s in spans.items() if s == (a, b, below)]:
-                before = below
-                for row in rows:
-                    if r < before + row["n"]:
-                        spans[r] = (row["a"], row["b"], before)
-                        break
-                    before += row["n"]
-    return out
+            cells.append(F.struct(F.lit(i).alias("i"), F.when(x.between(a, b), bin_).alias("bin"), x.alias("x")))
+        long = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("bin is not null")
+        rows = long.groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("i", "bin").collect()
+        for (c, r), span in list(spans.items()):
+            before = span[2]
+            for row in (x for x in rows if todo[x["i"]] == (c, *span)):
+                if r < before + row["n"]:
+                    spans[c, r] = (row["a"], row["b"], before)
+                    break
+                before += row["n"]
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n, mean, std (sample), low, q25, q50, q75, high of numeric columns: one scan for all, and a few for the exact quartiles of each."""
+    """column, n, mean, std (sample), low, q25, q50, q75, high of numeric columns: one scan for all, and a few more for the exact quartiles of all."""
     columns = columns or numeric_columns(df)
     parts = [f(F.col(c).cast("double")) for c in columns for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
-    r, rows = df.agg(*parts).first(), []
-    for i, c in enumerate(columns):
-        n, mean, std, low, high = r[5 * i : 5 * i + 5]
-        quartiles = [None] * 3
-        if n:
-            places = [q * (n - 1) for q in (0.25, 0.5, 0.75)]
-            found = at_ranks(df, c, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}), low, high)
-            quartiles = [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) for p in places]
-        rows.append((c, n, mean, std, low, *quartiles, high))
+    r = df.agg(*parts).first()
+    of = {c: r[5 * i : 5 * i + 5] for i, c in enumerate(columns)}
+    places = {c: [q * (x[0] - 1) for q in (0.25, 0.5, 0.75)] for c, x in of.items() if x[0]}
+    found = at_ranks(df, {c: (sorted({k for x in p for k in (math.floor(x), math.ceil(x))}), of[c][3], of[c][4]) for c, p in places.items()})
+    rows = []
+    for c, (n, mean, std, low, high) in of.items():
+        between = lambda x, c=c: found[c, math.floor(x)] + (x - math.floor(x)) * (found[c, math.ceil(x)] - found[c, math.floor(x)])
+        rows.append((c, n, mean, std, low, *([between(x) for x in places[c]] if n else [None] * 3), high))
     return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, low double, q25 double, q50 double, q75 double, high double")
 
 

@@ -203,7 +203,7 @@ def test_quartiles_of_unique_values(spark):
     r = profile.describe(d).first()
     assert (r["n"], r["q25"], r["q50"], r["q75"]) == (3000, *(pytest.approx(np.quantile(x, q)) for q in (0.25, 0.5, 0.75)))
     assert profile.describe(d.where("x is null")).first()["q50"] is None
-    assert profile.at_ranks(d, "x", [0, 1499, 2999], float(x.min()), float(x.max()), bins=7) == {k: sorted(x)[k] for k in (0, 1499, 2999)}
+    assert profile.at_ranks(d, {"x": ([0, 1499, 2999], float(x.min()), float(x.max()))}, bins=7) == {("x", k): sorted(x)[k] for k in (0, 1499, 2999)}
 
 
 def test_grid_over_all_dimensions_equals_plain_steps(spark):
