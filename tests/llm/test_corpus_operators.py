@@ -491,3 +491,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert held[2] == Counter(clean)
     assert {r["doc_id"] for r in now.collect()} == clean
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
