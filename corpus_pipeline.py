@@ -20,13 +20,20 @@ def wrapped(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those without a letter, or whose two best languages compress alike."""
+    """Rejected documents go: those without a letter (null and empty texts too), or whose two best languages compress alike, ties among them.
+
+    Very long texts are judged whole; rows repeat as they come; without any row to learn from all go; an empty table stays empty.
+    """
     dictionaries = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     return langid.identify(wrapped(docs), dictionaries).where("not rejected").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that fail the base rules or the learned decision list."""
+    """Documents go that fail the base rules or the learned decision list.
+
+    Null and empty texts fail the base rules; very long texts are judged whole; equal rows are judged alike, so ties don't arise; without a usable label only the base rules
+    hold; an empty table stays empty.
+    """
     rules = quality.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(wrapped(docs), rules).where("kept").select("row.*")
 
@@ -34,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8). Rows that share a doc_id are one document; those without one stay.
 
-    The ids grow with the data, so they meet the rows in a merge join at every size.
+    Of a group the smallest doc_id stays; null and wordless texts link with nothing and stay; very long texts are compared whole; an empty table stays empty. The ids grow with the data, so they meet the rows in a merge join at every size.
     """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").count()
     ids = materialize(kept, "kept").hint("merge")
@@ -44,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixture-controlled sequences of at most 2048 ids."""
+    """Mixture-controlled sequences of at most 2048 ids: all rows, null texts as their end id, very long ones over several sequences; an empty table gives no piece."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
