@@ -1,7 +1,7 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is spelled as its tokens: each word in UTF-8 with a space after it, and a line end at last. Bytes are spelled in bits along Huffman codes of the training text, one for
-each byte before (all 256 bytes have a code in each), so that most bytes take few bits. `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the
+each byte before and for each of the `PAIR_CODES` most frequent two (all 256 bytes have a code in each), so that most bytes take few bits. `ALL` predictors look up counts of zeros and ones under a hash of the bytes before (`ORDERS`), or of the
 word before and this word so far, together with the node of the code. Their logits are combined by weights that a gate selects (how many predictors know the context, how deep
 the bit lies), and the result is refined by adaptive tables of (byte before, logit). Weights and tables are learned online, block by block, over all training text, each bit predicted
 with its own occurrence taken out of the counts, and before it is learned from. Each chunk of documents is a run of its own; its first blocks are passed before, to warm up.
@@ -47,12 +47,14 @@ MIN_SLOT_BITS, MAX_SLOT_BITS = 12, 19
 #: A chunk ends after so many tokens or bytes, at the end of a document.
 CHUNK_TOKENS, CHUNK_BYTES = 2_500_000, 16 << 20
 #: Words and pairs of a slice, at about; bytes that a block of learning or scoring, and of counting, has at about.
-SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 15, 1 << 19
+SLICE_KEYS, BLOCK, COUNT_BLOCK = 1 << 20, 1 << 15, 1 << 20
 END, STOP = b"\n", b" "
 DEPTHS, BUCKETS, SEEN = 8, 25, 40
 #: Steps before a run, and bytes of each; a short run goes round until it has made them.
-WARM_STEPS, WARM_BLOCK = 128, 1 << 12
+WARM_STEPS, WARM_BLOCK = 64, 1 << 13
 GATES = (ALL + 1) * DEPTHS
+#: Codes for two bytes before, and occurrences that each needs.
+PAIR_CODES, PAIR_LEAST = 256, 4096
 RATE = 0.05
 #: Logits are kept in eighths in one byte; entries of a slice of the tables.
 SCALE, TABLE_SLICE = 8, 4096
@@ -129,19 +131,24 @@ class Chunk:
         out[self.starts()[:-1]] = -1
         return out
 
-    def byte_pairs(self) -> np.ndarray:
-        """Counts of (byte before, byte) in training text, flat."""
+    def byte_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (two bytes before, the byte) and their counts in training text. Within a word's first byte the earlier of the two is 0, at its second byte a space."""
         data, starts = spelled(self.words)
         training, first = self.training(), self.before < 0
         many, at_first = (np.bincount(self.tokens[x], minlength=len(self.words)) for x in (training, training & first))
-        pair = data.astype(np.int64)
-        pair[1:] += 256 * data[:-1].astype(np.int64)
-        pair[starts[:-1]] = 256 * STOP[0] + data[starts[:-1]].astype(np.int64)
+        key = data.astype(np.int64)
+        key[1:] |= data[:-1].astype(np.int64) << 8
+        key[2:] |= data[:-2].astype(np.int64) << 16
+        second = starts[:-1] + 1
+        second = second[second < starts[1:]]
+        key[second] = key[second] & 0xFFFF | STOP[0] << 16
+        lead = data[starts[:-1]].astype(np.int64)
+        key[starts[:-1]] = STOP[0] << 8 | lead
         times = np.repeat(many, np.diff(starts))
         times[starts[:-1]] -= at_first
-        out = np.bincount(pair, times, 1 << 16)
-        out[256 * END[0] : 256 * END[0] + 256] += np.bincount(data[starts[:-1]], at_first, 256)
-        return out.astype(np.int64)
+        keys, at = np.unique(np.append(key, END[0] << 8 | lead), return_inverse=True)
+        counts = np.bincount(at, np.append(times, at_first), len(keys)).astype(np.int64)
+        return keys[counts > 0], counts[counts > 0]
 
     def pair_keys(self, bits: int) -> np.ndarray:
         """For each token a key of `bits` bits of it and the word before."""
@@ -173,7 +180,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             path = f"{folder}/{number:010x}-{uuid.uuid4().hex[:8]}.chunk"
             c.write(path)
             own = c.tokens[c.training()]
-            histogram = packed(c.byte_pairs(), zstandard.ZstdCompressor(level=1))
+            histogram = packed(np.concatenate(c.byte_counts()), zstandard.ZstdCompressor(level=1))
             return pa.RecordBatch.from_pylist([{"chunk": number, "path": path, "tokens": len(c.tokens), "train_tokens": len(own), "train_docs": int((~c.held).sum()), "histogram": histogram}], schema=schema)
 
         rows, ids, index, size, n = [], [], Index(), 0, 0
@@ -301,8 +308,9 @@ def huffman(histogram: np.ndarray) -> list[list[tuple[int, int]]]:
 
 @dataclass
 class Code:
-    """For each byte after each byte before: where its path starts and how long it is; along the paths 2 x a node's offset in the tables + bit, and depth; the size of the tables."""
+    """The code of each two bytes before; for each byte in a code where its path starts and how long it is; along the paths 2 x a node's offset in the tables + bit, and depth; the size of the tables."""
 
+    codes: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     steps: np.ndarray
@@ -310,15 +318,24 @@ class Code:
     slot_bits: int
 
     @staticmethod
-    def of(histogram: np.ndarray, slot_bits: int) -> Code:
-        """From counts of (byte before, byte). Bytes that were never before another share one code, that of all bytes."""
-        rows = histogram.reshape(256, 256)
-        shared = huffman(rows.sum(axis=0))
-        paths = [p for row in rows for p in (huffman(row) if row.any() else shared)]
+    def of(keys: np.ndarray, counts: np.ndarray, slot_bits: int) -> Code:
+        """From counts of (two bytes before, byte). Bytes that were never before another share one code, that of all bytes."""
+        single = np.bincount(keys & 0xFFFF, counts, 1 << 16).astype(np.int64).reshape(256, 256)
+        pairs = np.bincount(keys >> 8, counts, 1 << 16).astype(np.int64)
+        top = np.argsort(-pairs, kind="stable")[:PAIR_CODES]
+        top = top[pairs[top] >= PAIR_LEAST]
+        codes = np.tile(np.arange(256), 256)
+        codes[top] = 256 + np.arange(len(top))
+        shared = huffman(single.sum(axis=0))
+        paths = [p for row in single for p in (huffman(row) if row.any() else shared)]
+        of_pair, byte = keys >> 8, keys & 0xFF
+        for t in top:
+            own = of_pair == t
+            paths += huffman(np.bincount(byte[own], counts[own], 256))
         lengths = np.array([len(p) for p in paths], np.int64)
-        nodes, bits, depths = (np.array(x) for x in zip(*[(n, b, min(d, DEPTHS - 1)) for p in paths for d, (n, b) in enumerate(p)], strict=True))
+        flat = np.fromiter((n << 8 | b << 4 | min(d, DEPTHS - 1) for p in paths for d, (n, b) in enumerate(p)), np.int32, int(lengths.sum()))
         offsets = (NODE_HASH >> np.uint32(32 - slot_bits)).astype(np.int64)
-        return Code(np.cumsum(lengths) - lengths, lengths, offsets[nodes] * 2 + bits, depths.astype(np.uint8), slot_bits)
+        return Code(codes, np.cumsum(lengths) - lengths, lengths, (offsets[flat >> 8] * 2 + (flat >> 4 & 1)).astype(np.int32), (flat & 15).astype(np.uint8), slot_bits)
 
 
 def mixed32(h: np.ndarray) -> np.ndarray:
@@ -326,8 +343,8 @@ def mixed32(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
-def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte before each byte, and a hash per predictor and byte. Bytes before a document count as line ends; before: a hash of the word before each token."""
+def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte before each byte, the two bytes that select its code, and a hash per predictor and byte. Bytes before a document count as line ends; before: a hash of the word before each token."""
     n = len(data)
     h, out, doc_ends = np.zeros(n, np.uint32), np.empty((ALL, n), np.uint32), np.append(doc_starts[1:], n)
     for back in range(1, max(ORDERS) + 1):
@@ -338,6 +355,8 @@ def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray,
         h += BYTE_HASH[back].take(prev)
         if back == 1:
             last = prev
+        if back == 2:
+            two = last | prev.astype(np.int64) << 8
         if back in ORDERS:
             o = ORDERS.index(back)
             out[o] = mixed32(h + ORDER_HASH[o])
@@ -347,7 +366,10 @@ def contexts(data: np.ndarray, token_starts: np.ndarray, doc_starts: np.ndarray,
     so_far = np.cumsum(own, dtype=np.uint32) - own
     so_far -= np.repeat(so_far[token_starts], lengths)
     out[-1] = mixed32(so_far + np.repeat(before, lengths) + place * SPREAD)
-    return last, out
+    two[token_starts] = last[token_starts]
+    second = token_starts[lengths > 1] + 1
+    two[second] = two[second] & 0xFF | STOP[0] << 8
+    return last, two, out
 
 
 @dataclass
@@ -363,9 +385,9 @@ class Bits:
 
 
 def bits_of(b: Block, code: Code) -> Bits:
-    last, found = contexts(b.data, b.token_starts, b.doc_starts, b.word_before)
+    last, two, found = contexts(b.data, b.token_starts, b.doc_starts, b.word_before)
     found = (found >> np.uint32(32 - code.slot_bits)).astype(np.int64) * 2
-    pair = last.astype(np.int64) * 256 + b.data
+    pair = code.codes.take(two) * 256 + b.data
     lengths = code.lengths.take(pair)
     starts = np.cumsum(lengths) - lengths
     position = np.repeat(np.arange(len(pair)), lengths)
@@ -538,7 +560,7 @@ class Predictors:
     def parts(self) -> tuple:
         """Plain values, as broadcasts carry no classes."""
         c = self.code
-        return c.starts, c.lengths, c.steps, c.depths, c.slot_bits, self.plain, self.without
+        return c.codes, c.starts, c.lengths, c.steps, c.depths, c.slot_bits, self.plain, self.without
 
     def rows(self, b: Bits, own_out: bool) -> np.ndarray:
         """Logits of each predictor for each bit (own_out: without the bit's own occurrence)."""
@@ -652,18 +674,26 @@ def online(c: Chunk, words: np.ndarray, pairs: np.ndarray, predictors: Predictor
     return bits
 
 
-def byte_histogram(files: DataFrame) -> np.ndarray:
-    """Counts of (byte before, byte) of all training text, flat."""
+def byte_histogram(files: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts (as of a chunk) of all training text."""
+
+    def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        u = zstandard.ZstdDecompressor()
+        halves = [np.split(x, 2) for x in (unpacked(p, u).astype(np.int64) for p in parts)]
+        if not halves:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, at = np.unique(np.concatenate([h[0] for h in halves]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([h[1] for h in halves]), len(keys)).astype(np.int64)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, total = zstandard.ZstdDecompressor(), np.zeros(1 << 16, np.int64)
+        z, held = zstandard.ZstdCompressor(level=1), []
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += unpacked(x, u).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([packed(total, zstandard.ZstdCompressor(level=1))], pa.binary())], names=["histogram"])
+            held.append(packed(np.concatenate(merged([*held[-1:], *b.column(0).to_pylist()])), z))
+            del held[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["histogram"])
 
-    parts = files.select("histogram").repartition(8).mapInArrow(add, "histogram binary").collect()  # 8 rows
-    return sum((unpacked(r["histogram"], zstandard.ZstdDecompressor()).astype(np.int64) for r in parts), np.zeros(1 << 16, np.int64))
+    parts = files.select("histogram").repartition(8).mapInArrow(add, "histogram binary").collect()  # 8 rows, of at most 2^24 keys
+    return merged([r["histogram"] for r in parts])
 
 
 @dataclass
@@ -682,12 +712,12 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     files = chunked(docs)
     r = files.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(x or 0) for x in r)
-    histogram = byte_histogram(files)
+    keys, byte_counts = byte_histogram(files)
     # bits of a pair's key: one lookup in some thousands may meet another pair's key by chance
     bits, slices = min(64, max(16, tokens.bit_length() + 12)), 1 << max(0, (tokens // SLICE_KEYS).bit_length())
     counts = totals(files, slices, bits)
     distinct = counts.agg(F.sum("distinct")).first()[0] or 0
-    code = Code.of(histogram, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(histogram.sum()).bit_length() - 2)))
+    code = Code.of(keys, byte_counts, min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(byte_counts.sum()).bit_length() - 2)))
     return Model(n, distinct, train_docs, bits, Predictors(code, *logits(count_tables(files, code)))), files, counts
 
 

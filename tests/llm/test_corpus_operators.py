@@ -279,7 +279,8 @@ def plain_scores(rows, held, model, block):
                     if back in mixing.ORDERS:
                         hashes.append(mixed32((h + int(mixing.ORDER_HASH[len(hashes)])) & mask))
                 hashes.append(mixed32((so_far + before + place * int(mixing.SPREAD)) & mask))
-                pair = past[-1] * 256 + byte
+                two = past[-1] + 256 * (0 if place == 0 else 32 if place == 1 else past[-2])
+                pair = code.codes[two] * 256 + byte
                 for depth in range(code.lengths[pair]):
                     step = int(code.steps[code.starts[pair] + depth])
                     bits.append(([((x >> shift) + step // 2) % (1 << code.slot_bits) for x in hashes], min(depth, mixing.DEPTHS - 1), past[-1], step % 2))
@@ -366,6 +367,7 @@ def test_language_model_equals_plain_loops(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 4000)
     monkeypatch.setattr(mixing, "WARM_BLOCK", 3000)
     monkeypatch.setattr(mixing, "WARM_STEPS", 9)
+    monkeypatch.setattr(mixing, "PAIR_LEAST", 200)
     rows = language_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).withColumn("chunk", F.lit(1)).withColumn("held_out", mixing.held_out())
     got = mixing.score(docs).collect()
@@ -416,16 +418,24 @@ def test_repeated_texts_are_told_apart_in_chunks_and_slices(spark, monkeypatch):
 
 def test_codes_are_prefix_codes():
     rng = np.random.default_rng(2)
-    histogram = np.zeros((256, 256), np.int64)
-    histogram[97:110, 97:120] = rng.integers(0, 50, (13, 23)) ** 3
-    paths = mixing.huffman(histogram[100])
-    assert sum(2.0 ** -len(p) for p in paths) == 1 and len({tuple(p) for p in paths}) == 256
+    data = bytes(rng.choice(list(b"etaoins "), 40_000, p=[0.3, 0.2, 0.15, 0.1, 0.08, 0.07, 0.05, 0.05]))
+    counts = Counter(zip(data, data[1:], data[2:]))
+    keys = np.array([a << 16 | b << 8 | c for a, b, c in counts], np.int64)
+    code = mixing.Code.of(keys, np.array(list(counts.values())), 12)
+    assert (code.codes >= 256).sum() == sum(n >= mixing.PAIR_LEAST for n in Counter(zip(data, data[1:-1])).values()) > 0
+    for table in range(len(code.lengths) // 256):
+        lengths = code.lengths[256 * table : 256 * table + 256]
+        assert (2.0**-lengths).sum() == 1
+    for row in (ord("e"), 0):
+        single = np.zeros(256, np.int64)
+        for (_, b, c), n in counts.items():
+            single[c] += n * (b == row or not row)
+        assert code.lengths[256 * row : 256 * row + 256].tolist() == [len(p) for p in mixing.huffman(single)]
+    paths = mixing.huffman(single)
     step = {}
     for p in paths:  # each node with a bit leads to one place
         for here, there in zip(p, [*p[1:], (tuple(p), None)]):
             assert step.setdefault(here, there[0]) == there[0]
-    code = mixing.Code.of(histogram.reshape(-1), 12)
-    assert (code.lengths.reshape(256, 256)[:97] == [len(p) for p in mixing.huffman(histogram.sum(axis=0))]).all()
 
 
 def test_warc_round_trip(spark):
