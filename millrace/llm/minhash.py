@@ -400,6 +400,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         far_texts = materialize(texts.join(large, ["node", "a"], "left_semi"), "texts")
         far = large_families(own.where("not small"), far_texts, words, percent, least)
         labels = labels.union(far)
+        drop(far_texts)
+    for x in (members, families, own, texts):  # no later plan reads these
+        drop(x)
     labels = tied(labels, sets, nodes)
     own = nodes.select("a", "b", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("a", "b", F.coalesce("component_id", "node").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "a", "b").join(own, ["a", "b"], "left")
