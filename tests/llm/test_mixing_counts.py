@@ -42,3 +42,18 @@ def test_words_come_back_from_a_chunk(tmp_path):
     c.write(f"file://{tmp_path}/a.chunk")
     got = mixing.Chunk.read(f"file://{tmp_path}/a.chunk")
     assert got.words == c.words and mixing.END in got.words and (got.tokens == c.tokens).all() and got.doc_ids.equals(c.doc_ids)
+
+
+def test_a_word_beyond_the_range_of_doubles_leaves_scores_finite():
+    """A long word met once has a probability below 2^-1074; what the memories learn from it is nothing, not undefined."""
+    rng = np.random.default_rng(3)
+    long = "".join(map(chr, rng.integers(0x21, 0x41, 3000)))
+    c = chunk_of(["a b", f"a {long} b", "a b c", "b a"])
+    code = mixing.Code.of(c.byte_pairs(), 12)
+    table = np.zeros((mixing.ALL, 2 << 12), np.int64)
+    for b in mixing.blocks(c, 1 << 20, False):
+        mixing.count_block(b, code, table)
+    words = np.bincount(c.tokens, minlength=len(c.words))
+    _, at, times = np.unique(c.pair_keys(40), return_inverse=True, return_counts=True)
+    bits = mixing.online(c, words, times[at], mixing.Predictors(code, *mixing.logits(table)), len(c.n_tokens), len(c.tokens))
+    assert np.isfinite(bits).all() and bits[1] > 1100
