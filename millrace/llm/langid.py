@@ -68,9 +68,7 @@ def sizes(data: bytes, compressors: list) -> list[int]:
 
 
 def compressors_of(dictionaries: dict[str, bytes]) -> list:
-    key = ("langid", tuple(hash(v) for v in dictionaries.values()))
-    cache = worker_cache()
-    if key not in cache:
+    def make() -> list:
         own = []
         for v in dictionaries.values():
             d = zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -78,8 +76,9 @@ def compressors_of(dictionaries: dict[str, bytes]) -> list:
             own.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False))
         if len(own) == 1:
             own.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False))
-        cache[key] = own
-    return cache[key]
+        return own
+
+    return worker_cache(("langid", tuple(hash(v) for v in dictionaries.values())), make)
 
 
 def decide(text: str | None, names: list[str], compressors: list) -> tuple[str, float]:

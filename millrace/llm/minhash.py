@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary, drop, materialize, mix64, small_batches
+from .common import binary, drop, materialize, mix64, small_batches, worker_cache
 from .components import components
 
 N_HASHES, ROWS, BITS = 128, 4, 4
@@ -93,6 +93,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(("minhash",), dict)  # what an operator before kept goes
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):

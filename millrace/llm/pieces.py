@@ -234,11 +234,11 @@ def as_pair(ids: list[int]) -> tuple[bytes, bytes]:
 
 
 def encoder(path: str) -> tuple[PieceEncoder, Lookup]:
-    cache = worker_cache()
-    if ("piece", path) not in cache:
+    def make() -> tuple[PieceEncoder, Lookup]:
         own = PieceEncoder(path)
-        cache["piece", path] = own, Lookup(own)
-    return cache["piece", path]
+        return own, Lookup(own)
+
+    return worker_cache(("piece", path), make)
 
 
 def encoded(text: str | None, own: PieceEncoder, lookup: Lookup) -> tuple[bytes, bytes]:

@@ -67,14 +67,18 @@ class BpeEncoder:
     def ids(self, text: str) -> bytes:
         """Of a chunk: the vocabulary's pattern gives words, the library's model their ids."""
         out = []
-        for word in self.split(text):
+        words = self.split(text)
+        several = len(words) > 1
+        for word in words:
             found = self.words.get(word)
+            if found is None and several and word[0] == " ":
+                found = self.plain.get(word[1:])
             if found is None:
                 found = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
                 if len(self.words) >= MEMO:
                     kept = list(islice(self.words.items(), MEMO // 2))
                     self.words = dict(kept)
-                if len(word) <= 64:
+                if several and len(word) <= 64:
                     self.words[word] = found
             out.append(found)
         return out[0] if len(out) == 1 else b"".join(out)
@@ -97,10 +101,7 @@ class BpeEncoder:
 
 def encoder(path: str) -> BpeEncoder:
     """The worker's encoder for a vocabulary file."""
-    cache = worker_cache()
-    if ("bpe", path) not in cache:
-        cache["bpe", path] = BpeEncoder(path)
-    return cache["bpe", path]
+    return worker_cache(("bpe", path), lambda: BpeEncoder(path))
 
 
 def vocabulary(name: str) -> str:

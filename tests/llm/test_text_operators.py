@@ -2,6 +2,7 @@
 
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -183,6 +184,25 @@ def fuzz(alphabet, n, seed):
     return ["".join(rng.choices(alphabet, k=rng.randint(0, 10))) for _ in range(n)]
 
 
+def test_a_chunk_of_one_word_is_kept_once(bpe):
+    e = tokens.BpeEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    for t in ("head plain other", "x plain, (other) plain", "  plain\n\nother plain", "plain"):
+        assert np.frombuffer(e(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
+    assert {"plain", "other"} <= e.plain.keys() and not {" plain", " other", "head"} & e.words.keys()
+    assert "," in e.words
+
+
+def test_a_worker_keeps_the_things_of_one_operator():
+    """A worker outlives an operator: what one has kept is gone once another begins."""
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    kept = weakref.ref(tokens.encoder(path))
+    assert tokens.encoder(path) is kept()  # from task to task of one operator it stays
+    dictionaries = {"en": b"these are words", "de": b"das sind Worte"}
+    compressors = langid.compressors_of(dictionaries)
+    assert kept() is None and langid.compressors_of(dictionaries) is compressors
+    assert tokens.encoder(path)("these")
+
+
 def test_ids_equal_the_library(bpe):
     e = tokens.BpeEncoder(tokens.vocabulary("byte_bpe_50k.json"))
     for t in fuzz([" ", "  ", "\n", "\t", "a", "b", "é", "1", "'s", ".", "\xa0", " ", "\x1c", "\x85", " x", "<|endoftext|>", "日"], 3000, 1) + [LONG, "x" * 500]:
